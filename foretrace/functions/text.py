@@ -23,13 +23,23 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def or_null(text: Column) -> Column:
-    return F.when(F.length(text) > 0, text)
+    return F.nullif(text, F.lit(""))
 
 
-def canonical_name(text: str | Column) -> Column:
-    """Trimmed, single-spaced, without a trailing word of the play; empty gives null."""
+def cleaned_name(text: str | Column) -> Column:
+    """Trimmed, single-spaced, without a trailing word of the play."""
     squeezed = F.regexp_replace(F.trim(as_col(text)), r"\s+", " ")
-    return or_null(F.trim(F.regexp_replace(squeezed, TRAILING_WORD, "")))
+    return F.trim(F.regexp_replace(squeezed, TRAILING_WORD, ""))
+
+
+def canonical_name(text: str | Column) -> Column:
+    """The cleaned name; empty gives null."""
+    return or_null(cleaned_name(text))
+
+
+def usable_name(text: str | Column) -> Column:
+    """The cleaned name; empty names and placeholders give null."""
+    return or_null(F.regexp_replace(cleaned_name(text), PLACEHOLDER, ""))
 
 
 def subject_name(text: str | Column, verbs: str = SUBJECT) -> Column:
@@ -37,7 +47,7 @@ def subject_name(text: str | Column, verbs: str = SUBJECT) -> Column:
     trimmed = F.trim(as_col(text))
     walked = F.trim(F.regexp_extract(trimmed, INTENTIONAL_WALK, 1))
     named = canonical_name(F.regexp_extract(trimmed, verbs, 1))
-    return F.when(F.length(walked) > 0, walked).otherwise(named)
+    return F.coalesce(or_null(walked), named)
 
 
 def is_placeholder(name: str | Column) -> Column:

@@ -240,16 +240,29 @@ def pool_summary(
 
 
 def season_leaders(
-    df: DataFrame, *, entity: str, date: str, game: str, value: str, order: Sequence[str], latest: Sequence[str], year: int, top: int = 5
+    df: DataFrame,
+    *,
+    entity: str,
+    date: str,
+    game: str,
+    value: str,
+    volume: str,
+    order: Sequence[str],
+    name: str,
+    latest: Sequence[str] = (),
+    year: int,
+    top: int = 5,
 ) -> DataFrame:
-    """The ``top`` entities of a year by a summed value."""
-    in_year = df.where((F.col(date) >= F.make_date(F.lit(year), F.lit(1), F.lit(1))) & (F.col(date) < F.make_date(F.lit(year + 1), F.lit(1), F.lit(1))))
+    """The ``top`` entities of a year by a summed value, then by volume, games and name."""
+    first, after = (F.lit(f"{y}-01-01").cast("date") for y in (year, year + 1))
+    in_year = df.where((F.col(date) >= first) & (F.col(date) < after) & F.col(entity).isNotNull())
     totals = in_year.groupBy(entity).agg(
-        F.sum(value).alias("total"),
+        F.coalesce(F.sum(value), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(volume), F.lit(0)).alias("volume"),
         F.countDistinct(game).alias("games"),
-        *[last_known(c, order).alias(c) for c in latest],
+        *[last_known(c, order).alias(c) for c in (name, *latest)],
     )
-    return totals.orderBy(F.desc("total"), F.asc("games"), F.asc(entity)).limit(top)
+    return totals.orderBy(F.desc("total"), F.desc("volume"), F.desc("games"), F.asc(name), F.asc(entity)).limit(top)
 
 
 def source_profile(df: DataFrame, *, date: str, capabilities: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.functions.scalar import batting_side, event_flags
+from foretrace.functions.scalar import batting_side, event_flags, tier_of
+from foretrace.functions.text import pick_id, result_outcome
 from foretrace.operators import rollup as R
 from foretrace.operators.history import day_number
 from foretrace.sources.readers import table
@@ -117,6 +118,55 @@ def pitcher_games(spark: SparkSession, sf: str) -> DataFrame:
     return R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"])
 
 
+def board(spark: SparkSession, sf: str) -> DataFrame:
+    """One pick per batter-game: probability from the hardest hit, label from the outcome or the state of the game."""
+    b = (
+        raw_events(spark, sf)
+        .groupBy("game_pk", "game_date", "batter_id")
+        .agg(
+            F.min("pitcher_id").alias("pitcher_id"),
+            F.max("player_name").alias("batter_name"),
+            F.max("team_no").alias("team"),
+            (F.max("launch_speed") / 500).alias("predicted_hr_probability"),
+            F.max((F.col("events") == "purchase").cast("int")).alias("hit_hr"),
+            F.min("ts").alias("first_ts"),
+        )
+    )
+    status = (
+        F.when(F.col("game_pk") % 11 == 0, "In Progress - Delayed")
+        .when(F.col("game_pk") % 13 == 0, "Postponed: Rain")
+        .when(F.col("game_pk") % 17 == 0, "Scheduled")
+        .otherwise("Final")
+    )
+    label = (
+        F.when(F.col("game_pk") % 11 == 0, "Pending")
+        .when(F.col("game_pk") % 13 == 0, "Postponed")
+        .when(F.col("game_pk") % 17 == 0, "Pending")
+        .when(F.col("hit_hr") == 1, "HR")
+        .otherwise("No HR")
+    )
+    b = b.withColumns(
+        {
+            "rank": F.when(F.col("batter_id") % 7 != 0, (F.col("batter_id") % 40 + 1).cast("int")),
+            "predicted_hr_score": F.round(F.col("predicted_hr_probability") * 100, 1),
+            "confidence_tier": tier_of(F.col("predicted_hr_probability") + 0.35),
+            "game_status": status,
+            "result_label": label,
+        }
+    )
+    return b.withColumns(
+        {
+            "pick_id": pick_id("game_date", "game_pk", "batter_id", "batter_name", "pitcher_id", F.lit("")),
+            "actual_hit_hr": result_outcome("result_label"),
+        }
+    )
+
+
+BOARD_COLUMNS = (
+    "pick_id, game_pk, game_date, batter_id, pitcher_id, batter_name, team, rank, confidence_tier, "
+    "predicted_hr_probability, predicted_hr_score, game_status, result_label, actual_hit_hr"
+)
+
 RAW_SQL = """
 raw0 AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS game_date, user_id AS batter_id,
@@ -181,6 +231,31 @@ pa AS (
   FROM pa0)"""
 )
 
+BOARD_SQL = (
+    RAW_SQL
+    + """,
+b0 AS (
+  SELECT game_pk, game_date, batter_id, min(pitcher_id) AS pitcher_id, max(player_name) AS batter_name, max(team_no) AS team,
+    max(launch_speed) / 500 AS predicted_hr_probability, max(CASE WHEN events = 'purchase' THEN 1 ELSE 0 END) AS hit_hr,
+    min(ts) AS first_ts
+  FROM raw GROUP BY game_pk, game_date, batter_id),
+b1 AS (
+  SELECT *, CAST(CASE WHEN batter_id % 7 <> 0 THEN batter_id % 40 + 1 END AS INTEGER) AS rank,
+    round(predicted_hr_probability * 100, 1) AS predicted_hr_score,
+    CASE WHEN predicted_hr_probability + 0.35 >= 0.99 THEN 'elite' WHEN predicted_hr_probability + 0.35 >= 0.95 THEN 'strong'
+      WHEN predicted_hr_probability + 0.35 >= 0.80 THEN 'watch' ELSE 'longshot' END AS confidence_tier,
+    CASE WHEN game_pk % 11 = 0 THEN 'In Progress - Delayed' WHEN game_pk % 13 = 0 THEN 'Postponed: Rain'
+      WHEN game_pk % 17 = 0 THEN 'Scheduled' ELSE 'Final' END AS game_status,
+    CASE WHEN game_pk % 11 = 0 THEN 'Pending' WHEN game_pk % 13 = 0 THEN 'Postponed' WHEN game_pk % 17 = 0 THEN 'Pending'
+      WHEN hit_hr = 1 THEN 'HR' ELSE 'No HR' END AS result_label
+  FROM b0),
+board AS (
+  SELECT *, concat_ws(':', CAST(game_date AS VARCHAR), CAST(game_pk AS VARCHAR), CAST(batter_id AS VARCHAR),
+      CAST(pitcher_id AS VARCHAR)) AS pick_id,
+    CASE WHEN result_label = 'HR' THEN 1 WHEN result_label = 'No HR' THEN 0 END AS actual_hit_hr
+  FROM b1)"""
+)
+
 BG_SQL = (
     PA_SQL
     + """,

@@ -52,7 +52,7 @@ def union_chunks(chunks: Sequence[DataFrame]) -> DataFrame:
 def date_chunks(bounds: DataFrame, *, start: str, end: str, days: int = 7) -> DataFrame:
     """Split each ``[start, end]`` into chunks of ``days`` days, the last one cut at the end."""
     step = F.expr(f"interval {days} days")
-    chunk = F.explode(F.sequence(F.col(start), F.col(end), step)).cast("date")
+    chunk = F.explode(F.sequence(F.col(start), F.col(end), step))
     return bounds.select(chunk.alias("chunk_start"), F.col(end).alias("__end")).select(
         "chunk_start", F.least(F.date_add("chunk_start", days - 1), F.col("__end")).alias("chunk_end")
     )
