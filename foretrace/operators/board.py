@@ -228,11 +228,12 @@ def locked_merge(
     kinds = dict(refreshed.dtypes)
     fields = [c for c in refresh if c in kinds]
     values = F.struct(*[usable(F.col(c), kinds[c]).alias(c) for c in fields])
-    by_id = refreshed.where(F.length("pick_id") > 0).groupBy("pick_id").agg(F.max_by(values, "rank").alias("__by_id"))
+    newest = F.struct(F.coalesce("rank", F.lit(0)), "pick_id")
+    by_id = refreshed.where(F.length("pick_id") > 0).groupBy("pick_id").agg(F.max_by(values, newest).alias("__by_id"))
     by_pair = (
         refreshed.where(F.col("game_pk").isNotNull() & F.col("batter_id").isNotNull())
         .groupBy("game_pk", "batter_id")
-        .agg(F.max_by(values, "rank").alias("__by_pair"))
+        .agg(F.max_by(values, newest).alias("__by_pair"))
     )
     out = locked.join(by_id, "pick_id", "left").join(by_pair, ["game_pk", "batter_id"], "left")
     match = F.coalesce("__by_id", "__by_pair")

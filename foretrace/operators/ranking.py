@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foretrace.functions.scalar import as_col
 from foretrace.operators.scan import positions, spread_blocks, unit_blocks
 
 
@@ -106,7 +106,7 @@ def greedy_caps(
         chosen["board_rank"] = range(1, len(chosen) + 1)
         return chosen
 
-    schema = few.schema.add("board_rank", "int")
+    schema = T.StructType([*few.schema.fields, T.StructField("board_rank", T.IntegerType())])
     return few.groupBy(slate).applyInPandas(walk, schema)
 
 

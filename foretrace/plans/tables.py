@@ -148,7 +148,7 @@ def board(spark: SparkSession, sf: str) -> DataFrame:
     b = b.withColumns(
         {
             "rank": F.when(F.col("batter_id") % 7 != 0, (F.col("batter_id") % 40 + 1).cast("int")),
-            "predicted_hr_score": F.round(F.col("predicted_hr_probability") * 100, 1),
+            "predicted_hr_score": F.round(F.col("predicted_hr_probability") * 100, 4),
             "confidence_tier": tier_of(F.col("predicted_hr_probability") + 0.35),
             "game_status": status,
             "result_label": label,
@@ -241,7 +241,7 @@ b0 AS (
   FROM raw GROUP BY game_pk, game_date, batter_id),
 b1 AS (
   SELECT *, CAST(CASE WHEN batter_id % 7 <> 0 THEN batter_id % 40 + 1 END AS INTEGER) AS rank,
-    round(predicted_hr_probability * 100, 1) AS predicted_hr_score,
+    round(predicted_hr_probability * 100, 4) AS predicted_hr_score,
     CASE WHEN predicted_hr_probability + 0.35 >= 0.99 THEN 'elite' WHEN predicted_hr_probability + 0.35 >= 0.95 THEN 'strong'
       WHEN predicted_hr_probability + 0.35 >= 0.80 THEN 'watch' ELSE 'longshot' END AS confidence_tier,
     CASE WHEN game_pk % 11 = 0 THEN 'In Progress - Delayed' WHEN game_pk % 13 = 0 THEN 'Postponed: Rain'
