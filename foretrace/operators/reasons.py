@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.operators.scan import prior_sums, spread_blocks
+from foretrace.session import cut_lineage
 
 QUANTILES = {"q60": 0.60, "q75": 0.75, "q85": 0.85, "q90": 0.90}
 BUCKETS = ("batter", "pitcher", "context")
@@ -71,9 +72,10 @@ def top_reasons(
     its features by weight and percentile. A row has at most one entry per feature, so its array is short.
     """
     usable = {f: r for f, r in rules.items() if r.weight > 0 and f in candidates.columns and f in reference.columns}
-    cand = unpivoted(candidates, [key], list(usable))
+    # Each of these is read by several joins below; written once, their windows are not computed again.
+    cand = cut_lineage(unpivoted(candidates, [key], list(usable)))
     ref = unpivoted(reference, [], list(usable))
-    positions = value_positions(ref, cand)
+    positions = cut_lineage(value_positions(ref, cand))
     quantiles = feature_quantiles(positions)
     shares = positions.select("feature", "value", (F.col("below") + F.col("here")).alias("__le"))
     joined = cand.join(shares, ["feature", "value"]).join(quantiles, "feature")
@@ -85,8 +87,8 @@ def top_reasons(
     bucket = per_feature({f: r.bucket for f, r in usable.items()})
     weight = per_feature({f: float(r.weight) for f, r in usable.items()})
     place = per_feature({f: i for i, f in enumerate(usable)})
-    shown = F.when(per_feature({f: r.percent for f, r in usable.items()}), F.format_string("%.1f%%", F.col("value") * 100)).otherwise(
-        F.format_string("%.1f", F.col("value"))
+    shown = F.when(per_feature({f: r.percent for f, r in usable.items()}), F.format_string("%.1f%%", F.bround(F.col("value") * 100, 1))).otherwise(
+        F.format_string("%.1f", F.bround("value", 1))
     )
     text = F.replace(per_feature({f: r.template for f, r in usable.items()}), F.lit("%s"), shown)
     joined = joined.withColumns(
