@@ -134,7 +134,8 @@ EPSILON = 2.220446049250313e-16
 def score_table(df: DataFrame, *, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score with its rows and positives, and those of all higher scores (exact, also with ties)."""
     keys = list(keys)
-    distinct = (
+    # One row per distinct score, read once per block level below: written once, scores are not computed again.
+    distinct = cut_lineage(
         df.where(F.col(score).isNotNull())
         .groupBy(*keys, score)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))

@@ -38,7 +38,7 @@ def value_positions(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     counts = reference.select("feature", "value", F.lit(1).alias("__n")).unionByName(
         candidates.select("feature", "value", F.lit(0).alias("__n"))
     )
-    distinct = counts.groupBy("feature", "value").agg(F.sum("__n").alias("here"))
+    distinct = cut_lineage(counts.groupBy("feature", "value").agg(F.sum("__n").alias("here")))
     blocked, blocks = spread_blocks(distinct, "value", keys=["feature"])
     return prior_sums(blocked, keys=["feature"], blocks=blocks, order=["value"], sums={"below": "here"}).drop(*blocks)
 
@@ -72,7 +72,7 @@ def top_reasons(
     its features by weight and percentile. A row has at most one entry per feature, so its array is short.
     """
     usable = {f: r for f, r in rules.items() if r.weight > 0 and f in candidates.columns and f in reference.columns}
-    # Each of these is read by several joins below; written once, their windows are not computed again.
+    # Each of these is read several times below; written once, their windows are not computed again.
     cand = cut_lineage(unpivoted(candidates, [key], list(usable)))
     ref = unpivoted(reference, [], list(usable))
     positions = cut_lineage(value_positions(ref, cand))

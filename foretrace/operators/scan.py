@@ -90,15 +90,12 @@ def spread_blocks(
     The scaling is monotone in the value, so blocks never reorder values, whatever their distribution.
     """
     low, high = "__low", "__high"
-    bounds = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias(low), F.max(value).cast("double").alias(high)
-    )
+    bounds = [F.min(value).cast("double").alias(low), F.max(value).cast("double").alias(high)]
     if keys:
-        out = df.join(bounds, list(keys), "left")
+        out = df.join(df.groupBy(*keys).agg(*bounds), list(keys), "left")
     else:
-        out = df.withColumns(
-            {low: bounds.select(low).scalar(), high: bounds.select(high).scalar()}
-        )
+        both = df.agg(F.struct(*bounds).alias("__bounds")).scalar()
+        out = df.withColumn("__bounds", both).select(*df.columns, "__bounds.*")
     share = F.coalesce(
         (F.col(value).cast("double") - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0)), F.lit(0.0)
     )
