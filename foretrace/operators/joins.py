@@ -14,7 +14,7 @@ BROADCAST_ROWS = 100_000
 
 def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``dim`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffled join)."""
-    if len(dim.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
+    if dim.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(dim)
     return dim
 

@@ -16,15 +16,20 @@ from foretrace.functions.scalar import as_col, flag, safe_rate
 from foretrace.operators.joins import attach_dim
 
 
+def sort_key(order: Sequence[str]) -> Column:
+    """One column stays plain, so that fixed-width values can be aggregated by hashing."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def first_known(value: str | Column, order: Sequence[str]) -> Column:
     """First non-null value in the given order."""
     c = as_col(value)
-    return F.min_by(c, F.when(c.isNotNull(), F.struct(*order)))
+    return F.min_by(c, F.when(c.isNotNull(), sort_key(order)))
 
 
 def last_known(value: str | Column, order: Sequence[str]) -> Column:
     c = as_col(value)
-    return F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))
+    return F.max_by(c, F.when(c.isNotNull(), sort_key(order)))
 
 
 def rollup(

@@ -174,7 +174,7 @@ def topk_multi_key(spark: SparkSession, sf: str) -> DataFrame:
     from foretrace.operators.rollup import pool_summary
 
     pool = pool_summary(
-        T.batter_counts(spark, sf), keys=["team", "batter_id"], order=["game_date", "game_pk"], date="game_date", game="game_pk", volume="pa_count", latest=["max_exit_velocity"]
+        T.batter_counts(spark, sf, shared=False), keys=["team", "batter_id"], order=["game_date", "game_pk"], date="game_date", game="game_pk", volume="pa_count", latest=["max_exit_velocity"]
     )
     order = [F.desc_nulls_last(c) for c in ("recent_starts", "recent_games", "avg_recent_pa", "max_exit_velocity", "last_game_date")] + [F.asc("batter_id")]
     return K.topk(pool, keys=["team"], order=order, k=3, name="place").select("team", "batter_id", "place")
@@ -332,7 +332,7 @@ def write_board(spark: SparkSession, sf: str) -> DataFrame:
 @query("write_dataset", f"WITH {BG_SQL} SELECT game_date, batter_id, game_pk, hr_count FROM bg")
 def write_dataset(spark: SparkSession, sf: str) -> DataFrame:
     path = writers.scratch_path(spark, "dataset")
-    writers.write_dataset(T.batter_counts(spark, sf).select("game_date", "batter_id", "game_pk", "hr_count"), path)
+    writers.write_dataset(T.batter_counts(spark, sf, shared=False).select("game_date", "batter_id", "game_pk", "hr_count"), path)
     return spark.read.parquet(path)
 
 

@@ -87,7 +87,10 @@ def landed_schedule(spark: SparkSession, sf: str) -> str:
 
     game = F.struct("game_pk", F.lit("Final").alias("status"), side("home_team", bats_home).alias("home"), side("away_team", ~bats_home).alias("away"))
     path = writers.scratch_path(spark, "schedule")
-    sides.groupBy(F.col("game_date").alias("date")).agg(F.collect_list(game).alias("games")).write.json(path)
+    # A landed record holds a block of a day's games, which stays short however many teams there are.
+    block = F.floor(F.col("team_no") / 16).alias("block")
+    landed = sides.groupBy(F.col("game_date").alias("date"), block).agg(F.collect_list(game).alias("games"))
+    landed.drop("block").write.json(path)
     return path
 
 
@@ -274,7 +277,7 @@ def interactions(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN batters_faced >= 12 THEN 'starter_like' ELSE 'bullpen_like' END AS proxy FROM pg""",
 )
 def platoon(spark: SparkSession, sf: str) -> DataFrame:
-    return T.pitcher_games(spark, sf).select(
+    return T.pitcher_games(spark, sf, shared=False).select(
         "pitcher_id",
         "game_pk",
         "team",
@@ -326,7 +329,7 @@ def coalesce_cols(spark: SparkSession, sf: str) -> DataFrame:
 @query("profile_select", f"WITH {BG_SQL} SELECT batter_id, game_pk, bbe_count, barrel_count, round(max_exit_velocity, 6) AS max_exit_velocity FROM bg")
 def profile_select(spark: SparkSession, sf: str) -> DataFrame:
     profile = ["bbe_count", "barrel_count", "hr_rate_shrunk", "max_exit_velocity", "not_computed"]
-    return round_doubles(S.select_present(T.batter_counts(spark, sf), profile, ["batter_id", "game_pk"]))
+    return round_doubles(S.select_present(T.batter_counts(spark, sf, shared=False), profile, ["batter_id", "game_pk"]))
 
 
 # ---------------------------------------------------------------- joins
@@ -524,7 +527,7 @@ BG_COLUMNS = (
 
 @query("entity_game_rollup", f"WITH {BG_SQL} SELECT {BG_COLUMNS} FROM bg")
 def entity_game_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(T.batter_games(spark, sf))
+    return round_doubles(T.batter_games(spark, sf, shared=False))
 
 
 @query(
@@ -546,7 +549,7 @@ HANDED_NAMES = ", ".join(f"{n}_{s}" for n in R.HANDED for s in ("rhb", "lhb"))
       round(max_ev_allowed, 6) AS max_ev_allowed, round(innings_pitched_est, 6) AS innings_pitched_est, {HANDED_NAMES} FROM pg""",
 )
 def opponent_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(T.pitcher_games(spark, sf))
+    return round_doubles(T.pitcher_games(spark, sf, shared=False))
 
 
 @query(
@@ -555,7 +558,7 @@ def opponent_rollup(spark: SparkSession, sf: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY game_pk, team ORDER BY batters_faced DESC, pitcher_id) AS rn FROM pg) WHERE rn = 1""",
 )
 def primary_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return R.primary_opponent(T.pitcher_games(spark, sf))
+    return R.primary_opponent(T.pitcher_games(spark, sf, shared=False))
 
 
 def index_sql(side: str, name: str) -> str:
@@ -612,7 +615,7 @@ def id_stability(spark: SparkSession, sf: str) -> DataFrame:
 )
 def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
     out = R.weighted_rollup(
-        T.batter_counts(spark, sf),
+        T.batter_counts(spark, sf, shared=False),
         keys=["opponent", "game_date"],
         sums={"pa_against": "pa_count", "hr_allowed": "hr_count"},
         means={"avg_ev_allowed": ("avg_exit_velocity", "bbe_count")},
@@ -628,7 +631,7 @@ def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pool_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = R.pool_summary(
-        T.batter_counts(spark, sf),
+        T.batter_counts(spark, sf, shared=False),
         keys=["team", "batter_id"],
         order=["game_date", "game_pk"],
         date="game_date",

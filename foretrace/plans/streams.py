@@ -93,7 +93,7 @@ def stream_settle(spark: SparkSession, sf: str) -> DataFrame:
     day = F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date"))
     half = (F.hour("ts") >= 12).cast("int")
     outcomes = event_stream(spark, sf).select(
-        (day * 50 + (F.col("user_id") % 25) * 2 + half).cast("bigint").alias("game_pk"),
+        T.game_number(day, F.floor(F.col("user_id") / T.TEAM_SIZE), half).alias("game_pk"),
         F.col("user_id").alias("batter_id"),
         flag(F.col("event_type") == "purchase").alias("hit_hr"),
     )

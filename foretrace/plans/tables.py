@@ -14,6 +14,7 @@ from foretrace.functions.scalar import batting_side, event_flags, tier_of
 from foretrace.functions.text import pick_id, result_outcome
 from foretrace.operators import rollup as R
 from foretrace.operators.history import day_number
+from foretrace.session import cut_lineage
 from foretrace.sources.readers import table
 
 ANALOGUE_RULES = {
@@ -23,6 +24,8 @@ ANALOGUE_RULES = {
     "walk": ("signup",),
     "strikeout": ("error",),
 }
+# Players per team: teams grow in number with the data, their lineups do not grow.
+TEAM_SIZE = 6
 BATTED = ("click", "view", "purchase")
 PITCH_CODES = ("FF", "SI", "SL", "CU", "CH", "FC")
 DESCRIPTIONS = ("hit_into_play", "foul", "swinging_strike", "called_strike", "ball", "foul_tip")
@@ -37,6 +40,10 @@ def player_name(user: Column) -> Column:
     return F.concat(F.lit("Player "), F.char(65 + user % 26), F.char(97 + F.floor(user / 26) % 26))
 
 
+def game_number(day: Column, team: Column, half: Column) -> Column:
+    return (day.cast("bigint") * 1000000 + team) * 2 + half
+
+
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` with the domain's column names."""
     e = table(spark, sf, "events")
@@ -50,7 +57,7 @@ def raw_events(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("pitcher_id"),
         F.col("event_type").alias("events"),
         "value",
-        (F.col("user_id") % 25).cast("int").alias("team_no"),
+        F.floor(F.col("user_id") / TEAM_SIZE).cast("int").alias("team_no"),
         (F.hour("ts") >= 12).cast("int").alias("half"),
         F.when(batted, F.col("value")).alias("launch_speed"),
         F.when(batted, (F.col("event_id") % 60).cast("double") - 10).alias("launch_angle"),
@@ -63,13 +70,13 @@ def raw_events(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_id") % 200).cast("string").alias("hc_y"),
         player_name(F.col("user_id")).alias("player_name"),
     )
-    opponent = (F.col("team_no") + 12) % 25
+    opponent = F.col("team_no") + 1 - F.col("team_no") % 2 * 2
     home_bats = (F.col("team_no") + F.col("half")) % 2 == 1
     day = day_number("game_date")
     out = out.withColumns(
         {
             "day_no": day.cast("bigint"),
-            "game_pk": (day * 50 + F.col("team_no") * 2 + F.col("half")).cast("bigint"),
+            "game_pk": game_number(day, F.col("team_no"), F.col("half")),
             "at_bat_number": F.col("event_id"),
             "inning_topbot": F.when(home_bats, "Bot").otherwise("Top"),
             "home_team": F.when(home_bats, F.col("team_no")).otherwise(opponent),
@@ -104,18 +111,23 @@ def plate_appearances(spark: SparkSession, sf: str, *, order: bool = True) -> Da
     return pa
 
 
-def batter_games(spark: SparkSession, sf: str) -> DataFrame:
-    return R.batter_games(plate_appearances(spark, sf), order=["at_bat_number"])
+def stored(df: DataFrame, shared: bool) -> DataFrame:
+    """A rollup that is read several times is written once: it is far smaller than the events behind it."""
+    return cut_lineage(df) if shared else df
+
+
+def batter_games(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
+    return stored(R.batter_games(plate_appearances(spark, sf), order=["at_bat_number"]), shared)
 
 
-def batter_counts(spark: SparkSession, sf: str) -> DataFrame:
+def batter_counts(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
     """The batter-game table without batting order (for windows that do not need it)."""
     pa = plate_appearances(spark, sf, order=False).withColumn("batting_order", F.lit(None).cast("int"))
-    return R.batter_games(pa, order=["at_bat_number"]).drop("batting_order")
+    return stored(R.batter_games(pa, order=["at_bat_number"]).drop("batting_order"), shared)
 
 
-def pitcher_games(spark: SparkSession, sf: str) -> DataFrame:
-    return R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"])
+def pitcher_games(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
+    return stored(R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"]), shared)
 
 
 def board(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +183,7 @@ RAW_SQL = """
 raw0 AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS game_date, user_id AS batter_id,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS pitcher_id, event_type AS events, value,
-    CAST(user_id % 25 AS INTEGER) AS team_no, CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END AS half,
+    CAST(user_id // 6 AS INTEGER) AS team_no, CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END AS half,
     event_type IN ('click', 'view', 'purchase') AS batted,
     date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day_no,
     'Player ' || chr(CAST(65 + user_id % 26 AS INTEGER)) || chr(CAST(97 + (user_id // 26) % 26 AS INTEGER)) AS player_name
@@ -187,10 +199,10 @@ raw AS (
     (['hit_into_play', 'foul', 'swinging_strike', 'called_strike', 'ball', 'foul_tip'])[event_id % 6 + 1] AS description,
     CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(event_id % 250 AS VARCHAR) END AS hc_x,
     CAST(event_id % 200 AS VARCHAR) AS hc_y,
-    CAST(day_no * 50 + team_no * 2 + half AS BIGINT) AS game_pk, event_id AS at_bat_number,
+    CAST((day_no * 1000000 + team_no) * 2 + half AS BIGINT) AS game_pk, event_id AS at_bat_number,
     CASE WHEN (team_no + half) % 2 = 1 THEN 'Bot' ELSE 'Top' END AS inning_topbot,
-    CASE WHEN (team_no + half) % 2 = 1 THEN team_no ELSE (team_no + 12) % 25 END AS home_team,
-    CASE WHEN (team_no + half) % 2 = 1 THEN (team_no + 12) % 25 ELSE team_no END AS away_team,
+    CASE WHEN (team_no + half) % 2 = 1 THEN team_no ELSE team_no + 1 - team_no % 2 * 2 END AS home_team,
+    CASE WHEN (team_no + half) % 2 = 1 THEN team_no + 1 - team_no % 2 * 2 ELSE team_no END AS away_team,
     CASE WHEN event_id % 5 = 0 THEN NULL
       WHEN events = 'purchase' THEN player_name || ' homers on a fly ball.'
       WHEN events = 'error' THEN ' ' || player_name || ' strikes out swinging.'

@@ -566,7 +566,7 @@ def slate_percentile(spark: SparkSession, sf: str) -> DataFrame:
       arg_max(hr, struct_pack(a := game_date, b := game_pk)) FILTER (WHERE hr IS NOT NULL) AS hr FROM f GROUP BY batter_id""",
 )
 def latest_non_null(spark: SparkSession, sf: str) -> DataFrame:
-    f = T.batter_counts(spark, sf).select(
+    f = T.batter_counts(spark, sf, shared=False).select(
         "batter_id",
         "game_date",
         "game_pk",
