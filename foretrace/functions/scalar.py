@@ -166,6 +166,23 @@ def relative_sector(direction: str | Column, bearing: str | Column) -> Column:
     return F.coalesce(F.element_at(arrows, sector + 1), F.lit(""))
 
 
+def local_hour(utc: str | Column, zone: str | Column) -> Column:
+    """Hour of the day at a place, from a UTC time; clock changes follow the zone's rules."""
+    return F.hour(F.from_utc_timestamp(as_col(utc), as_col(zone)))
+
+
+def local_day(utc: str | Column, zone: str | Column) -> Column:
+    return F.from_utc_timestamp(as_col(utc), as_col(zone)).cast("date")
+
+
+def local_to_utc(local: str | Column, zone: str | Column) -> Column:
+    """UTC time of a wall-clock time: times that the clock skips move forward, doubled ones take standard time."""
+    wall, place = as_col(local), as_col(zone)
+    utc = F.to_utc_timestamp(wall, place)
+    hour_later = utc + F.expr("interval 1 hour")
+    return F.when(F.from_utc_timestamp(hour_later, place) == wall, hour_later).otherwise(utc)
+
+
 def tier_value(tier: str | Column) -> Column:
     token = F.lower(F.trim(F.coalesce(as_col(tier), F.lit(""))))
     out = F.lit(-1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.scalar import flag, safe_rate
-from foretrace.operators.scan import positions, prior_sums, spread_blocks, unit_blocks
+from foretrace.operators.scan import ordered_values, positions, ranks
 from foretrace.session import cut_lineage
 
 # ---------------------------------------------------------------- splits
@@ -133,16 +133,9 @@ EPSILON = 2.220446049250313e-16
 
 def score_table(df: DataFrame, *, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score with its rows and positives, and those of all higher scores (exact, also with ties)."""
-    keys = list(keys)
-    # One row per distinct score, read once per block level below: written once, scores are not computed again.
-    distinct = cut_lineage(
-        df.where(F.col(score).isNotNull())
-        .groupBy(*keys, score)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
-    )
-    blocked, blocks = spread_blocks(distinct.withColumn("__down", -F.col(score)), "__down", keys=keys)
-    out = prior_sums(blocked, keys=keys, blocks=blocks, order=["__down"], sums={"n_above": "n", "pos_above": "pos"})
-    return out.drop("__down", *blocks)
+    counts = {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("bigint"))}
+    out = ordered_values(df, keys=list(keys), value=score, counts=counts, descending=True)
+    return out.withColumnsRenamed({"n_before": "n_above", "pos_before": "pos_above"})
 
 
 def probability_metrics(df: DataFrame, *, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -318,9 +311,8 @@ def recommended_band(sweep: DataFrame, *, min_recall: float, max_rate: float, to
 
 
 def ranked_rows(df: DataFrame, *, score: str, tie: str, name: str = "position") -> DataFrame:
-    """1-based position of each row by score descending, for scores in [0, 1]."""
-    blocked, blocks = unit_blocks(df, score)
-    return positions(blocked, keys=[], blocks=blocks, order=[F.desc_nulls_last(score), F.asc(tie)], name=name).drop(*blocks)
+    """1-based position of each row by score, best first."""
+    return ranks(df, keys=[], value=score, tie=tie, best=name, lowest="__up", total="__of").drop("__up", "__of")
 
 
 def top_lift(df: DataFrame, *, score: str, label: str, tie: str, shares: Sequence[float] = (0.01, 0.02, 0.05, 0.10, 0.20)) -> DataFrame:
@@ -489,6 +481,21 @@ def usability(df: DataFrame, *, base_rate: Column) -> DataFrame:
     return out.withColumns({"reason": reason, "rate_ratio": ratio})
 
 
+def metrics_at(df: DataFrame, *, score: str, label: str, threshold: Column) -> DataFrame:
+    """One row of confusion counts and rates at one threshold, over the rows with a score, with their actual rate."""
+    known = df.where(F.col(score).isNotNull()).withColumn("__t", threshold)
+    hit, above = F.col(label) == 1, F.col(score) >= F.col("__t")
+    counted = known.agg(
+        F.max("__t").alias("threshold"),
+        F.sum(flag(above & hit)).alias("tp"),
+        F.sum(flag(above & ~hit)).alias("fp"),
+        F.sum(flag(~above & ~hit)).alias("tn"),
+        F.sum(flag(~above & hit)).alias("fn"),
+        F.avg(F.col(label).cast("double")).alias("base_rate"),
+    )
+    return confusion_rates(counted)
+
+
 def baseline_feature(
     train: DataFrame, test: DataFrame, *, feature: str, label: str, objective: str = "f0.5", min_recall: float, max_rate: float, tolerance: float
 ) -> DataFrame:
@@ -498,17 +505,7 @@ def baseline_feature(
     chosen = select_threshold(
         sweep, objective=objective, min_recall=min_recall, max_rate=max_rate, tolerance=tolerance
     )
-    threshold = chosen.select("threshold").scalar()
-    known = test.where(F.col(feature).isNotNull())
-    hit, above = F.col(label) == 1, F.col(feature) >= F.col("__t")
-    counted = known.withColumn("__t", threshold).agg(
-        F.max("__t").alias("threshold"),
-        F.sum(flag(above & hit)).alias("tp"),
-        F.sum(flag(above & ~hit)).alias("fp"),
-        F.sum(flag(~above & ~hit)).alias("tn"),
-        F.sum(flag(~above & hit)).alias("fn"),
-    )
-    return confusion_rates(counted)
+    return metrics_at(test, score=feature, label=label, threshold=chosen.select("threshold").scalar()).drop("base_rate")
 
 
 def rank_candidates(df: DataFrame, *, score: str, log_loss: str, brier: str, priority: str) -> DataFrame:
@@ -530,11 +527,7 @@ def promotion(df: DataFrame, *, score: str, passes: str, windows: int = 6, neede
 
 def ranked_output(df: DataFrame, *, probability: str, tie: str, keys: Sequence[str]) -> DataFrame:
     """Global rank, percentile, score (percent, one digit), tier letter; one row per key, the best one."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    placed = ranked_rows(df, score=probability, tie=tie, name="rank")
-    up, blocks = unit_blocks(placed, probability, descending=False)
-    up = positions(up, keys=[], blocks=blocks, order=[F.asc_nulls_last(probability), F.asc(tie)], name="__up").drop(*blocks)
-    up = up.withColumn("__n", total)
+    up = ranks(df, keys=[], value=probability, tie=tie, best="rank", lowest="__up", total="__n")
     percentile = F.col("__up") / F.col("__n")
     tenths = F.floor((F.col("__up") * 2000 + F.col("__n")) / (F.col("__n") * 2))
     tier = F.when(percentile >= 0.99, "A").when(percentile >= 0.95, "B").when(percentile >= 0.80, "C").otherwise("D")

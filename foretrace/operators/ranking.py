@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.operators.scan import positions, spread_blocks, unit_blocks
+from foretrace.operators.scan import positions, ranks, spread_blocks
 
 
 def dedup(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -31,19 +31,12 @@ def board_order(df: DataFrame, *, score: str, rank: str, name: str, date: str |
 
 
 def slate_percentile(df: DataFrame, *, slate: str, score: str, tie: str) -> DataFrame:
-    """Rank (1 = best) and percentile ``position / count`` of each row in its slate, for scores in [0, 1].
+    """Rank (1 = best) and percentile ``position / count`` of each row among the scored rows of its slate.
 
-    Positions come from blocked running counts, so that one slate is never sorted in one task. Equal scores keep the
-    tie order in both directions.
+    No slate is sorted in one task; equal scores keep the tie order in both directions; unknown scores get nulls.
     """
-    down, down_blocks = unit_blocks(df, score)
-    out = positions(down, keys=[slate], blocks=down_blocks, order=[F.desc_nulls_last(score), F.asc(tie)], name="slate_rank")
-    out = out.drop(*down_blocks)
-    up, up_blocks = unit_blocks(out, score, descending=False)
-    out = positions(up, keys=[slate], blocks=up_blocks, order=[F.asc_nulls_last(score), F.asc(tie)], name="__up").drop(*up_blocks)
-    sizes = df.groupBy(slate).agg(F.count(F.lit(1)).alias("__size"))
-    out = out.join(sizes, slate, "left").withColumn("slate_percentile", F.col("__up").cast("double") / F.col("__size"))
-    return out.drop("__up", "__size")
+    out = ranks(df, keys=[slate], value=score, tie=tie, best="slate_rank", lowest="__up", total="__of")
+    return out.withColumn("slate_percentile", F.col("__up").cast("double") / F.col("__of")).drop("__up", "__of")
 
 
 def lineup_rank(

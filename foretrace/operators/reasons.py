@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.operators.scan import prior_sums, spread_blocks
+from foretrace.operators.scan import ordered_values
 from foretrace.session import cut_lineage
 
 QUANTILES = {"q60": 0.60, "q75": 0.75, "q85": 0.85, "q90": 0.90}
@@ -28,6 +28,35 @@ class ReasonRule:
     binary: bool = False
 
 
+# Features that describe the setting of a game.
+CONTEXT_FEATURES = ("temperature_f", "wind_speed_mph", "humidity_pct", "platoon_advantage", "park_factor_hr_vs_batter_hand")
+
+
+def reason_weights(coefficients: Mapping[str, float], features: Sequence[str]) -> dict[str, float]:
+    """Positive coefficients as weights, also of a feature's shrunk form; 1 for every feature where none is positive."""
+    if not any(c > 0 for c in coefficients.values()):
+        return {f.removesuffix("_shrunk"): 1.0 for f in features}
+    best: dict[str, float] = {}
+    for feature in features:
+        name = feature.removesuffix("_shrunk")
+        best[name] = max(best.get(name, 0.0), coefficients.get(feature, 0.0))
+    return {name: weight for name, weight in best.items() if weight > 0}
+
+
+def rules_for(weights: Mapping[str, float]) -> dict[str, ReasonRule]:
+    """Default rules: bucket from the feature's name, a plain sentence, percent for rates."""
+    rules = {}
+    for feature, weight in weights.items():
+        bucket = "context" if feature in CONTEXT_FEATURES else "pitcher" if feature.startswith("pitcher_") else "batter"
+        label = feature.replace("_", " ")
+        if feature == "platoon_advantage":
+            rules[feature] = ReasonRule(bucket, weight, "Has the platoon advantage.", binary=True)
+        else:
+            percent = any(part in feature for part in ("rate", "_per_", "_pct"))
+            rules[feature] = ReasonRule(bucket, weight, f"{label[0].upper()}{label[1:]} is %s.", percent=percent)
+    return rules
+
+
 def unpivoted(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     doubles = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in features])
     return doubles.unpivot(list(ids), list(features), "feature", "value").where(F.col("value").isNotNull())
@@ -38,9 +67,8 @@ def value_positions(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     counts = reference.select("feature", "value", F.lit(1).alias("__n")).unionByName(
         candidates.select("feature", "value", F.lit(0).alias("__n"))
     )
-    distinct = cut_lineage(counts.groupBy("feature", "value").agg(F.sum("__n").alias("here")))
-    blocked, blocks = spread_blocks(distinct, "value", keys=["feature"])
-    return prior_sums(blocked, keys=["feature"], blocks=blocks, order=["value"], sums={"below": "here"}).drop(*blocks)
+    placed = ordered_values(counts, keys=["feature"], value="value", counts={"here": F.sum("__n")})
+    return placed.withColumnRenamed("here_before", "below")
 
 
 def feature_quantiles(positions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.scalar import as_col
+from foretrace.session import cut_lineage
 
 
 def all_present(names: Sequence[str]) -> Column:
@@ -38,26 +39,35 @@ def prior_sums(
     """
     inputs = {f"__in{i}": F.coalesce(as_col(c), F.lit(0)) for i, c in enumerate(sums.values())}
     work = df.withColumns(inputs)
-    out = work
-    carried: list[list[str]] = []
+    before = [f"__before{i}" for i in range(len(inputs))]
+    finest = work.groupBy(*keys, *blocks).agg(*[F.sum(c).alias(n) for c, n in zip(inputs, before)])
+    starts = finest
     for level, block in enumerate(blocks):
+        # Totals of this level's blocks, then of those before each of them in its parent block.
         parent = [*keys, *blocks[:level]]
-        before = Window.partitionBy(*parent).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-        names = [f"__carry{level}_{i}" for i in range(len(inputs))]
-        totals = work.groupBy(*parent, block).agg(*[F.sum(c).alias(n) for c, n in zip(inputs, names)])
-        totals = totals.withColumns({n: F.sum(n).over(before) for n in names})
-        out = out.join(totals, [*parent, block], "left")
-        carried.append(names)
+        earlier = Window.partitionBy(*parent).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        names = [f"__level{level}_{i}" for i in range(len(inputs))]
+        if level == len(blocks) - 1:
+            starts = starts.withColumns({n: F.sum(c).over(earlier) for n, c in zip(names, before)})
+        else:
+            totals = finest.groupBy(*parent, block).agg(*[F.sum(c).alias(n) for c, n in zip(before, names)])
+            totals = totals.withColumns({n: F.sum(n).over(earlier) for n in names})
+            starts = starts.join(totals, [*parent, block])
+    carried = []
+    for i in range(len(inputs)):
+        levels = [F.coalesce(F.col(f"__level{level}_{i}"), F.lit(0)) for level in range(len(blocks))]
+        carried.append(sum(levels[1:], levels[0]).alias(f"__start{i}"))
+    starts = starts.select(*keys, *blocks, *carried)
     inside = Window.partitionBy(*keys, *blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = all_present([*keys, *blocks])
-    results = {}
-    for i, name in enumerate(sums):
-        total = F.coalesce(F.sum(f"__in{i}").over(inside), F.lit(0))
-        for names in carried:
-            total = total + F.coalesce(F.col(names[i]), F.lit(0))
-        results[name] = F.when(placed, total)
-    out = out.withColumns(results)
-    return out.drop(*inputs, *[n for names in carried for n in names])
+    results = {
+        name: F.when(
+            all_present([*keys, *blocks]),
+            F.coalesce(F.sum(f"__in{i}").over(inside), F.lit(0)) + F.coalesce(F.col(f"__start{i}"), F.lit(0)),
+        )
+        for i, name in enumerate(sums)
+    }
+    out = work.join(starts, [*keys, *blocks], "left").withColumns(results)
+    return out.drop(*inputs, *[f"__start{i}" for i in range(len(inputs))])
 
 
 def positions(
@@ -68,20 +78,6 @@ def positions(
     return out.withColumn(name, F.col(name) + 1)
 
 
-def unit_blocks(df: DataFrame, score: str, *, descending: bool = True) -> tuple[DataFrame, list[str]]:
-    """Block columns for a score in [0, 1]: thousandths, then millionths. Null scores come last."""
-    sign = -1 if descending else 1
-    coarse, fine = f"__{score}_milli", f"__{score}_micro"
-    last = F.lit(2**40)
-    out = df.withColumns(
-        {
-            coarse: F.coalesce(sign * F.floor(F.col(score) * 1000), last),
-            fine: F.coalesce(sign * F.floor(F.col(score) * 1000000), last),
-        }
-    )
-    return out, [coarse, fine]
-
-
 def spread_blocks(
     df: DataFrame, value: str, *, keys: Sequence[str], levels: Sequence[int] = (1000, 1000000)
 ) -> tuple[DataFrame, list[str]]:
@@ -102,3 +98,58 @@ def spread_blocks(
     names = [f"__{value}_b{i}" for i in range(len(levels))]
     out = out.withColumns({n: F.floor(share * size) for n, size in zip(names, levels)})
     return out.drop(low, high), names
+
+
+def id_blocks(df: DataFrame, tie: str) -> tuple[DataFrame, list[str]]:
+    """Blocks of about a million consecutive numbers for a whole-number tie key; none for other types."""
+    kind = dict(df.dtypes)[tie]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        return df, []
+    return df.withColumn("__tie_block", F.shiftright(F.col(tie).cast("bigint"), 20)), ["__tie_block"]
+
+
+def ordered_values(
+    df: DataFrame, *, keys: Sequence[str], value: str, counts: Mapping[str, Column], descending: bool = False
+) -> DataFrame:
+    """One row per key and distinct value with its counts, and ``<count>_before`` of all values before it.
+
+    Rows with equal values are combined map-side. The table is read once per block level, so it is written once.
+    """
+    distinct = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]))
+    sign = -1 if descending else 1
+    blocked, blocks = spread_blocks(distinct.withColumn("__ordered", sign * F.col(value)), "__ordered", keys=keys)
+    sums = {f"{n}_before": n for n in counts}
+    return prior_sums(blocked, keys=keys, blocks=blocks, order=["__ordered"], sums=sums).drop("__ordered", *blocks)
+
+
+def ranks(
+    df: DataFrame, *, keys: Sequence[str], value: str, tie: str, best: str = "rank", lowest: str = "up", total: str = "of"
+) -> DataFrame:
+    """Add the position of each row from the highest value (``best``) and from the lowest one (``lowest``), and the
+    number of rows with a value.
+
+    Equal values keep the tie order in both directions. Rows without a value, or without a key, get nulls. Values are
+    ordered as distinct values, equal ones are numbered in blocks of their tie key.
+    """
+    keys = list(keys)
+    placed = ordered_values(df, keys=keys, value=value, counts={"__same": F.count(F.lit(1))})
+    sizes = placed.groupBy(*keys).agg(F.sum("__same").alias(total))
+    if keys:
+        placed = placed.join(sizes, keys)
+    else:
+        placed = placed.withColumn(total, sizes.scalar())
+    placed = placed.select(
+        *keys,
+        value,
+        total,
+        F.col("__same_before").alias("__lower"),
+        (F.col(total) - F.col("__same_before") - F.col("__same")).alias("__higher"),
+    )
+    tied, blocks = id_blocks(df, tie)
+    if blocks:
+        tied = positions(tied, keys=[*keys, value], blocks=blocks, order=[tie], name="__i").drop(*blocks)
+    else:
+        tied = tied.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, value).orderBy(tie)))
+    out = tied.join(placed, [*keys, value], "left")
+    index = F.col("__i")
+    return out.withColumns({best: F.col("__higher") + index, lowest: F.col("__lower") + index}).drop("__i", "__lower", "__higher")

@@ -97,6 +97,14 @@ def backward_elim(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(table, "features string, feature_count int, oof_precision double, oof_recall double, oof_positive_rate double, oof_pr_auc double")
 
 
+@query("rolling_eval")
+def rolling_eval(spark: SparkSession, sf: str) -> DataFrame:
+    spec = M.ModelSpec("logistic", FEATURES[:4], {"C": 1.0, "max_iter": 10})
+    return M.rolling_evaluation(
+        training_rows(spark, sf), spec, label="hit_hr", date="game_date", blocks=["game_date", "game_pk"], order=["batter_id"], days=7, windows=2, splits=2
+    )
+
+
 @query("fast_refit")
 def fast_refit(spark: SparkSession, sf: str) -> DataFrame:
     train, test = split_rows(spark, sf)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foretrace.functions import fixed_values as fv
+
 EVENTS_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -162,3 +164,30 @@ def roster_members(landed: DataFrame) -> DataFrame:
         .groupBy("team", "batter_id")
         .agg(F.min("batter_name").alias("batter_name"))
     )
+
+
+def parks(spark: SparkSession) -> DataFrame:
+    """The park dimension (one row per team code)."""
+    lines = [line.split("|") for line in fv.PARKS.strip().splitlines()]
+    rows = [(c, n, r, float(b), float(la), float(lo), z) for c, n, r, b, la, lo, z in lines]
+    return spark.createDataFrame(
+        rows, "team string, ballpark string, region_abbr string, field_bearing_deg double, lat double, lon double, tz string"
+    )
+
+
+PARK_FACTOR_SCHEMA = T.StructType(
+    [
+        T.StructField("venue_key", T.StringType()),
+        T.StructField("park_name", T.StringType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("park_factor_hr", T.DoubleType()),
+        T.StructField("park_factor_hr_vs_lhb", T.DoubleType()),
+        T.StructField("park_factor_hr_vs_rhb", T.DoubleType()),
+        T.StructField("source_note", T.StringType()),
+    ]
+)
+
+
+def read_park_factors(spark: SparkSession, path: str) -> DataFrame:
+    """A park factor CSV; its header must name the schema's columns in order."""
+    return spark.read.schema(PARK_FACTOR_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)

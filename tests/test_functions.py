@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from foretrace.catalog import FEATURES
+from foretrace.catalog import FEATURES, PROFILES
 from foretrace.functions import fixed_values as fv
 from foretrace.functions import scalar as S
 from foretrace.functions import text as X
@@ -139,6 +139,40 @@ def test_catalog_is_consistent():
     assert len(FEATURES) > 90
     assert FEATURES["hr_per_pa_last_30d"].family == "batter_trailing"
     assert not FEATURES["starter_or_bullpen_proxy"].point_in_time
+    assert {k: len(v) for k, v in PROFILES.items() if k in ("stable", "live", "live_plus", "live_shrunk", "live_shrunk_precise")} == {
+        "stable": 28, "live": 19, "live_plus": 27, "live_shrunk": 32, "live_shrunk_precise": 30,
+    }
+    assert all(len(set(v)) == len(v) for v in PROFILES.values())
+
+
+def test_local_time_follows_clock_changes(spark):
+    zone = F.lit("America/New_York")
+
+    def at(text, fn):
+        return one(spark, fn(F.lit(text).cast("timestamp"), zone).cast("string"))
+
+    assert at("2024-07-01 23:00:00", S.local_hour) == "19" and at("2024-01-01 23:00:00", S.local_hour) == "18"
+    assert at("2024-07-02 02:00:00", S.local_day) == "2024-07-01"
+    assert at("2024-07-01 19:00:00", S.local_to_utc) == "2024-07-01 23:00:00"
+    assert at("2024-03-10 02:30:00", S.local_to_utc) == "2024-03-10 07:30:00"
+    assert at("2024-11-03 01:30:00", S.local_to_utc) == "2024-11-03 06:30:00"
+
+
+def test_park_dimension(spark):
+    parks = readers.parks(spark)
+    assert parks.count() == 31 and parks.where("tz = 'America/Phoenix'").first().team == "AZ"
+    games = spark.createDataFrame([("AZ", "SF", 1), ("AZ", "SF", 0)], "team string, opponent string, is_home int")
+    rows = parks.select(F.col("team").alias("park_team"), "ballpark")
+    assert {r.ballpark for r in R.park_of(games, rows, team="team", opponent="opponent", is_home="is_home", key="park_team").collect()} == {"Chase Field", "Oracle Park"}
+
+
+def test_reason_rules():
+    from foretrace.operators import reasons as N2
+
+    assert N2.reason_weights({"a": -1.0}, ["a", "b_shrunk"]) == {"a": 1.0, "b": 1.0}
+    assert N2.reason_weights({"a": 0.5, "a_shrunk": 0.7, "b": -1.0}, ["a", "a_shrunk", "b"]) == {"a": 0.7}
+    rules = N2.rules_for({"pitcher_x_rate": 1.0, "platoon_advantage": 1.0, "hr_per_pa_last_10d": 2.0})
+    assert [r.bucket for r in rules.values()] == ["pitcher", "context", "batter"] and rules["platoon_advantage"].binary
 
 
 def test_sources(spark, tmp_path):
