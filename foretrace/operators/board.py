@@ -255,12 +255,22 @@ def settle(
     known_games: DataFrame,
     resolved_through: Column,
     outcome_key: Sequence[str] = ("game_pk", "batter_id"),
+    games: DataFrame | None = None,
 ) -> DataFrame:
     """Label picks: boxscore, then dataset, then status; see the ladder in the code, whose order matters.
 
     ``outcomes`` is unique on ``outcome_key`` with ``hit_hr``; ``boxscores`` holds (game, batter) pairs with a hit;
-    ``known_games`` the games whose boxscore was read. Picks carry ``game_state`` and ``game_status``.
+    ``known_games`` the games whose boxscore was read. Picks carry ``game_state`` and ``game_status``; those of
+    ``games`` (one row per game of the schedule) replace them where the game is known.
     """
+    status = F.col("game_status")
+    columns = picks.columns
+    if games is not None:
+        schedule = games.select("game_pk", F.col("game_state").alias("__state"), F.col("game_status").alias("__status"))
+        picks = picks.join(schedule, "game_pk", "left").withColumns(
+            {"game_state": F.coalesce("__state", "game_state"), "__row_status": status, "game_status": F.coalesce("__status", "game_status")}
+        )
+        status = F.concat_ws(" ", "game_status", "__row_status")
     scored = boxscores.select("game_pk", "batter_id", F.lit(True).alias("__in_box"))
     read = known_games.select("game_pk", F.lit(True).alias("__box_known"))
     known = outcomes.select(*outcome_key, F.col("hit_hr").alias("__hit"))
@@ -281,7 +291,7 @@ def settle(
         F.when(unchanged, label)
         .when(in_box, "HR")
         .when(F.col("__hit").isNotNull(), F.when(F.col("__hit") > 0, "HR").otherwise("No HR"))
-        .when(is_postponed("game_status"), "Postponed")
+        .when(is_postponed(status), "Postponed")
         .when(final, F.when(box_known | resolved, "No HR").otherwise("Pending"))
         .otherwise("Pending")
     )
@@ -291,7 +301,7 @@ def settle(
         joined.withColumns({"__label": new_label, "__unchanged": unchanged})
         .withColumn("actual_hit_hr", F.when(keeps, F.col("actual_hit_hr")).otherwise(outcome))
         .withColumn("result_label", F.col("__label"))
-        .select(*picks.columns)
+        .select(*columns)
     )
 
 

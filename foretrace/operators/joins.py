@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.functions.scalar import as_col, flag
+from foretrace.functions.scalar import flag
 
 BROADCAST_ROWS = 100_000
 
@@ -68,16 +68,31 @@ def require_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
 
 
 def audited_join(
-    left: DataFrame, right: DataFrame, *, on: Sequence[str], how: str = "left", validate: str = "many_to_one"
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    on: Sequence[str],
+    how: str = "left",
+    validate: str = "many_to_one",
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join after checking the declared cardinality with one aggregate per constrained side."""
+    """Join after checking the declared cardinality with one aggregate per constrained side.
+
+    ``null_safe`` lets null keys match each other (left and inner joins).
+    """
     if validate not in ("one_to_one", "many_to_one", "one_to_many", "many_to_many"):
         raise ValueError(f"unknown cardinality {validate}")
     if validate.startswith("one_"):
         require_unique(left, on, "left")
     if validate.endswith("_one"):
         require_unique(right, on, "right")
-    return left.join(right, list(on), how)
+    if not null_safe:
+        return left.join(right, list(on), how)
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return left.join(renamed, same, how).drop(*[f"__right_{c}" for c in on])
 
 
 def coalesce_columns(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:

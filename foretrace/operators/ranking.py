@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.operators.scan import positions, ranks, spread_blocks
+from foretrace.operators.scan import positions, ranks
 
 
 def dedup(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,12 +48,19 @@ def lineup_rank(
 
 
 def rerank(df: DataFrame, *, slate: Sequence[str], score: str, probability: str, name: str, tie: str, rank: str = "rank") -> DataFrame:
-    """Number a slate's rows 1..n by score, probability, name; scores of any range, hot slates split by score."""
-    out, blocks = spread_blocks(df.withColumn("__down", -F.col(score)), "__down", keys=slate)
-    last = F.lit(2**40)
-    out = out.withColumns({b: F.when(F.col(score).isNull(), last).otherwise(F.col(b)) for b in blocks})
-    order = [F.desc_nulls_last(score), F.desc_nulls_last(probability), F.asc(name), F.asc(tie)]
-    return positions(out, keys=slate, blocks=blocks, order=order, name=rank).drop("__down", *blocks)
+    """Number a slate's rows 1..n by score, probability, name and tie key; unknown values come last.
+
+    Blocks are steps of a hundredth of the score, and in them the distinct (score, probability, name); only rows that
+    agree in all three are numbered together.
+    """
+    last = F.lit(float("inf"))
+    down, down_probability = (F.coalesce(-F.col(c).cast("double"), last) for c in (score, probability))
+    ordered = df.withColumn(
+        "__entry", F.struct(down.alias("s"), down_probability.alias("p"), F.coalesce(F.col(name), F.lit("")).alias("n"))
+    )
+    ordered = ordered.withColumn("__step", F.floor(F.least(F.col("__entry.s"), F.lit(1e15)) * 100))
+    blocks = ["__step", "__entry"]
+    return positions(ordered, keys=slate, blocks=blocks, order=[tie], name=rank).drop(*blocks)
 
 
 def select_greedy(rows: pd.DataFrame, *, team: str, game: str, team_cap: int, game_cap: int, limit: int) -> list[bool]:

@@ -13,7 +13,7 @@ from foretrace.operators import reasons as N
 from foretrace.plans import tables as T
 from foretrace.plans import windows as W
 from foretrace.plans.registry import query
-from foretrace.plans.tables import BG_SQL, PA_SQL, rounded
+from foretrace.plans.tables import BG_SQL, PA_SQL
 from foretrace.plans.windows import round_doubles
 from foretrace.sources.readers import table
 
@@ -259,9 +259,6 @@ def policy_search(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(E.policy_search(slated(spark, sf), probability="score", label="label", floors=FLOORS))
 
 
-BASE_OUT = SWEEP_OUT
-
-
 @query(
     "baseline_feature",
     f"""WITH {SCORED_SQL}, {CUTOFF_SQL}, tr AS (SELECT sc.* FROM sc, cut WHERE slate < cutoff), te AS (SELECT sc.* FROM sc, cut WHERE slate >= cutoff),

@@ -15,7 +15,7 @@ from foretrace.operators import rollup as R
 from foretrace.plans import tables as T
 from foretrace.plans import windows as W
 from foretrace.plans.registry import query
-from foretrace.plans.tables import BG_SQL, BOARD_SQL, PA_SQL, PG_SQL, RAW_SQL, rounded
+from foretrace.plans.tables import BG_SQL, BOARD_SQL, PA_SQL, PG_SQL, RAW_SQL
 from foretrace.plans.windows import in_list, round_doubles
 from foretrace.sources import readers, writers
 from foretrace.sources.readers import table

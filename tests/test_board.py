@@ -91,6 +91,23 @@ def test_settlement_ladder(spark):
     }
 
 
+def test_settlement_takes_the_schedule_where_it_knows_the_game(spark):
+    picks = spark.createDataFrame(
+        [("a", 1, day(), 1, "Pending", None, "pregame", "Scheduled"), ("b", 2, day(), 2, "Pending", None, "pregame", "Scheduled")],
+        "pick_id string, game_pk long, game_date date, batter_id long, result_label string, actual_hit_hr int, game_state string, game_status string",
+    )
+    none = spark.createDataFrame([], "game_pk long, batter_id long, hit_hr int")
+    out = B.settle(
+        picks,
+        outcomes=none,
+        boxscores=none,
+        known_games=none,
+        resolved_through=F.lit(day(1)),
+        games=spark.createDataFrame([(1, "final", "Final"), (2, "final", "Postponed")], "game_pk long, game_state string, game_status string"),
+    )
+    assert {(r.pick_id, r.result_label, r.game_status) for r in out.collect()} == {("a", "No HR", "Final"), ("b", "Postponed", "Postponed")}
+
+
 def test_archive_needs_final_games_and_terminal_rows(spark):
     rows = spark.createDataFrame([(day(), "HR"), (day(), "Pending"), (day(1), "HR"), (day(2), "No HR"), (day(3), "HR")], "game_date date, result_label string")
     games = spark.createDataFrame([(day(), "final"), (day(1), "live"), (day(2), "final")], "game_date date, game_state string")

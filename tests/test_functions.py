@@ -86,6 +86,9 @@ def test_audited_join_checks_cardinality(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, l string")
     right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, r string")
     assert J.audited_join(left, right, on=["k"]).count() == 3
+    nulls = spark.createDataFrame([(1, "x"), (None, "z")], "k int, r string")
+    got = {(r.l, r.r) for r in J.audited_join(left, nulls, on=["k"], null_safe=True).collect()}
+    assert got == {("a", "x"), ("b", "x"), ("c", "z")}
     with pytest.raises(ValueError, match="left side"):
         J.audited_join(left, right, on=["k"], validate="one_to_one")
     audit = J.join_audit(left, right, on=["k"], tracked=["r"]).first()
