@@ -1,11 +1,13 @@
-"""Session settings and reliable lineage cuts."""
+"""Session settings, the package for Python workers, and reliable lineage cuts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +28,29 @@ def build_session(app: str = "foretrace", master: str | None = None, partitions:
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("FORETRACE_DRIVER_MEMORY", "8g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the session's Python workers, once for each application.
+
+    The driver's own import path does not reach the workers. The archive lies in the folder that Spark keeps for the
+    application's files, on the driver, and is served from there; no data goes that way.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_foretrace_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(SparkFiles.getRootDirectory(), f"foretrace-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._foretrace_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
