@@ -150,14 +150,17 @@ def facts_column(text: Column, weights: np.ndarray) -> Column:
 
 
 def with_trust(docs: DataFrame, labels: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """(text, trusted): trusted if any label of the document says good quality and none says toxic."""
+    """(text, trusted): trusted if any label of the document says good quality and none says toxic.
+
+    Labels grow with the documents, so both are shuffled by id at every size; a small table is not broadcast.
+    """
     verdicts = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("label_id"))
         .agg((F.max(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).alias("trusted"))
     )
     plain = docs.select(F.col(id_col).alias("text_id"), F.col(text).alias("text"))
-    joined = plain.join(verdicts, plain.text_id == verdicts.label_id, "left")
+    joined = plain.join(verdicts.hint("merge"), plain.text_id == verdicts.label_id, "left")
     return joined.select("text", (F.coalesce("trusted", F.lit(0)) > 0).alias("trusted"))
 
 
