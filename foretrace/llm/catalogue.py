@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from foretrace.llm import decontaminate, near_dup, pieces, pii, quality, secrets, token_file, urls, warc  # noqa: F401
+from foretrace.llm import decontaminate, near_dup, pieces, pii, quality, secrets, substrings, token_file, urls, warc  # noqa: F401
 from foretrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
