@@ -88,7 +88,7 @@ class ArchiveWriter:
         self.path, self.bytes, self.records = path, 0, 0
         system, inner = fs.FileSystem.from_uri(path)
         system.create_dir(os.path.dirname(inner), recursive=True)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)
         info = b"software: foretrace\r\nformat: WARC File Format 1.1\r\n"
         self._open([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], len(info))
         self._write(info)
@@ -174,7 +174,7 @@ class _Members:
 
     def __init__(self, path: str):
         system, inner = fs.FileSystem.from_uri(path)
-        self.file = system.open_input_stream(inner)
+        self.file = system.open_input_stream(inner, compression=None)
         self.gzip, self.raw, self.ready = zlib.decompressobj(31), b"", b""
 
     def _more(self) -> bool:
