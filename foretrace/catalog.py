@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from foretrace.functions.profiles import PROFILES
+
+__all__ = ["FEATURES", "PROFILES", "Feature"]
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -57,51 +61,3 @@ def _build() -> dict[str, Feature]:
 
 
 FEATURES = _build()
-
-
-def _profiles() -> dict[str, tuple[str, ...]]:
-    """Feature profiles of the models, derived from the catalog; a profile uses those of its columns that exist."""
-    weather = ("temperature_f", "wind_speed_mph", "humidity_pct")
-    all_weather = (*weather, "wind_direction_deg", "pressure_hpa")
-    extra = ("platoon_advantage",)
-    counts = {f"{m}_last_{d}d" for m in ("hr_count", "barrels", "pa") for d in (10, 30)}
-    counts |= {f"pitcher_{m}_last_30d" for m in ("hr_allowed", "barrels_allowed", "hard_hit_allowed", "bbe_allowed")}
-
-    def family(*names: str) -> tuple[str, ...]:
-        return tuple(f.name for f in FEATURES.values() if f.family in names)
-
-    def rates(*names: str) -> tuple[str, ...]:
-        return tuple(n for n in family(*names) if n not in counts)
-
-    def shrunk(names: tuple[str, ...], which: tuple[str, ...]) -> tuple[str, ...]:
-        return tuple(f"{n}_shrunk" if n in which else n for n in names)
-
-    stable = (*family("stable"), "hr_per_pa_last_30d", "pitch_hand_primary", "starter_or_bullpen_proxy", *all_weather, *extra)
-    live = (*rates("batter_trailing", "pitcher_trailing"), *weather, *extra)
-    matchups = (
-        "park_factor_hr_vs_batter_hand", "batter_hr_per_pa_vs_pitcher_hand", "batter_barrels_per_pa_vs_pitcher_hand",
-        "pitcher_hr_allowed_per_pa_vs_batter_hand", "pitcher_barrels_allowed_per_bbe_vs_batter_hand", "split_matchup_hr",
-        "split_matchup_barrel", "split_matchup_hard_hit",
-    )
-    live_plus = (*live, *matchups)
-    rare = ("hr_per_pa_last_30d", "hr_per_pa_last_10d", "batter_hr_per_pa_vs_pitcher_hand", "split_matchup_hr")
-    volume = ("batter_pa_total_to_date", "pa_last_30d", "pa_last_10d", "batter_pa_vs_pitcher_hand_to_date")
-    live_shrunk = ("hr_rate_season_to_date_shrunk", *volume, *shrunk(live_plus, rare))
-    without_platoon = tuple(n for n in live_plus if n not in (*extra, "hr_per_pa_last_30d", "hr_per_pa_last_10d"))
-    precise = (
-        "hr_rate_season_to_date_shrunk", "avg_launch_angle_last_50_bbe", *without_platoon, *[f"{n}_shrunk" for n in rare],
-    )
-    everything = (*stable, *live_plus, *live_shrunk, *family("batter_trailing", "pitcher_trailing", "pitch_type", "park", "handedness_split"))
-    return {
-        "stable": stable,
-        "live": live,
-        "live_plus": live_plus,
-        "live_shrunk": live_shrunk,
-        "live_shrunk_precise": precise,
-        "live_usable_candidate_v1": (*live_shrunk, *family("opportunity")),
-        "expanded": tuple(dict.fromkeys(everything)),
-        "opportunity": family("opportunity"),
-    }
-
-
-PROFILES = _profiles()

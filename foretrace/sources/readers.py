@@ -60,13 +60,16 @@ def date_chunks(bounds: DataFrame, *, start: str, end: str, days: int = 7) -> Da
     )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON records (one array per file, or one object per line); a missing path gives an empty table."""
+def read_records(spark: SparkSession, path: str, schema: T.StructType, *, arrays: bool = False) -> DataFrame:
+    """JSON records, one object per line, in files that tasks can split; a missing path gives an empty table.
+
+    With ``arrays`` each file is one JSON array of records (or one record); such a file is read by one task.
+    """
     probe = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = probe.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(probe):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", arrays).json(path)
 
 
 LINEUP = T.ArrayType(
@@ -166,13 +169,27 @@ def roster_members(landed: DataFrame) -> DataFrame:
     )
 
 
-def parks(spark: SparkSession) -> DataFrame:
-    """The park dimension (one row per team code)."""
-    lines = [line.split("|") for line in fv.PARKS.strip().splitlines()]
-    rows = [(c, n, r, float(b), float(la), float(lo), z) for c, n, r, b, la, lo, z in lines]
-    return spark.createDataFrame(
-        rows, "team string, ballpark string, region_abbr string, field_bearing_deg double, lat double, lon double, tz string"
-    )
+PARK_SCHEMA = T.StructType(
+    [
+        T.StructField("team", T.StringType()),
+        T.StructField("ballpark", T.StringType()),
+        T.StructField("region_abbr", T.StringType()),
+        T.StructField("field_bearing_deg", T.DoubleType()),
+        T.StructField("lat", T.DoubleType()),
+        T.StructField("lon", T.DoubleType()),
+        T.StructField("tz", T.StringType()),
+    ]
+)
+
+
+def _read_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A landed CSV file whose header must name the schema's columns in order."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def read_parks(spark: SparkSession, path: str) -> DataFrame:
+    """The landed park file: one row per team code, with place, bearing of the field and time zone."""
+    return _read_declared(spark, path, PARK_SCHEMA)
 
 
 PARK_FACTOR_SCHEMA = T.StructType(
@@ -189,5 +206,5 @@ PARK_FACTOR_SCHEMA = T.StructType(
 
 
 def read_park_factors(spark: SparkSession, path: str) -> DataFrame:
-    """A park factor CSV; its header must name the schema's columns in order."""
-    return spark.read.schema(PARK_FACTOR_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
+    """A landed park factor file."""
+    return _read_declared(spark, path, PARK_FACTOR_SCHEMA)
