@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foretrace.functions import fixed_values as fv
 from foretrace.functions.scalar import flag, safe_rate, tier_value
 from foretrace.functions.text import is_postponed
+from foretrace.operators.ranking import rerank
 
 RESOLVED = ("HR", "No HR", "Postponed")
 
@@ -113,8 +114,10 @@ def forward_only(df: DataFrame, *, date: str, start: Column, score: str, probabi
 # The columns of a pick record, their types and defaults.
 PICK_CONTRACT: Mapping[str, tuple[str, object]] = {
     "pick_id": ("string", None),
+    "published_at": ("string", ""),
     "game_pk": ("bigint", None),
     "game_date": ("date", None),
+    "game_datetime": ("string", ""),
     "game_status": ("string", ""),
     "game_state": ("string", "pregame"),
     "rank": ("int", 999),
@@ -124,14 +127,23 @@ PICK_CONTRACT: Mapping[str, tuple[str, object]] = {
     "opponent_team": ("string", ""),
     "pitcher_id": ("bigint", None),
     "pitcher_name": ("string", ""),
+    "lineup_source": ("string", "projected"),
+    "batting_order": ("int", None),
+    "ballpark_name": ("string", ""),
+    "ballpark_region_abbr": ("string", ""),
+    "weather_code": ("int", None),
+    "weather_label": ("string", ""),
+    "temperature_f": ("double", None),
+    "wind_speed_mph": ("double", None),
+    "wind_direction_deg": ("double", None),
+    "field_bearing_deg": ("double", None),
     "confidence_tier": ("string", "watch"),
     "predicted_hr_probability": ("double", None),
     "predicted_hr_score": ("double", None),
     "top_reason_1": ("string", ""),
     "top_reason_2": ("string", ""),
     "top_reason_3": ("string", ""),
-    "lineup_source": ("string", "projected"),
-    "batting_order": ("int", None),
+    "result": ("string", "Pending"),
 }
 
 
@@ -187,20 +199,50 @@ def recover_pending(
 ) -> tuple[DataFrame, DataFrame]:
     """Move pending history rows back to the current board; returns (current, history).
 
-    With ``other_dates_only`` rows of dates on the current board stay out of it and current rows win, and history
-    is left whole where nothing is recovered; otherwise all pending rows are recovered and win.
+    With ``other_dates_only`` rows of dates on the current board stay out of it and current rows win. Where there is no
+    such row both sides stay as they are; else history loses all its pending rows, and the board has rows with an id only.
+    Without it all pending rows with an id are recovered and win.
     """
-    lost = history.where(pending() & (F.length(key) > 0))
+    named = F.coalesce(F.length(F.col(key)) > 0, F.lit(False))
+    lost = history.where(pending())
     if other_dates_only:
-        lost = lost.join(current.select(date).distinct(), date, "left_anti")
-        current_wins = lost.join(current.select(key), key, "left_anti").unionByName(current, allowMissingColumns=True)
+        dates = current.where(F.col(date).isNotNull()).select(date).distinct()
+        lost = lost.join(dates, date, "left_anti")
         any_lost = lost.select(F.count(F.lit(1)) > 0).scalar()
-        return current_wins, history.where(~pending() | ~any_lost)
+        back = lost.where(named).join(current.select(key), key, "left_anti")
+        board = back.unionByName(current.where(named | ~any_lost), allowMissingColumns=True)
+        return board, history.where(~pending() | ~any_lost)
+    lost = lost.where(named)
     recovered_wins = current.join(lost.select(key), key, "left_anti").unionByName(lost, allowMissingColumns=True)
     return recovered_wins, history.where(~pending())
 
 
+# What a locked row takes from a newer one, and what its game gives where the row has nothing.
 REFRESHED = ("top_reason_1", "top_reason_2", "top_reason_3", "weather_label", "temperature_f", "ballpark_name")
+GAME_META = (
+    "ballpark_name",
+    "ballpark_region_abbr",
+    "field_bearing_deg",
+    "weather_code",
+    "weather_label",
+    "temperature_f",
+    "wind_speed_mph",
+    "wind_direction_deg",
+)
+
+
+def _usable(column: Column, kind: str) -> Column:
+    return F.when(F.length(column) > 0, column) if kind == "string" else column
+
+
+def _fill(rows: DataFrame, source: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Fields that a row has no value for, from the one row of its key in ``source``."""
+    kinds = dict(rows.dtypes) | dict(source.dtypes)
+    found = source.select(key, F.struct(*fields).alias("__source"))
+    out = rows.join(found, key, "left")
+    given = {c: _usable(F.col(f"__source.{c}"), kinds[c]) for c in fields}
+    own = {c: _usable(F.col(c), kinds[c]) if c in rows.columns else F.lit(None) for c in fields}
+    return out.withColumns({c: F.coalesce(own[c], given[c]) for c in fields}).drop("__source")
 
 
 def locked_merge(
@@ -209,25 +251,30 @@ def locked_merge(
     games: DataFrame,
     *,
     day: Column,
+    max_picks: int | None = None,
     refresh: Sequence[str] = REFRESHED,
-    game_meta: Sequence[str] = (),
+    game_meta: Sequence[str] = GAME_META,
+    parks: DataFrame | None = None,
+    score: str = "predicted_hr_score",
+    probability: str = "predicted_hr_probability",
+    name: str = "batter_name",
 ) -> DataFrame:
-    """The merged rows of one day before ranking: rows of started games stay, all other games take the new rows.
+    """The board after a publish during a day: rows of other dates as they are, then the day's rows ranked anew.
 
-    ``games`` has one row per game with its ``game_state``. A locked row keeps identity and score; the columns in
-    ``refresh`` come from the new row with its id, else with its (game, batter), where that has a value;
-    ``game_meta`` columns still missing come from any new row of the game.
+    Rows of started games stay, all other games take the refreshed rows. ``games`` has one row per game with its
+    ``game_state``, and ``home_team`` if ``parks`` (one row per ``home_team``) is given. A locked row keeps identity
+    and score; the columns in ``refresh`` come from the refreshed row with its id, else with its (game, batter), where
+    that has a value. ``game_meta`` columns still missing come from a refreshed row of the game, then from its park.
+    Where any row is locked, the day keeps the best ``max_picks`` rows; else all refreshed rows stay.
     """
-    same_day = existing.where(F.col("game_date") == day)
+    today = F.coalesce(F.col("game_date") == day, F.lit(False))
     state = games.select("game_pk", F.col("game_state").alias("__state"))
-    locked = same_day.join(state, "game_pk", "left").where(F.coalesce("__state", "game_state") != "pregame").drop("__state")
-
-    def usable(column: Column, kind: str) -> Column:
-        return F.when(F.length(column) > 0, column) if kind == "string" else column
+    started = F.coalesce("__state", "game_state") != "pregame"
+    locked = existing.where(today).join(state, "game_pk", "left").where(started).drop("__state")
 
     kinds = dict(refreshed.dtypes)
-    fields = [c for c in refresh if c in kinds]
-    values = F.struct(*[usable(F.col(c), kinds[c]).alias(c) for c in fields])
+    fields = [c for c in refresh if c in kinds and c in existing.columns]
+    values = F.struct(*[_usable(F.col(c), kinds[c]).alias(c) for c in fields])
     newest = F.struct(F.coalesce("rank", F.lit(0)), "pick_id")
     by_id = refreshed.where(F.length("pick_id") > 0).groupBy("pick_id").agg(F.max_by(values, newest).alias("__by_id"))
     by_pair = (
@@ -235,16 +282,25 @@ def locked_merge(
         .groupBy("game_pk", "batter_id")
         .agg(F.max_by(values, newest).alias("__by_pair"))
     )
-    out = locked.join(by_id, "pick_id", "left").join(by_pair, ["game_pk", "batter_id"], "left")
+    kept = locked.join(by_id, "pick_id", "left").join(by_pair, ["game_pk", "batter_id"], "left")
     match = F.coalesce("__by_id", "__by_pair")
-    out = out.withColumns({c: F.coalesce(match[c], F.col(c)) for c in fields}).drop("__by_id", "__by_pair")
+    kept = kept.withColumns({c: F.coalesce(match[c], F.col(c)) for c in fields}).drop("__by_id", "__by_pair")
     meta = [c for c in game_meta if c in kinds]
     if meta:
-        per_game = refreshed.groupBy("game_pk").agg(F.max(F.struct("rank", *meta)).alias("__meta"))
-        out = out.join(per_game, "game_pk", "left")
-        out = out.withColumns({c: F.coalesce(usable(F.col(c), kinds[c]), F.col(f"__meta.{c}")) for c in meta}).drop("__meta")
+        per_game = refreshed.where(F.col("game_pk").isNotNull()).groupBy("game_pk").agg(F.max_by(F.struct(*meta), newest).alias("__m"))
+        kept = _fill(kept, per_game.select("game_pk", "__m.*"), "game_pk", meta)
+    if parks is not None:
+        homes = games.select("game_pk", F.col("home_team").alias("__home"))
+        places = parks.select(F.col("home_team").alias("__home"), *[c for c in game_meta if c in parks.columns])
+        kept = _fill(kept.join(homes, "game_pk", "left"), places, "__home", places.columns[1:]).drop("__home")
     fresh = refreshed.join(locked.select("game_pk").distinct(), "game_pk", "left_anti")
-    return out.select(*existing.columns).unionByName(fresh, allowMissingColumns=True)
+    rows = kept.unionByName(fresh, allowMissingColumns=True).withColumn("__slate", F.lit(1))
+    ranked = rerank(rows, slate=["__slate"], score=score, probability=probability, name=name, tie="pick_id").drop("__slate")
+    ranked = ranked.withColumn("rank", F.col("rank").cast(dict(existing.dtypes).get("rank", "int")))
+    if max_picks is not None:
+        any_locked = locked.agg(F.count(F.lit(1)) > 0).scalar()
+        ranked = ranked.where((F.col("rank") <= max_picks) | ~any_locked)
+    return existing.where(~today).unionByName(ranked, allowMissingColumns=True)
 
 
 def settle(

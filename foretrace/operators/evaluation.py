@@ -65,8 +65,12 @@ def expanding_folds(
     return placed.withColumn(name, F.greatest(fold, F.lit(0)).cast("int")).drop("__pos")
 
 
-def rolling_windows(df: DataFrame, *, date: str, days: int = 28, windows: int = 6, attempts: int = 48) -> DataFrame:
-    """The newest non-empty holdout windows of ``days`` days, with the rows and dates before them; from counts per day."""
+def rolling_windows(df: DataFrame, *, date: str, days: int = 28, windows: int = 6, attempts: int | None = None) -> DataFrame:
+    """The newest non-empty holdout windows of ``days`` days, with the rows and dates before them; from counts per day.
+
+    They are looked for in the newest ``attempts`` windows, eight times as many as are wanted unless stated.
+    """
+    attempts = 8 * windows if attempts is None else attempts
     daily = df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("n"))
     newest = df.agg(F.max(date)).scalar()
     daily = daily.withColumn("__back", F.floor(F.datediff(newest, date) / F.lit(days)).cast("int"))
@@ -149,11 +153,11 @@ def probability_metrics(df: DataFrame, *, score: str, label: str, keys: Sequence
         F.sum("n").alias("n_rows"),
         F.sum("pos").alias("positives"),
         F.sum(F.col("pos") * (pos_through / through)).alias("__ap"),
-        F.sum(neg * (F.col("pos_above") + F.col("pos") / 2)).alias("__auc"),
+        F.sum(neg.cast("double") * (F.col("pos_above") + F.col("pos") / 2)).alias("__auc"),
         F.sum(-(F.col("pos") * F.log(p) + neg * F.log(1 - p))).alias("__ll"),
         F.sum(F.col("pos") * (1 - F.col(score)) * (1 - F.col(score)) + neg * F.col(score) * F.col(score)).alias("__bs"),
     )
-    pos, n = F.col("positives"), F.col("n_rows")
+    pos, n = F.col("positives").cast("double"), F.col("n_rows").cast("double")
     return sums.select(
         *keys,
         "n_rows",
@@ -245,17 +249,33 @@ def distinct_threshold_sweep(df: DataFrame, *, score: str, label: str) -> DataFr
 OBJECTIVES = {"f1": "f1", "f0.5": "f0_5", "balanced_accuracy": "balanced_accuracy", "precision_at_min_recall": "precision"}
 
 
+# The constraint stages' steps, ends and labels.
+RATE_END, RECALL_END, STAGE_STEP = 0.25, 0.05, 0.02
+STAGE_LABELS = {
+    "asked": "requested_constraints",
+    "rate": "relaxed_max_positive_rate_to_{:.2f}",
+    "recall": "relaxed_min_recall_to_{:.2f}",
+}
+
+
+def _ladder(start: float, end: float) -> list[float]:
+    """The values from ``start`` (excluded) to ``end`` in stage steps, counted in whole ten-thousandths; the last step
+    may be shorter. Empty where ``start`` is at ``end`` or beyond."""
+    first, last, step = (round(x * 10_000) for x in (start, end, STAGE_STEP))
+    direction = 1 if end > start else -1
+    return [x / 10_000 for x in (*range(first + direction * step, last, direction * step), last)] if first != last else []
+
+
 def relaxation_stages(min_recall: float, max_rate: float) -> list[tuple[str, float, float]]:
-    """The constraint stages: as asked, then a higher rate limit up to 0.25, then a lower recall floor down to 0.05."""
-    stages = [("requested_constraints", min_recall, max_rate)]
-    rate, recall = max_rate, min_recall
-    while rate < 0.25 - 1e-12:
-        rate = round(min(rate + 0.02, 0.25), 4)
-        stages.append((f"relaxed_max_positive_rate_to_{rate:.2f}", min_recall, rate))
-    while recall > 0.05 + 1e-12:
-        recall = round(max(recall - 0.02, 0.05), 4)
-        stages.append((f"relaxed_min_recall_to_{recall:.2f}", recall, rate))
-    return stages
+    """The constraint stages: as asked, then all higher rate limits, then all lower recall floors at the last rate limit."""
+    rates = _ladder(max_rate, RATE_END) if max_rate < RATE_END else []
+    recalls = _ladder(min_recall, RECALL_END) if min_recall > RECALL_END else []
+    widest = max([max_rate, *rates])
+    return [
+        (STAGE_LABELS["asked"], min_recall, max_rate),
+        *[(STAGE_LABELS["rate"].format(rate), min_recall, rate) for rate in rates],
+        *[(STAGE_LABELS["recall"].format(recall), recall, widest) for recall in recalls],
+    ]
 
 
 def select_threshold(

@@ -76,26 +76,46 @@ def to_date(
 
 
 def previous_row(
-    df: DataFrame, *, keys: Sequence[str], date: str, order: Sequence[str], values: Mapping[str, str | Column]
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    date: str,
+    order: Sequence[str],
+    values: Mapping[str, str | Column],
+    blocks: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the values of the entity's previous row, also across days (a ``lag`` that splits hot entities by day)."""
+    """Add the values of the entity's previous row (a ``lag`` that splits hot entities).
+
+    ``blocks`` are columns, coarse to fine, that follow the order of an entity's rows; its days unless stated. The last row
+    of each finest block is found map-side and handed to the next block, so only rows of one block are sorted together;
+    where a day of an entity is too much for a task, add the columns of ``scan.border_blocks`` to the date.
+    """
+    blocks = list(blocks or [date])
     packed = F.struct(*[as_col(c).alias(n) for n, c in values.items()])
     work = df.withColumn("__packed", packed)
-    day_last = work.groupBy(*keys, date).agg(F.max_by("__packed", F.struct(*order)).alias("__day_last"))
-    by_day = Window.partitionBy(*keys).orderBy(date)
-    day_last = day_last.select(*keys, date, F.lag("__day_last").over(by_day).alias("__before_day"))
-    in_day = Window.partitionBy(*keys, date).orderBy(*order)
-    out = work.join(day_last, [*keys, date], "left").withColumn(
-        "__prior", F.coalesce(F.lag("__packed").over(in_day), F.col("__before_day"))
+    last = work.groupBy(*keys, *blocks).agg(F.max_by("__packed", F.struct(*order)).alias("__last"))
+    by_block = Window.partitionBy(*keys).orderBy(*blocks)
+    last = last.select(*keys, *blocks, F.lag("__last").over(by_block).alias("__before_block"))
+    inside = Window.partitionBy(*keys, *blocks).orderBy(*order)
+    out = work.join(last, [*keys, *blocks], "left").withColumn(
+        "__prior", F.coalesce(F.lag("__packed").over(inside), F.col("__before_block"))
     )
-    return out.withColumns({n: F.col("__prior")[n] for n in values}).drop("__packed", "__before_day", "__prior")
+    return out.withColumns({n: F.col("__prior")[n] for n in values}).drop("__packed", "__before_block", "__prior")
 
 
 def lagged_spread(
-    df: DataFrame, *, keys: Sequence[str], date: str, order: Sequence[str], value: str, days: int, prefix: str
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    date: str,
+    order: Sequence[str],
+    value: str,
+    days: int,
+    prefix: str,
+    blocks: Sequence[str] | None = None,
 ) -> DataFrame:
     """Count and sample deviation, over a day window, of the *previous row's* value (deviation 0 below two values)."""
-    lagged = previous_row(df, keys=keys, date=date, order=order, values={"__lagged": F.col(value).cast("double")})
+    lagged = previous_row(df, keys=keys, date=date, order=order, values={"__lagged": F.col(value).cast("double")}, blocks=blocks)
     out = attach_trailing(
         lagged,
         keys=keys,

@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 
 from foretrace.functions.scalar import flag
 
-BROADCAST_ROWS = 100_000
-
-
-def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``dim`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffled join)."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
-
 
 def attach_dim(df: DataFrame, dim: DataFrame, *, on: Sequence[str]) -> DataFrame:
     """Left join to a dimension. The join strategy follows the measured size of the dimension (adaptive execution):
@@ -34,14 +25,15 @@ def join_audit(
 ) -> DataFrame:
     """One row about a join, from the row counts per key and without making its rows.
 
-    Null keys match nothing. ``duplicates`` count rows beyond the first of each key.
+    Null keys match nothing. ``duplicates`` count rows beyond the first of each key. Counts are decimal(38, 0), as the rows
+    of a join can outgrow a long.
     """
     keys = list(on)
     left_counts = key_counts(left, keys, "__l")
     known = [F.count(F.col(c)).alias(f"__known_{c}") for c in tracked]
     right_counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__r"), *known)
     both = left_counts.join(right_counts, keys, "full")
-    n_left, n_right = F.coalesce("__l", F.lit(0)), F.coalesce("__r", F.lit(0))
+    n_left, n_right = F.coalesce("__l", F.lit(0)).cast("decimal(19,0)"), F.coalesce("__r", F.lit(0)).cast("decimal(19,0)")
     rows = n_left * n_right
     if how in ("left", "outer", "full"):
         rows = F.when(n_right == 0, n_left).otherwise(rows)
@@ -55,9 +47,9 @@ def join_audit(
         "matched_rows": F.sum(F.when(n_right > 0, n_left).otherwise(0)),
         "unmatched_rows": F.sum(F.when(n_right == 0, n_left).otherwise(0)),
         "output_rows": F.sum(rows),
-        **{f"non_null_{c}": F.sum(n_left * F.coalesce(f"__known_{c}", F.lit(0))) for c in tracked},
+        **{f"non_null_{c}": F.sum(n_left * F.coalesce(f"__known_{c}", F.lit(0)).cast("decimal(19,0)")) for c in tracked},
     }
-    return both.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in total.items()])
+    return both.agg(*[F.coalesce(c, F.lit(0)).cast("decimal(38,0)").alias(n) for n, c in total.items()])
 
 
 def require_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:

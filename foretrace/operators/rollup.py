@@ -52,13 +52,23 @@ def rollup(
     return df.groupBy(*keys).agg(*aggregates)
 
 
+def side_code(side: str) -> Column:
+    """A one-letter side as a number, so that the first one is found in a hash aggregate; null and empty have none."""
+    return F.nullif(F.ascii(side), F.lit(0))
+
+
 def batter_games(pa: DataFrame, *, order: Sequence[str]) -> DataFrame:
-    """Plate appearances to one row per batter and game."""
+    """Plate appearances to one row per batter and game; sides are single letters."""
     out = rollup(
         pa,
         keys=["game_pk", "game_date", "batter_id"],
         order=order,
-        firsts={"team": "batting_team", "opponent": "fielding_team", "bat_side": "stand", "pitcher_hand": "p_throws"},
+        firsts={
+            "team": "batting_team",
+            "opponent": "fielding_team",
+            "bat_side": side_code("stand"),
+            "pitcher_hand": side_code("p_throws"),
+        },
         maxes={"is_home": "is_home", "max_exit_velocity": "launch_speed"},
         mins={"batting_order": "batting_order"},
         sums={
@@ -76,7 +86,8 @@ def batter_games(pa: DataFrame, *, order: Sequence[str]) -> DataFrame:
         },
         means={"avg_launch_angle": "launch_angle", "avg_exit_velocity": "launch_speed"},
     )
-    return out.withColumn("hit_hr", flag(F.col("hr_count") > 0))
+    sides = {c: F.char(c) for c in ("bat_side", "pitcher_hand")}
+    return out.withColumns(sides | {"hit_hr": flag(F.col("hr_count") > 0)})
 
 
 HANDED = {
@@ -100,7 +111,7 @@ def pitcher_games(pa: DataFrame, *, order: Sequence[str]) -> DataFrame:
         pa,
         keys=["game_pk", "game_date", "batting_team", "fielding_team", "pitcher_id"],
         order=order,
-        firsts={"p_throws": "p_throws"},
+        firsts={"p_throws": side_code("p_throws")},
         sums={
             **HANDED,
             "fb_allowed": "fly_ball_bbe_count",
@@ -114,7 +125,7 @@ def pitcher_games(pa: DataFrame, *, order: Sequence[str]) -> DataFrame:
         maxes={"max_ev_allowed": "launch_speed"},
     )
     out = out.withColumnsRenamed({"batting_team": "team", "fielding_team": "opponent"})
-    return out.withColumn("innings_pitched_est", F.col("outs_recorded") / F.lit(3.0))
+    return out.withColumns({"p_throws": F.char("p_throws"), "innings_pitched_est": F.col("outs_recorded") / F.lit(3.0)})
 
 
 def most_frequent(

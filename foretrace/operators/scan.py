@@ -78,34 +78,35 @@ def positions(
     return out.withColumn(name, F.col(name) + 1)
 
 
-def spread_blocks(
-    df: DataFrame, value: str, *, keys: Sequence[str], levels: Sequence[int] = (1000, 1000000)
+BORDERS, STEP = 1024, 32
+
+
+def border_blocks(
+    df: DataFrame, by: str, *, keys: Sequence[str], name: str, borders: int = BORDERS, distinct: bool = True
 ) -> tuple[DataFrame, list[str]]:
-    """Block columns for any numeric column, scaled by its smallest and largest value per key (keys are few).
+    """Two block columns, coarse and fine, that follow the order of ``by``, a column of any type that can be ordered.
 
-    The scaling is monotone in the value, so blocks never reorder values, whatever their distribution.
+    The borders are values of the column itself: those ``borders`` distinct ones of each key whose hashes are least, in
+    order. They are spread like the values are, so outliers, constants, NaN, hashed ids and texts make no block much
+    larger than its share, and they are the same whenever they are computed again. They only cut the order; every row is
+    placed by comparing its own value with them. ``distinct=False`` says that keys and values do not repeat.
     """
-    low, high = "__low", "__high"
-    bounds = [F.min(value).cast("double").alias(low), F.max(value).cast("double").alias(high)]
+    keys, low = list(keys), f"__{name}_borders"
+    values = df.where(F.col(by).isNotNull()).select(*keys, F.col(by).alias("__v"))
+    values = (values.distinct() if distinct else values).withColumn("__h", F.xxhash64("__v"))
     if keys:
-        out = df.join(df.groupBy(*keys).agg(*bounds), list(keys), "left")
+        least = Window.partitionBy(*keys).orderBy("__h", "__v")
+        values = values.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= borders)
+        out = df.join(values.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias(low)), keys, "left")
     else:
-        both = df.agg(F.struct(*bounds).alias("__bounds")).scalar()
-        out = df.withColumn("__bounds", both).select(*df.columns, "__bounds.*")
-    share = F.coalesce(
-        (F.col(value).cast("double") - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0)), F.lit(0.0)
-    )
-    names = [f"__{value}_b{i}" for i in range(len(levels))]
-    out = out.withColumns({n: F.floor(share * size) for n, size in zip(names, levels)})
-    return out.drop(low, high), names
-
-
-def id_blocks(df: DataFrame, tie: str) -> tuple[DataFrame, list[str]]:
-    """Blocks of about a million consecutive numbers for a whole-number tie key; none for other types."""
-    kind = dict(df.dtypes)[tie]
-    if kind not in ("bigint", "int", "smallint", "tinyint"):
-        return df, []
-    return df.withColumn("__tie_block", F.shiftright(F.col(tie).cast("bigint"), 20)), ["__tie_block"]
+        picked = values.orderBy("__h", "__v").limit(borders)
+        out = df.withColumn(low, picked.agg(F.array_sort(F.collect_list("__v"))).scalar())
+    coarse, fine = f"__{name}_coarse", f"__{name}_fine"
+    reached = lambda places: F.coalesce(F.size(F.filter(places, lambda x: x <= F.col(by))), F.lit(0))
+    every = F.filter(F.col(low), lambda x, i: i % STEP == STEP - 1)
+    out = out.withColumn(coarse, F.when(F.col(low).isNotNull(), reached(every)).otherwise(0))
+    near = F.slice(low, F.col(coarse) * STEP + 1, F.lit(STEP))
+    return out.withColumn(fine, F.when(F.col(low).isNotNull(), reached(near)).otherwise(0)).drop(low), [coarse, fine]
 
 
 def ordered_values(
@@ -117,7 +118,8 @@ def ordered_values(
     """
     distinct = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]))
     sign = -1 if descending else 1
-    blocked, blocks = spread_blocks(distinct.withColumn("__ordered", sign * F.col(value)), "__ordered", keys=keys)
+    signed = distinct.withColumn("__ordered", sign * F.col(value))
+    blocked, blocks = border_blocks(signed, "__ordered", keys=keys, name="ordered", distinct=False)
     sums = {f"{n}_before": n for n in counts}
     return prior_sums(blocked, keys=keys, blocks=blocks, order=["__ordered"], sums=sums).drop("__ordered", *blocks)
 
@@ -145,11 +147,8 @@ def ranks(
         F.col("__same_before").alias("__lower"),
         (F.col(total) - F.col("__same_before") - F.col("__same")).alias("__higher"),
     )
-    tied, blocks = id_blocks(df, tie)
-    if blocks:
-        tied = positions(tied, keys=[*keys, value], blocks=blocks, order=[tie], name="__i").drop(*blocks)
-    else:
-        tied = tied.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, value).orderBy(tie)))
+    tied, blocks = border_blocks(df, tie, keys=[], name="tie")
+    tied = positions(tied, keys=[*keys, value], blocks=blocks, order=[tie], name="__i").drop(*blocks)
     out = tied.join(placed, [*keys, value], "left")
     index = F.col("__i")
     return out.withColumns({best: F.col("__higher") + index, lowest: F.col("__lower") + index}).drop("__i", "__lower", "__higher")

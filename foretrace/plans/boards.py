@@ -38,11 +38,11 @@ SCORE_ORDER = "predicted_hr_score DESC NULLS LAST, predicted_hr_probability DESC
 @query(
     "forward_only",
     f"""WITH {BOARD_SQL} SELECT pick_id, round(coalesce(CASE WHEN batter_id % 2 = 1 THEN predicted_hr_score END, predicted_hr_probability * 100), 6) AS score
-    FROM board WHERE game_date >= DATE '2024-01-10'""",
+    FROM board WHERE game_date >= (SELECT max(game_date) - 20 FROM board)""",
 )
 def forward_only(spark: SparkSession, sf: str) -> DataFrame:
-    board = T.board(spark, sf).withColumn("score", F.when(F.col("batter_id") % 2 == 1, F.col("predicted_hr_score")))
-    out = B.forward_only(board, date="game_date", start=day("2024-01-10"), score="score", probability="predicted_hr_probability")
+    board = T.board(spark, sf, shared=True).withColumn("score", F.when(F.col("batter_id") % 2 == 1, F.col("predicted_hr_score")))
+    out = B.forward_only(board, date="game_date", start=T.day_back(board, 20), score="score", probability="predicted_hr_probability")
     return rounded(out.select("pick_id", "score"), "score")
 
 
@@ -73,14 +73,14 @@ def tier_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "tier_eval",
-    f"""WITH {BOARD_SQL}, b AS (SELECT * FROM board WHERE confidence_tier <> 'strong' AND actual_hit_hr IS NOT NULL)
+    f"""WITH {BOARD_SQL}, b AS (SELECT * FROM board WHERE actual_hit_hr IS NOT NULL)
     SELECT t AS confidence_tier, count(b.pick_id) AS sample_size, CAST(coalesce(sum(actual_hit_hr), 0) AS BIGINT) AS hr_count,
       round(coalesce(CAST(sum(actual_hit_hr) AS DOUBLE) / nullif(count(b.pick_id), 0), 0), 6) AS precision,
       CAST(count(b.pick_id) - coalesce(sum(actual_hit_hr), 0) AS BIGINT) AS false_positives
     FROM (SELECT unnest(['elite', 'strong', 'watch', 'longshot']) AS t) LEFT JOIN b ON b.confidence_tier = t GROUP BY t""",
 )
 def tier_eval(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.board(spark, sf).where("confidence_tier != 'strong' and actual_hit_hr is not null")
+    rows = T.board(spark, sf).where("actual_hit_hr is not null")
     return rounded(B.tier_evaluation(rows, tier="confidence_tier", outcome="actual_hit_hr"), "precision")
 
 
@@ -106,24 +106,31 @@ def overview_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(B.overview(board, date="game_date", outcome="actual_hit_hr", latest=latest), "tracked_hit_rate")
 
 
-@query("date_options", f"WITH {BOARD_SQL} SELECT DISTINCT game_date, game_date = DATE '2024-01-19' AS is_default FROM board")
+@query("date_options", f"WITH {BOARD_SQL} SELECT DISTINCT game_date, game_date = (SELECT max(game_date) FROM board WHERE game_date < (SELECT max(game_date) - 10 FROM board)) AS is_default FROM board")
 def date_options(spark: SparkSession, sf: str) -> DataFrame:
-    return B.date_options(T.board(spark, sf), date="game_date", as_of=day("2024-01-20"))
+    board = T.board(spark, sf, shared=True)
+    return B.date_options(board, date="game_date", as_of=T.day_back(board, 10))
 
 
 STATE_SQL = """CASE WHEN regexp_matches(lower(game_status), 'final|game over|completed early|postponed|cancelled') THEN 'final'
   WHEN regexp_matches(lower(game_status), 'in progress|manager challenge|review|warmup|mid|delayed start|delayed|suspended') THEN 'live'
-  WHEN first_ts <= TIMESTAMP '2024-01-25 12:00:00' THEN 'live' ELSE 'pregame' END"""
+  WHEN first_ts <= (SELECT CAST(max(game_date) - 5 AS TIMESTAMP) + INTERVAL 12 HOUR FROM board) THEN 'live' ELSE 'pregame' END"""
+
+
+def reference_time(board: DataFrame) -> Column:
+    """Noon of the fifth day before the newest one."""
+    return T.day_back(board, 5).cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
 
 
 def board_with_state(spark: SparkSession, sf: str) -> DataFrame:
-    return T.board(spark, sf).withColumn("game_state", X.game_state("game_status", "first_ts", stamp("2024-01-25 12:00:00")))
+    board = T.board(spark, sf, shared=True)
+    return board.withColumn("game_state", X.game_state("game_status", "first_ts", reference_time(board)))
 
 
 def game_states(board: DataFrame) -> DataFrame:
     """One row per game of the board, from its first start."""
     games = board.groupBy("game_pk", "game_date").agg(F.max("game_status").alias("game_status"), F.min("first_ts").alias("first_ts"))
-    return games.withColumn("game_state", X.game_state("game_status", "first_ts", stamp("2024-01-25 12:00:00")))
+    return games.withColumn("game_state", X.game_state("game_status", "first_ts", reference_time(board)))
 
 
 GAMES_SQL = f"""games AS (SELECT game_pk, game_date, game_status, first_ts, {STATE_SQL} AS game_state
@@ -136,7 +143,7 @@ GAMES_SQL = f"""games AS (SELECT game_pk, game_date, game_status, first_ts, {STA
       CAST(sum(CASE WHEN game_state <> 'pregame' THEN 1 ELSE 0 END) AS BIGINT) AS locked_games, count(*) AS games FROM games GROUP BY game_date""",
 )
 def slate_state(spark: SparkSession, sf: str) -> DataFrame:
-    return B.slate_state(game_states(T.board(spark, sf)), date="game_date", state="game_state", start="first_ts")
+    return B.slate_state(game_states(T.board(spark, sf, shared=True)), date="game_date", state="game_state", start="first_ts")
 
 
 # ---------------------------------------------------------------- ranks and selection
@@ -168,7 +175,7 @@ def pool_sql(source: str, keys: str = "team, batter_id", extra: str = "") -> str
 
 @query(
     "topk_multi_key",
-    f"""WITH {BG_SQL}, pool AS ({pool_sql("bg")}) SELECT team, batter_id, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY {POOL_KEYS}, batter_id) AS rn FROM pool) WHERE rn <= 3""",
+    f"""WITH {BG_SQL}, pool AS ({pool_sql("bg")}) SELECT team, batter_id, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY {POOL_KEYS}, batter_id) AS rn FROM pool) WHERE rn <= 9""",
 )
 def topk_multi_key(spark: SparkSession, sf: str) -> DataFrame:
     from foretrace.operators.rollup import pool_summary
@@ -177,7 +184,7 @@ def topk_multi_key(spark: SparkSession, sf: str) -> DataFrame:
         T.batter_counts(spark, sf, shared=False), keys=["team", "batter_id"], order=["game_date", "game_pk"], date="game_date", game="game_pk", volume="pa_count", latest=["max_exit_velocity"]
     )
     order = [F.desc_nulls_last(c) for c in ("recent_starts", "recent_games", "avg_recent_pa", "max_exit_velocity", "last_game_date")] + [F.asc("batter_id")]
-    return K.topk(pool, keys=["team"], order=order, k=3, name="place").select("team", "batter_id", "place")
+    return K.topk(pool, keys=["team"], order=order, k=9, name="place").select("team", "batter_id", "place")
 
 
 CAPS = {"slate": "game_date", "team": "team", "game": "slate_game", "score": "predicted_hr_probability", "tie": "pick_id", "team_cap": 2, "game_cap": 3, "limit": 20}
@@ -218,29 +225,39 @@ def rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "recent_hits",
-    f"WITH {BOARD_SQL} SELECT pick_id, predicted_hr_score FROM board WHERE game_date = DATE '2024-01-19' AND result_label = 'HR' ORDER BY predicted_hr_score DESC NULLS LAST, rank NULLS LAST, pick_id LIMIT 25",
+    f"WITH {BOARD_SQL} SELECT pick_id, predicted_hr_score FROM board WHERE game_date = (SELECT max(game_date) - 11 FROM board) AND result_label = 'HR' ORDER BY predicted_hr_score DESC NULLS LAST, rank NULLS LAST, pick_id LIMIT 25",
 )
 def recent_hits(spark: SparkSession, sf: str) -> DataFrame:
     order = [F.desc_nulls_last("predicted_hr_score"), F.asc_nulls_last("rank"), F.asc("pick_id")]
-    return K.recent_hits(T.board(spark, sf), date="game_date", day=day("2024-01-19"), label="result_label", order=order).select("pick_id", "predicted_hr_score")
+    board = T.board(spark, sf, shared=True)
+    return K.recent_hits(board, date="game_date", day=T.day_back(board, 11), label="result_label", order=order).select("pick_id", "predicted_hr_score")
 
 
 # ---------------------------------------------------------------- upserts and merges
 
 UPSERT = ("pick_id", "game_date", "predicted_hr_score", "result_label", "actual_hit_hr", "batter_name")
-INCOMING_SQL = """h AS (SELECT pick_id, game_date, predicted_hr_score, result_label, actual_hit_hr, batter_name FROM board WHERE game_date <= DATE '2024-01-20'),
-  n0 AS (SELECT *, CASE WHEN batter_id % 2 = 0 THEN 'Pending' ELSE result_label END AS lab FROM board WHERE game_date BETWEEN DATE '2024-01-18' AND DATE '2024-01-25' AND batter_id % 5 <> 0),
-  n AS (SELECT pick_id, game_date, predicted_hr_score + 1 AS predicted_hr_score, lab AS result_label, CASE WHEN lab = 'HR' THEN 1 WHEN lab = 'No HR' THEN 0 END AS actual_hit_hr, batter_name FROM n0)"""
+# Two versions of the whole board: each has ids that the other has not, and the older half of the incoming one is of
+# later dates, so that history has dates that are not published again.
+INCOMING_SQL = """h AS (SELECT CASE WHEN batter_id % 5 = 0 THEN pick_id || ':h' ELSE pick_id END AS pick_id, game_date, predicted_hr_score, result_label, actual_hit_hr, batter_name FROM board),
+  n0 AS (SELECT CASE WHEN batter_id % 7 = 0 THEN pick_id || ':n' ELSE pick_id END AS pick_id, batter_name, predicted_hr_score + 1 AS predicted_hr_score,
+    CASE WHEN game_date < (SELECT max(game_date) - 12 FROM board) THEN game_date + 100 ELSE game_date END AS game_date, CASE WHEN batter_id % 2 = 0 THEN 'Pending' ELSE result_label END AS result_label FROM board),
+  n AS (SELECT pick_id, game_date, predicted_hr_score, result_label, CASE WHEN result_label = 'HR' THEN 1 WHEN result_label = 'No HR' THEN 0 END AS actual_hit_hr, batter_name FROM n0)"""
+
+
+def marked_id(every: int, mark: str) -> Column:
+    return F.when(F.col("batter_id") % every == 0, F.concat("pick_id", F.lit(mark))).otherwise(F.col("pick_id"))
 
 
-def history_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return T.board(spark, sf).where(F.col("game_date") <= day("2024-01-20")).select(*UPSERT)
+def history_rows(board: DataFrame) -> DataFrame:
+    return board.withColumn("pick_id", marked_id(5, ":h")).select(*UPSERT)
 
 
-def incoming_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.board(spark, sf).where(F.col("game_date").between(day("2024-01-18"), day("2024-01-25")) & (F.col("batter_id") % 5 != 0))
-    rows = rows.withColumns(
+def incoming_rows(board: DataFrame) -> DataFrame:
+    early = F.col("game_date") < T.day_back(board, 12)
+    rows = board.withColumns(
         {
+            "pick_id": marked_id(7, ":n"),
+            "game_date": F.when(early, F.date_add("game_date", 100)).otherwise(F.col("game_date")),
             "result_label": F.when(F.col("batter_id") % 2 == 0, "Pending").otherwise(F.col("result_label")),
             "predicted_hr_score": F.col("predicted_hr_score") + 1,
         }
@@ -257,12 +274,14 @@ def incoming_rows(spark: SparkSession, sf: str) -> DataFrame:
       coalesce(n.batter_name, k.batter_name) AS batter_name FROM k FULL JOIN n ON n.pick_id = k.pick_id""",
 )
 def upsert_history(spark: SparkSession, sf: str) -> DataFrame:
-    return B.upsert_history(history_rows(spark, sf), incoming_rows(spark, sf))
+    board = T.board(spark, sf, shared=True)
+    return B.upsert_history(history_rows(board), incoming_rows(board))
 
 
 @query("upsert_replace", f"WITH {BOARD_SQL}, {INCOMING_SQL} SELECT * FROM h WHERE pick_id NOT IN (SELECT pick_id FROM n) UNION ALL SELECT * FROM n")
 def upsert_replace(spark: SparkSession, sf: str) -> DataFrame:
-    return B.upsert_replace(history_rows(spark, sf), incoming_rows(spark, sf))
+    board = T.board(spark, sf, shared=True)
+    return B.upsert_replace(history_rows(board), incoming_rows(board))
 
 
 @query(
@@ -271,7 +290,8 @@ def upsert_replace(spark: SparkSession, sf: str) -> DataFrame:
     SELECT *, 'current' AS side FROM n UNION ALL SELECT *, 'current' FROM lost WHERE pick_id NOT IN (SELECT pick_id FROM n) UNION ALL SELECT *, 'history' FROM h WHERE result_label <> 'Pending'""",
 )
 def recover_pending(spark: SparkSession, sf: str) -> DataFrame:
-    current, history = B.recover_pending(incoming_rows(spark, sf), history_rows(spark, sf))
+    board = T.board(spark, sf, shared=True)
+    current, history = B.recover_pending(incoming_rows(board), history_rows(board))
     return current.withColumn("side", F.lit("current")).unionByName(history.withColumn("side", F.lit("history")))
 
 
@@ -281,42 +301,52 @@ def recover_pending(spark: SparkSession, sf: str) -> DataFrame:
     SELECT *, 'current' AS side FROM lost UNION ALL SELECT *, 'current' FROM n WHERE pick_id NOT IN (SELECT pick_id FROM lost) UNION ALL SELECT *, 'history' FROM h WHERE result_label <> 'Pending'""",
 )
 def recover_pending_all(spark: SparkSession, sf: str) -> DataFrame:
-    current, history = B.recover_pending(incoming_rows(spark, sf), history_rows(spark, sf), other_dates_only=False)
+    board = T.board(spark, sf, shared=True)
+    current, history = B.recover_pending(incoming_rows(board), history_rows(board), other_dates_only=False)
     return current.withColumn("side", F.lit("current")).unionByName(history.withColumn("side", F.lit("history")))
 
 
-MERGE_DAY = "2024-01-25"
+MERGE_BACK, MAX_PICKS = 5, 60
 
 
 @query(
     "locked_merge",
-    f"""WITH {BOARD_SQL}, {GAMES_SQL},
-    ex AS (SELECT * FROM board WHERE game_date = DATE '{MERGE_DAY}' AND batter_id % 2 = 0),
-    re AS (SELECT pick_id, game_pk, batter_id, batter_name, predicted_hr_score + 5 AS predicted_hr_score, predicted_hr_probability, 'new ' || batter_id AS top_reason_1 FROM board WHERE game_date = DATE '{MERGE_DAY}' AND batter_id % 3 <> 0),
-    locked AS (SELECT ex.*, coalesce(re.top_reason_1, 'old ' || ex.batter_id) AS top_reason_1 FROM ex JOIN games USING (game_pk) LEFT JOIN re ON re.pick_id = ex.pick_id WHERE game_state <> 'pregame'),
+    f"""WITH {BOARD_SQL}, {GAMES_SQL}, today AS (SELECT max(game_date) - {MERGE_BACK} AS d FROM board),
+    ex AS (SELECT *, 'old ' || batter_id AS top_reason_1 FROM board),
+    re AS (SELECT CASE WHEN batter_id % 3 = 0 THEN pick_id || ':n' ELSE pick_id END AS pick_id, game_pk, batter_id, batter_name, predicted_hr_score + 5 AS predicted_hr_score, predicted_hr_probability,
+      CASE WHEN batter_id % 4 <> 0 THEN 'new ' || batter_id ELSE '' END AS top_reason_1 FROM board WHERE game_date = (SELECT d FROM today)),
+    locked AS (SELECT ex.pick_id, ex.game_pk, ex.batter_name, ex.predicted_hr_score, ex.predicted_hr_probability, coalesce(nullif(re.top_reason_1, ''), ex.top_reason_1) AS top_reason_1
+      FROM ex JOIN games USING (game_pk) LEFT JOIN re ON re.game_pk = ex.game_pk AND re.batter_id = ex.batter_id WHERE game_state <> 'pregame' AND ex.game_date = (SELECT d FROM today)),
     al AS (SELECT pick_id, batter_name, predicted_hr_score, predicted_hr_probability, top_reason_1 FROM locked
-      UNION ALL SELECT pick_id, batter_name, predicted_hr_score, predicted_hr_probability, top_reason_1 FROM re WHERE game_pk NOT IN (SELECT game_pk FROM locked))
-    SELECT pick_id, round(predicted_hr_score, 6) AS predicted_hr_score, top_reason_1, rank FROM (SELECT *, row_number() OVER (ORDER BY {SCORE_ORDER}) AS rank FROM al) WHERE rank <= 60""",
+      UNION ALL SELECT pick_id, batter_name, predicted_hr_score, predicted_hr_probability, top_reason_1 FROM re WHERE game_pk NOT IN (SELECT game_pk FROM locked)),
+    ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY {SCORE_ORDER}) AS INTEGER) AS rank FROM al)
+    SELECT pick_id, round(predicted_hr_score, 6) AS predicted_hr_score, top_reason_1, rank FROM ranked WHERE rank <= {MAX_PICKS} OR NOT EXISTS (SELECT 1 FROM locked)
+    UNION ALL SELECT pick_id, round(predicted_hr_score, 6), top_reason_1, rank FROM ex WHERE game_date <> (SELECT d FROM today)""",
 )
 def locked_merge(spark: SparkSession, sf: str) -> DataFrame:
     board = board_with_state(spark, sf)
-    that_day = board.where(F.col("game_date") == day(MERGE_DAY))
-    existing = that_day.where(F.col("batter_id") % 2 == 0).withColumn("top_reason_1", F.concat(F.lit("old "), F.col("batter_id").cast("string")))
-    refreshed = that_day.where(F.col("batter_id") % 3 != 0).withColumns(
-        {"top_reason_1": F.concat(F.lit("new "), F.col("batter_id").cast("string")), "predicted_hr_score": F.col("predicted_hr_score") + 5}
+    batter = F.col("batter_id").cast("string")
+    existing = board.withColumn("top_reason_1", F.concat(F.lit("old "), batter))
+    today = T.day_back(board, MERGE_BACK)
+    refreshed = board.where(F.col("game_date") == today).withColumns(
+        {
+            "pick_id": marked_id(3, ":n"),
+            "top_reason_1": F.when(F.col("batter_id") % 4 != 0, F.concat(F.lit("new "), batter)).otherwise(""),
+            "predicted_hr_score": F.col("predicted_hr_score") + 5,
+        }
     )
-    merged = B.locked_merge(existing, refreshed, game_states(board), day=day(MERGE_DAY))
-    ranked = K.rerank(merged, slate=["game_date"], score="predicted_hr_score", probability="predicted_hr_probability", name="batter_name", tie="pick_id")
-    return rounded(ranked.where("rank <= 60").select("pick_id", "predicted_hr_score", "top_reason_1", "rank"), "predicted_hr_score")
+    merged = B.locked_merge(existing, refreshed, game_states(board), day=today, max_picks=MAX_PICKS)
+    return rounded(merged.select("pick_id", "predicted_hr_score", "top_reason_1", "rank"), "predicted_hr_score")
 
 
-@query("baseline_once", f"WITH {BOARD_SQL} SELECT pick_id, predicted_hr_score FROM board WHERE game_date = DATE '2024-01-12'")
+@query("baseline_once", f"WITH {BOARD_SQL} SELECT pick_id, predicted_hr_score FROM board WHERE game_date = (SELECT max(game_date) - 18 FROM board)")
 def baseline_once(spark: SparkSession, sf: str) -> DataFrame:
     root = writers.scratch_path(spark, "baseline")
-    board = T.board(spark, sf).select("pick_id", "game_date", "predicted_hr_score")
-    writers.write_baseline_once(board, root, date="game_date", day="2024-01-12")
+    board = T.board(spark, sf, shared=True).select("pick_id", "game_date", "predicted_hr_score")
+    first = str(board.agg(F.date_sub(F.max("game_date"), 18)).first()[0])
+    writers.write_baseline_once(board, root, date="game_date", day=first)
     later = board.withColumn("predicted_hr_score", F.lit(0.0))
-    writers.write_baseline_once(later, root, date="game_date", day="2024-01-12")
+    writers.write_baseline_once(later, root, date="game_date", day=first)
     return spark.read.parquet(root).select("pick_id", "predicted_hr_score")
 
 
@@ -336,37 +366,69 @@ def write_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-CONTRACT_SQL = f"""SELECT pick_id, game_pk, game_date, game_status, 'pregame' AS game_state, coalesce(rank, 999) AS rank, batter_id, batter_name, CAST(team AS VARCHAR) AS team, '' AS opponent_team,
-  pitcher_id, '' AS pitcher_name, confidence_tier, predicted_hr_probability, predicted_hr_score, '' AS top_reason_1, '' AS top_reason_2, '' AS top_reason_3, 'projected' AS lineup_source, CAST(NULL AS INTEGER) AS batting_order FROM board"""
+CONTRACT_SQL = """SELECT pick_id, '' AS published_at, game_pk, game_date, '' AS game_datetime, game_status, 'pregame' AS game_state, coalesce(rank, 999) AS rank, batter_id, batter_name, CAST(team AS VARCHAR) AS team,
+  '' AS opponent_team, pitcher_id, '' AS pitcher_name, 'projected' AS lineup_source, CAST(NULL AS INTEGER) AS batting_order, CASE WHEN team % 2 = 0 THEN 'Park ' || team ELSE '' END AS ballpark_name, '' AS ballpark_region_abbr,
+  CAST(team % 100 AS INTEGER) AS weather_code, '' AS weather_label, CASE WHEN batter_id % 2 = 0 THEN CAST(batter_id % 90 AS DOUBLE) END AS temperature_f, CAST(NULL AS DOUBLE) AS wind_speed_mph, CAST(NULL AS DOUBLE) AS wind_direction_deg,
+  CAST(NULL AS DOUBLE) AS field_bearing_deg, confidence_tier, predicted_hr_probability, predicted_hr_score, '' AS top_reason_1, '' AS top_reason_2, '' AS top_reason_3, result_label AS result FROM board"""
 
 
 @query("canonical_record", f"WITH {BOARD_SQL} {CONTRACT_SQL}")
 def canonical_record(spark: SparkSession, sf: str) -> DataFrame:
-    texts = T.board(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("game_pk", "rank", "batter_id", "pitcher_id", "game_date")})
-    return B.canonical_record(texts)
+    texts = T.board(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("game_pk", "rank", "batter_id", "pitcher_id", "game_date", "team")})
+    given = texts.withColumns(
+        {
+            "ballpark_name": F.when(F.col("team") % 2 == 0, F.concat(F.lit("Park "), "team")).otherwise(""),
+            "weather_code": (F.col("team").cast("int") % 100).cast("string"),
+            "temperature_f": F.when(F.col("batter_id").cast("bigint") % 2 == 0, (F.col("batter_id").cast("bigint") % 90).cast("string")).otherwise("n/a"),
+            "result": F.col("result_label"),
+        }
+    )
+    return B.canonical_record(given)
+
 
+PAYLOAD_SQL = f"""{BOARD_SQL}, settled AS (SELECT * FROM board WHERE actual_hit_hr IS NOT NULL), newest AS (SELECT max(game_date) AS d FROM board),
+  tiers AS (SELECT confidence_tier AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1),
+  leaders AS (SELECT batter_name || '/' || team AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1 HAVING count(*) >= 2)
+  SELECT 'overview' AS section, 'board' AS item, 'tracked_picks' AS name, CAST(count(*) AS DOUBLE) AS value FROM board
+  UNION ALL SELECT 'overview', 'board', 'settled_picks', CAST(count(actual_hit_hr) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'tracked_homers', CAST(sum(actual_hit_hr) AS DOUBLE) FROM board
+  UNION ALL SELECT 'overview', 'board', 'tracked_dates', CAST(count(DISTINCT game_date) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'open_picks', CAST(count(*) - count(actual_hit_hr) AS DOUBLE) FROM board
+  UNION ALL SELECT 'overview', 'board', 'latest_slate_size', CAST(count(*) AS DOUBLE) FROM board WHERE game_date = (SELECT d FROM newest)
+  UNION ALL SELECT 'confidence', t, 'picks', CAST(picks AS DOUBLE) FROM tiers UNION ALL SELECT 'confidence', t, 'homers', CAST(homers AS DOUBLE) FROM tiers
+  UNION ALL SELECT 'leader', t, 'picks', CAST(picks AS DOUBLE) FROM leaders UNION ALL SELECT 'leader', t, 'homers', CAST(homers AS DOUBLE) FROM leaders
+  UNION ALL SELECT DISTINCT 'date', CAST(game_date AS VARCHAR), 'is_default', CASE WHEN game_date = (SELECT max(game_date) FROM board WHERE game_date < (SELECT d FROM newest)) THEN CAST(1 AS DOUBLE) ELSE 0 END FROM board
+  UNION ALL SELECT 'active', pick_id, 'score', round(predicted_hr_score, 6) FROM board WHERE game_date = (SELECT d FROM newest)
+  UNION ALL SELECT 'history', pick_id, 'outcome', CAST(actual_hit_hr AS DOUBLE) FROM settled WHERE game_date <> (SELECT d FROM newest)"""
 
-@query("board_payload")
+
+@query("board_payload", f"WITH {PAYLOAD_SQL}")
 def board_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """The nested dashboard record: small aggregates only, so that it stays small whatever the board's size."""
-    board = T.board(spark, sf)
-    settled = board.where("actual_hit_hr is not null")
+    """The dashboard's parts as one tall table (section, item, name, value): picks and history stay rows, never one cell."""
+    board = T.board(spark, sf, shared=True)
+    settled, newest = board.where("actual_hit_hr is not null"), T.day_back(board, 0)
 
-    def listed(df: DataFrame, name: str) -> Column:
-        return df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name)).scalar()
+    def part(df: DataFrame, section: str, item: Column, *names: str) -> DataFrame:
+        rows = df.select(item.cast("string").alias("item"), *[F.col(n).cast("double").alias(n) for n in names])
+        return rows.unpivot(["item"], list(names), "name", "value").select(F.lit(section).alias("section"), "item", "name", "value")
 
+    overview = B.overview(board, date="game_date", outcome="actual_hit_hr", latest=newest)
+    shown = ("tracked_picks", "settled_picks", "tracked_homers", "tracked_dates", "open_picks", "latest_slate_size")
     tiers = B.tier_summary(settled, tier="confidence_tier", outcome="actual_hit_hr", probability="predicted_hr_probability")
-    leaders = B.leaderboard(settled, by=["batter_name", "team"], outcome="actual_hit_hr", minimum=2).limit(25)
-    hits = K.recent_hits(
-        board, date="game_date", day=day("2024-01-19"), label="result_label", order=[F.desc_nulls_last("predicted_hr_score"), F.asc("pick_id")]
-    ).select("pick_id", "batter_name", "predicted_hr_score")
-    overview = B.overview(board, date="game_date", outcome="actual_hit_hr", latest=board.agg(F.max("game_date")).scalar())
-    return overview.select(
-        F.to_json(F.struct(*overview.columns)).alias("overview"),
-        listed(tiers, "tiers").alias("confidence_summary"),
-        listed(leaders, "leaders").alias("player_leaderboard"),
-        listed(hits, "hits").alias("recent_successes"),
-    )
+    leaders = B.leaderboard(settled, by=["batter_name", "team"], outcome="actual_hit_hr", minimum=2)
+    dates = B.date_options(board, date="game_date", as_of=newest)
+    active = board.where(F.col("game_date") == newest).select("pick_id", F.round("predicted_hr_score", 6).alias("score"))
+    history = settled.where(F.col("game_date") != newest).select("pick_id", F.col("actual_hit_hr").alias("outcome"))
+    parts = [
+        part(overview, "overview", F.lit("board"), *shown),
+        part(tiers, "confidence", F.col("confidence_tier"), "picks", "homers"),
+        part(leaders, "leader", F.concat_ws("/", "batter_name", F.col("team").cast("string")), "picks", "homers"),
+        part(dates.withColumn("is_default", F.col("is_default").cast("int")), "date", F.col("game_date"), "is_default"),
+        part(active, "active", F.col("pick_id"), "score"),
+        part(history, "history", F.col("pick_id"), "outcome"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # ---------------------------------------------------------------- lineups, settlement
@@ -375,27 +437,27 @@ TARGET = "2024-01-29"
 LINEUP_SQL = f"""played AS (SELECT team, game_date, game_pk, row_number() OVER (PARTITION BY team ORDER BY game_date DESC, game_pk DESC) AS rn, max(game_date) OVER (PARTITION BY team) AS newest
     FROM (SELECT DISTINCT team, game_date, game_pk FROM bg WHERE game_date < DATE '{TARGET}')),
   elig AS (SELECT team, game_date, game_pk FROM played WHERE rn <= 3 AND CASE WHEN newest >= DATE '{TARGET}' - 21 THEN game_date >= DATE '{TARGET}' - 21 ELSE DATE '{TARGET}' - newest <= 210 END),
-  listed AS (SELECT DISTINCT team, batter_id, CAST(batter_id % 9 + 1 AS INTEGER) AS batting_order FROM bg WHERE team % 2 = 0 AND batter_id % 4 <> 0),
+  listed AS (SELECT DISTINCT team, batter_id, CAST(batter_id % 9 + 1 AS INTEGER) AS batting_order FROM bg WHERE team % 2 = 0),
   rows0 AS (SELECT bg.*, l.batting_order AS lineup_order, l.batter_id IS NOT NULL AS in_lineup FROM bg SEMI JOIN elig USING (team, game_date, game_pk)
     LEFT JOIN listed l ON l.team = bg.team AND l.batter_id = bg.batter_id),
-  rows1 AS (SELECT * FROM rows0 SEMI JOIN elig USING (team, game_date, game_pk) WHERE (team NOT IN (SELECT team FROM listed) OR in_lineup) AND batter_id % 10 <> 7),
+  rows1 AS (SELECT * FROM rows0 SEMI JOIN elig USING (team, game_date, game_pk) WHERE team NOT IN (SELECT team FROM listed) OR in_lineup),
   pool AS ({pool_sql("rows1", "team, batter_id", ", max(lineup_order) AS batting_order")}),
   lineups AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY {POOL_KEYS}, 'Bat ' || batter_id, batter_id) AS rn FROM pool),
   lu AS (SELECT team, batter_id, CASE WHEN team % 2 = 0 THEN 'Lineup ' || batter_id ELSE 'Roster ' || batter_id END AS batter_name, batting_order, CAST(rn AS INTEGER) AS projected_lineup_rank,
-    CASE WHEN team % 2 = 0 THEN 'confirmed' ELSE 'projected' END AS lineup_source FROM lineups WHERE rn <= 4)"""
+    CASE WHEN team % 2 = 0 THEN 'confirmed' ELSE 'projected' END AS lineup_source FROM lineups WHERE rn <= 9)"""
 
 
 def lineups(spark: SparkSession, sf: str) -> DataFrame:
     named = T.batter_counts(spark, sf).withColumn("batter_name", F.concat(F.lit("Bat "), F.col("batter_id").cast("string")))
     members = named.select("team", "batter_id").distinct()
-    projected = members.where((F.col("team") % 2 == 0) & (F.col("batter_id") % 4 != 0)).select(
+    projected = members.where(F.col("team") % 2 == 0).select(
         "team",
         "batter_id",
         F.concat(F.lit("Lineup "), F.col("batter_id").cast("string")).alias("batter_name"),
         (F.col("batter_id") % 9 + 1).cast("int").alias("batting_order"),
     )
-    roster = members.where(F.col("batter_id") % 10 != 7).withColumn("batter_name", F.concat(F.lit("Roster "), F.col("batter_id").cast("string")))
-    return L.probable_lineups(named, target=day(TARGET), forms=["max_exit_velocity"], projected=projected, roster=roster, hitters=4)
+    roster = members.withColumn("batter_name", F.concat(F.lit("Roster "), F.col("batter_id").cast("string")))
+    return L.probable_lineups(named, target=day(TARGET), forms=["max_exit_velocity"], projected=projected, roster=roster)
 
 
 @query("probable_lineup", f"WITH {BG_SQL}, {LINEUP_SQL} SELECT * FROM lu")
@@ -470,40 +532,44 @@ def lineup_panels(spark: SparkSession, sf: str) -> DataFrame:
     return panels.select("team", F.array_join(shown, "; ").alias("players"))
 
 
-SETTLE_SQL = f"""{BOARD_SQL}, picks AS (SELECT *, {STATE_SQL} AS game_state FROM board WHERE game_date >= DATE '2024-01-10'),
-  outc AS (SELECT game_pk, batter_id, hit_hr FROM board WHERE game_pk % 5 <> 0), box AS (SELECT game_pk, batter_id FROM board WHERE game_pk % 3 = 0 AND hit_hr = 1),
-  st AS (SELECT p.pick_id, p.game_date, p.game_pk, CASE WHEN p.game_date > DATE '2024-01-22' AND p.game_state <> 'final' AND p.game_pk % 3 <> 0 THEN p.result_label
-      WHEN b.game_pk IS NOT NULL THEN 'HR' WHEN o.game_pk IS NOT NULL THEN CASE WHEN o.hit_hr > 0 THEN 'HR' ELSE 'No HR' END
+SETTLE_SQL = f"""{BOARD_SQL}, picks AS (SELECT *, {STATE_SQL} AS game_state FROM board), through AS (SELECT max(game_date) - 8 AS d FROM board),
+  outc AS (SELECT game_pk, batter_id, CASE WHEN game_pk % 5 <> 0 THEN hit_hr END AS hit_hr FROM board), box AS (SELECT game_pk, batter_id FROM board WHERE game_pk % 3 = 0 AND hit_hr = 1),
+  st AS (SELECT p.pick_id, p.game_date, p.game_pk, CASE WHEN p.game_date > (SELECT d FROM through) AND p.game_state <> 'final' AND p.game_pk % 3 <> 0 THEN p.result_label
+      WHEN b.game_pk IS NOT NULL THEN 'HR' WHEN o.hit_hr IS NOT NULL THEN CASE WHEN o.hit_hr > 0 THEN 'HR' ELSE 'No HR' END
       WHEN regexp_matches(lower(p.game_status), 'postponed|cancelled') THEN 'Postponed'
-      WHEN p.game_state = 'final' THEN CASE WHEN p.game_pk % 3 = 0 OR p.game_date <= DATE '2024-01-22' THEN 'No HR' ELSE 'Pending' END ELSE 'Pending' END AS result_label
+      WHEN p.game_state = 'final' THEN CASE WHEN p.game_pk % 3 = 0 OR p.game_date <= (SELECT d FROM through) THEN 'No HR' ELSE 'Pending' END ELSE 'Pending' END AS result_label
     FROM picks p LEFT JOIN box b ON b.game_pk = p.game_pk AND b.batter_id = p.batter_id LEFT JOIN outc o ON o.game_pk = p.game_pk AND o.batter_id = p.batter_id)"""
 
 
-def settled(spark: SparkSession, sf: str) -> DataFrame:
-    board = board_with_state(spark, sf)
-    picks = board.where(F.col("game_date") >= day("2024-01-10")).select(*T.BOARD_COLUMNS.split(", "), "game_state")
+def settled(board: DataFrame) -> DataFrame:
+    """All picks; the outcome of every fifth game is unknown, and boxscores are read under the ids of every third game."""
+    picks = board.select(*T.BOARD_COLUMNS.split(", "), "game_state")
+    box_pk = F.when(F.col("game_pk") % 3 == 0, F.col("game_pk")).otherwise(-F.col("game_pk"))
+    boxscores = board.withColumn("game_pk", box_pk)
     return B.settle(
         picks,
-        outcomes=board.where("game_pk % 5 <> 0").select("game_pk", "batter_id", "hit_hr"),
-        boxscores=board.where("game_pk % 3 = 0 and hit_hr = 1").select("game_pk", "batter_id"),
-        known_games=board.where("game_pk % 3 = 0").select("game_pk").distinct(),
-        resolved_through=day("2024-01-22"),
+        outcomes=board.select("game_pk", "batter_id", F.when(F.col("game_pk") % 5 != 0, F.col("hit_hr")).alias("hit_hr")),
+        boxscores=boxscores.where("hit_hr = 1").select("game_pk", "batter_id"),
+        known_games=boxscores.select("game_pk").distinct(),
+        resolved_through=T.day_back(board, 8),
     )
 
 
 @query("settle", f"WITH {SETTLE_SQL} SELECT pick_id, result_label, CASE WHEN result_label = 'HR' THEN 1 WHEN result_label = 'No HR' THEN 0 END AS actual_hit_hr FROM st")
 def settle(spark: SparkSession, sf: str) -> DataFrame:
-    return settled(spark, sf).select("pick_id", "result_label", "actual_hit_hr")
+    return settled(board_with_state(spark, sf)).select("pick_id", "result_label", "actual_hit_hr")
 
 
 @query(
     "archive_dates",
     f"""WITH {SETTLE_SQL}, {GAMES_SQL} SELECT s.game_date, s.picks, s.term AND coalesce(g.fin, TRUE) AS archived FROM (SELECT game_date, count(*) AS picks, bool_and(result_label <> 'Pending') AS term FROM st GROUP BY 1) s
-    LEFT JOIN (SELECT game_date, bool_and(game_state = 'final') AS fin FROM games WHERE game_pk % 11 <> 0 AND game_pk % 17 <> 0 GROUP BY 1) g USING (game_date)""",
+    LEFT JOIN (SELECT game_date, bool_and(game_state = 'final' OR game_date < (SELECT max(game_date) - 10 FROM board)) AS fin FROM games GROUP BY 1) g USING (game_date)""",
 )
 def archive_dates(spark: SparkSession, sf: str) -> DataFrame:
-    games = game_states(T.board(spark, sf)).where("game_pk % 11 <> 0 and game_pk % 17 <> 0")
-    return B.archive_dates(settled(spark, sf), games)
+    board = board_with_state(spark, sf)
+    old = F.col("game_date") < T.day_back(board, 10)
+    games = game_states(board).withColumn("game_state", F.when(old, "final").otherwise(F.col("game_state")))
+    return B.archive_dates(settled(board), games)
 
 
 @query(

@@ -95,13 +95,13 @@ def export_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "catalog_report",
-    f"""WITH {EXPORT_SQL} SELECT 'hr_per_pa_last_30d' AS feature, 'batter_trailing' AS family, TRUE AS present, count(CASE WHEN game_date < DATE '2024-01-11' THEN a END) AS before_non_null, count(a) AS after_non_null, round(1 - CAST(count(a) AS DOUBLE) / count(*), 6) AS null_rate FROM ex
-    UNION ALL SELECT 'park_factor_hr', 'park', TRUE, count(CASE WHEN game_date < DATE '2024-01-11' THEN b END), count(b), round(1 - CAST(count(b) AS DOUBLE) / count(*), 6) FROM ex
+    f"""WITH {EXPORT_SQL} SELECT 'hr_per_pa_last_30d' AS feature, 'batter_trailing' AS family, TRUE AS present, count(CASE WHEN game_date < (SELECT max(game_date) - 19 FROM ex) THEN a END) AS before_non_null, count(a) AS after_non_null, round(1 - CAST(count(a) AS DOUBLE) / count(*), 6) AS null_rate FROM ex
+    UNION ALL SELECT 'park_factor_hr', 'park', TRUE, count(CASE WHEN game_date < (SELECT max(game_date) - 19 FROM ex) THEN b END), count(b), round(1 - CAST(count(b) AS DOUBLE) / count(*), 6) FROM ex
     UNION ALL SELECT 'pitcher_fastball_pct', 'pitch_type', FALSE, 0, 0, NULL""",
 )
 def catalog_report(spark: SparkSession, sf: str) -> DataFrame:
     after = export_table(spark, sf)
-    before = after.where(F.col("game_date") < F.lit("2024-01-11").cast("date"))
+    before = after.where(F.col("game_date") < T.day_back(after, 19))
     names = ("hr_per_pa_last_30d", "park_factor_hr", "pitcher_fastball_pct")
     return round_doubles(Q.catalog_report(before, after, {n: FEATURES[n].family for n in names}))
 
@@ -136,29 +136,30 @@ def overlap_check(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "contract_check",
     f"""WITH {BOARD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY game_date ORDER BY predicted_hr_score DESC NULLS LAST, predicted_hr_probability DESC NULLS LAST, batter_name, pick_id) AS due FROM board)
-    SELECT TRUE AS columns_match, count(*) AS row_count, CAST(0 AS BIGINT) AS duplicate_rows, CAST(sum(CASE WHEN game_date < DATE '2024-01-05' THEN 1 ELSE 0 END) AS BIGINT) AS early_rows,
+    SELECT TRUE AS columns_match, count(*) AS row_count, CAST(0 AS BIGINT) AS duplicate_rows, CAST(sum(CASE WHEN game_date < (SELECT max(game_date) - 25 FROM board) THEN 1 ELSE 0 END) AS BIGINT) AS early_rows,
       CAST(sum(CASE WHEN rank IS NULL OR rank <> due THEN 1 ELSE 0 END) AS BIGINT) AS out_of_order_rows FROM r""",
 )
 def contract_check(spark: SparkSession, sf: str) -> DataFrame:
     columns = T.BOARD_COLUMNS.split(", ")
-    board = T.board(spark, sf).select(*columns)
+    board = T.board(spark, sf, shared=True).select(*columns)
     due = K.rerank(board, slate=["game_date"], score="predicted_hr_score", probability="predicted_hr_probability", name="batter_name", tie="pick_id")
-    return Q.contract_check(board, due, columns=columns, key="pick_id", rank="rank", date="game_date", start=F.lit("2024-01-05").cast("date"))
+    return Q.contract_check(board, due, columns=columns, key="pick_id", rank="rank", date="game_date", start=T.day_back(board, 25))
 
 
 @query(
     "snapshot_health",
-    f"""WITH {RAW_SQL}, c AS (SELECT game_date, home_team, avg(CASE WHEN events <> 'view' THEN value END) AS t, avg(CASE WHEN event_id % 40 = 0 THEN value END) AS h FROM raw WHERE home_team <> 3 GROUP BY 1, 2),
-    d AS (SELECT DISTINCT game_date, home_team FROM raw WHERE home_team <> 5)
+    f"""WITH {RAW_SQL}, c AS (SELECT game_date, home_team, avg(CASE WHEN events <> 'view' THEN value END) AS t, avg(CASE WHEN event_id % 40 = 0 THEN value END) AS h FROM (SELECT * REPLACE (CASE WHEN home_team = 3 THEN -3 ELSE home_team END AS home_team) FROM raw) GROUP BY 1, 2),
+    d AS (SELECT DISTINCT game_date, CASE WHEN home_team = 5 THEN -5 ELSE home_team END AS home_team FROM raw)
     SELECT (SELECT count(*) FROM d LEFT JOIN c USING (game_date, home_team) WHERE c.game_date IS NULL OR c.home_team IS NULL OR (c.t IS NULL AND c.h IS NULL AND NOT EXISTS (SELECT 1 FROM c c2 WHERE c2.game_date = d.game_date AND c2.home_team = d.home_team))) AS missing_keys,
       (SELECT count(*) FROM c ANTI JOIN d USING (game_date, home_team)) AS extra_keys, round((SELECT greatest(1 - CAST(count(t) AS DOUBLE) / count(*), 1 - CAST(count(h) AS DOUBLE) / count(*)) FROM c), 6) AS worst_null_rate, FALSE AS healthy""",
 )
 def snapshot_health(spark: SparkSession, sf: str) -> DataFrame:
     raw = T.raw_events(spark, sf)
-    cache = raw.where("home_team <> 3").groupBy("game_date", "home_team").agg(
+    moved = lambda team: F.when(F.col("home_team") == team, -team).otherwise(F.col("home_team"))
+    cache = raw.withColumn("home_team", moved(3)).groupBy("game_date", "home_team").agg(
         F.avg(F.when(F.col("events") != "view", F.col("value"))).alias("temperature_f"), F.avg(F.when(F.col("event_id") % 40 == 0, F.col("value"))).alias("humidity_pct")
     )
-    due = raw.where("home_team <> 5").select("game_date", "home_team")
+    due = raw.withColumn("home_team", moved(5)).select("game_date", "home_team")
     return round_doubles(Q.snapshot_health(cache, due, on=["game_date", "home_team"], features=["temperature_f", "humidity_pct"]))
 
 

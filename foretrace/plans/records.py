@@ -58,7 +58,7 @@ def json_records(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
     events.write.json(path)
-    return spark.read.schema(events.schema).json(path)
+    return readers.read_records(spark, path, events.schema)
 
 
 LINEUPS_SQL = f"""{RAW_SQL}, sides AS (SELECT game_date, game_pk, home_team, away_team, team_no, max(pitcher_id) AS pitcher_id,
@@ -354,7 +354,7 @@ def audited_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_audit",
-    """WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS n, count(c_name) AS known FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+    """WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, count(*) AS n, count(c_name) AS known FROM customer GROUP BY 1)
     SELECT CAST(sum(coalesce(l.n, 0)) AS BIGINT) AS left_rows, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS right_rows,
       CAST(sum(greatest(coalesce(l.n, 0) - 1, 0)) AS BIGINT) AS left_duplicates, CAST(sum(greatest(coalesce(r.n, 0) - 1, 0)) AS BIGINT) AS right_duplicates,
       CAST(sum(CASE WHEN r.n > 0 THEN coalesce(l.n, 0) ELSE 0 END) AS BIGINT) AS matched_rows,
@@ -365,8 +365,10 @@ def audited_join(spark: SparkSession, sf: str) -> DataFrame:
 )
 def join_audit(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0)
-    return J.join_audit(orders, customers, on=["c_custkey"], tracked=["c_name"])
+    key = F.when(F.col("c_custkey") % 3 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    customers = table(spark, sf, "customer").withColumn("c_custkey", key)
+    audit = J.join_audit(orders, customers, on=["c_custkey"], tracked=["c_name"])
+    return audit.select(*[F.col(c).cast("bigint").alias(c) for c in audit.columns])
 
 
 def mode_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +391,7 @@ def feature_attach(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_type, p.p_brand FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey""",
 )
 def dim_join(spark: SparkSession, sf: str) -> DataFrame:
-    parts = J.sized_broadcast(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
     return J.attach_dim(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), parts, on=["l_partkey"])
 
 
@@ -500,7 +502,7 @@ def slate_expand(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rank_movement",
     f"""WITH {BOARD_SQL}, cur AS (SELECT game_date, game_pk, batter_id, batter_name, row_number() OVER (PARTITION BY game_date ORDER BY predicted_hr_score DESC NULLS LAST, batter_name, pick_id) AS rank FROM board),
-    base AS (SELECT game_pk, batter_id, lower(batter_name) AS nm, row_number() OVER (PARTITION BY game_date ORDER BY pick_id) AS morning_rank FROM board WHERE batter_id % 3 <> 0)
+    base AS (SELECT game_pk, batter_id, CASE WHEN batter_id % 3 = 0 THEN 'someone else' ELSE lower(batter_name) END AS nm, row_number() OVER (PARTITION BY game_date ORDER BY pick_id) AS morning_rank FROM board)
     SELECT cur.game_pk, cur.batter_id, CAST(rank AS BIGINT) AS rank, CAST(morning_rank AS BIGINT) AS morning_rank, CAST(morning_rank - rank AS BIGINT) AS movement
     FROM cur LEFT JOIN base ON base.game_pk = cur.game_pk AND base.batter_id = cur.batter_id AND base.nm = lower(cur.batter_name)""",
 )
@@ -508,9 +510,10 @@ def rank_movement(spark: SparkSession, sf: str) -> DataFrame:
     from foretrace.operators import ranking as K
     from foretrace.operators.scan import positions
 
-    board = T.board(spark, sf)
+    board = T.board(spark, sf, shared=True)
     current = K.rerank(board, slate=["game_date"], score="predicted_hr_score", probability="predicted_hr_score", name="batter_name", tie="pick_id")
-    early = board.where(F.col("batter_id") % 3 != 0)
+    other = F.when(F.col("batter_id") % 3 == 0, "someone else").otherwise(F.col("batter_name"))
+    early = board.withColumn("batter_name", other)
     baseline = positions(early, keys=["game_date"], blocks=["game_pk"], order=["pick_id"], name="rank")
     out = J.rank_movement(current, baseline, keys=["game_pk", "batter_id"], name="batter_name", rank="rank")
     return out.select("game_pk", "batter_id", "rank", "morning_rank", "movement")
@@ -725,8 +728,8 @@ def canonical_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "name_cascade",
-    rf"""WITH {RAW_SQL}, a AS (SELECT batter_id, {canonical_sql(SUBJECT_SQL)} AS nm FROM raw WHERE batter_id % 4 = 0),
-    b AS (SELECT c_custkey AS batter_id, {canonical_sql("c_name")} AS nm FROM customer WHERE c_custkey % 3 = 0),
+    rf"""WITH {RAW_SQL}, a AS (SELECT batter_id, {canonical_sql(f"CASE WHEN batter_id % 4 = 0 THEN {SUBJECT_SQL} END")} AS nm FROM raw),
+    b AS (SELECT c_custkey AS batter_id, {canonical_sql("CASE WHEN c_custkey % 3 = 0 THEN c_name END")} AS nm FROM customer),
     v AS (SELECT 0 AS src, * FROM a UNION ALL SELECT 1, * FROM b),
     t AS (SELECT src, batter_id, nm, row_number() OVER (PARTITION BY src, batter_id ORDER BY count(*) DESC, nm) AS rn FROM v
       WHERE nm IS NOT NULL AND NOT regexp_matches(nm, '(?i)^batter_[0-9]+$') GROUP BY src, batter_id, nm)
@@ -737,9 +740,10 @@ def canonical_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def name_cascade(spark: SparkSession, sf: str) -> DataFrame:
     raw = T.raw_events(spark, sf)
-    play = raw.where(F.col("batter_id") % 4 == 0).select("batter_id", X.subject_name("des").alias("batter_name"))
-    people = table(spark, sf, "customer").where(F.col("c_custkey") % 3 == 0).select(
-        F.col("c_custkey").alias("batter_id"), F.col("c_name").alias("batter_name")
+    # a source knows no name for some ids: a null, not a missing row
+    play = raw.select("batter_id", F.when(F.col("batter_id") % 4 == 0, X.subject_name("des")).alias("batter_name"))
+    people = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("batter_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("batter_name")
     )
     return N.resolve(raw, entity="batter_id", sources=[("play text", play), ("people", people)])
 

@@ -10,12 +10,39 @@ from foretrace.plans import tables as T
 from foretrace.plans.registry import query
 from foretrace.plans.tables import BOARD_SQL
 from foretrace.sources import writers
-from foretrace.sources.readers import EVENTS_SCHEMA
+from foretrace.sources.readers import EVENTS_SCHEMA, table
 from foretrace.streaming import jobs as J
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return J.read_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet")
+PARTS, FILES = 4, 8
+
+
+def landed_events(spark: SparkSession, sf: str, *, disturbed: bool = False) -> str:
+    """All events, landed in as many parts as days fall into, oldest first; returns the folder.
+
+    ``disturbed`` adds to each part a second copy of every tenth event of it, and to the last part, under new ids, copies
+    of the first part's events, which are far too late by then.
+    """
+    folder = writers.scratch_path(spark, "landed")
+    events = table(spark, sf, "events")
+    day = F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date"))
+    bounds = events.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    part = F.least(F.floor((day - F.lit(bounds["a"])) * PARTS / F.lit(bounds["b"] - bounds["a"] + 1)), F.lit(PARTS - 1))
+    events = events.withColumn("part", part)
+    for number in range(PARTS):
+        rows = events.where(F.col("part") == number)
+        if disturbed:
+            rows = rows.unionByName(rows.where(F.col("event_id") % 10 == 3))
+            if number == PARTS - 1:
+                rows = rows.unionByName(events.where("part = 0").withColumn("event_id", -1 - F.col("event_id")))
+        # as many files for each part as a micro-batch takes
+        rows.drop("part").repartition(FILES).write.mode("append").parquet(folder)
+    return folder
+
+
+def event_stream(spark: SparkSession, sf: str, *, disturbed: bool = False) -> DataFrame:
+    """The landed events, one part for each micro-batch."""
+    return J.read_stream(spark, landed_events(spark, sf, disturbed=disturbed), EVENTS_SCHEMA, files_per_batch=FILES)
 
 
 def counts() -> dict:
@@ -25,7 +52,7 @@ def counts() -> dict:
 @query("stream_ingest", "SELECT event_id, ts, user_id, value FROM events")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     root = writers.scratch_path(spark, "ingest")
-    J.ingest(event_stream(spark, sf), root, time="ts", keys=["event_id"])
+    J.ingest(event_stream(spark, sf, disturbed=True), root, time="ts", keys=["event_id"])
     return spark.read.parquet(f"{root}/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "value")
 
 
@@ -83,19 +110,33 @@ def stream_prefix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_ingest_counts",
+    f"""WITH d AS (SELECT event_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events), b AS (SELECT min(day) AS a, max(day) AS b FROM d),
+    p AS (SELECT event_id, least(floor((day - a) * {PARTS} / (b - a + 1)::DOUBLE), {PARTS - 1}) AS part FROM d, b)
+    SELECT CAST(count(*) + sum((event_id % 10 = 3)::INT) + sum((part = 0)::INT) AS BIGINT) AS input_rows, CAST(sum((event_id % 10 = 3)::INT) AS BIGINT) AS duplicate_rows, CAST(sum((part = 0)::INT) AS BIGINT) AS late_rows FROM p""",
+)
+def stream_ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    stream = event_stream(spark, sf, disturbed=True)
+    counted = J.ingest(stream, writers.scratch_path(spark, "ingest"), time="ts", keys=["event_id"])
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in counted.items()])
+
+
 @query(
     "stream_settle",
     f"""WITH {BOARD_SQL} SELECT pick_id, CASE WHEN hit_hr = 1 THEN 'HR' ELSE 'No HR' END AS result_label, hit_hr AS actual_hit_hr FROM board""",
 )
 def stream_settle(spark: SparkSession, sf: str) -> DataFrame:
     root = writers.scratch_path(spark, "settle")
-    picks = T.board(spark, sf).select("pick_id", "game_pk", "batter_id", "result_label", "actual_hit_hr")
+    board = T.board(spark, sf, shared=True)
+    picks = board.select("pick_id", "game_pk", "game_date", "batter_id", "result_label", "actual_hit_hr", "game_status", F.lit("live").alias("game_state"))
     day = F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date"))
     half = (F.hour("ts") >= 12).cast("int")
-    outcomes = event_stream(spark, sf).select(
+    outcomes = event_stream(spark, sf, disturbed=True).select(
         T.game_number(day, F.floor(F.col("user_id") / T.TEAM_SIZE), half).alias("game_pk"),
         F.col("user_id").alias("batter_id"),
         flag(F.col("event_type") == "purchase").alias("hit_hr"),
     )
-    J.settle_stream(outcomes, picks, root)
-    return writers.read_version(spark, f"{root}/board").select("pick_id", "result_label", "actual_hit_hr")
+    J.settle_stream(outcomes, root)
+    settled = J.settled_board(picks, root, resolved_through=T.day_back(board, 0))
+    return settled.select("pick_id", "result_label", "actual_hit_hr")

@@ -130,19 +130,22 @@ def pitcher_games(spark: SparkSession, sf: str, *, shared: bool = True) -> DataF
     return stored(R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"]), shared)
 
 
-def board(spark: SparkSession, sf: str) -> DataFrame:
-    """One pick per batter-game: probability from the hardest hit, label from the outcome or the state of the game."""
+def board(spark: SparkSession, sf: str, *, shared: bool = False) -> DataFrame:
+    """One pick per batter-game: probability from the hardest hit, label from the outcome or the state of the game.
+
+    ``shared`` writes it once, for queries that read it several times. Names come from the player, not from the rows.
+    """
     b = (
         raw_events(spark, sf)
         .groupBy("game_pk", "game_date", "batter_id")
         .agg(
             F.min("pitcher_id").alias("pitcher_id"),
-            F.max("player_name").alias("batter_name"),
             F.max("team_no").alias("team"),
             (F.max("launch_speed") / 500).alias("predicted_hr_probability"),
             F.max((F.col("events") == "purchase").cast("int")).alias("hit_hr"),
             F.min("ts").alias("first_ts"),
         )
+        .withColumn("batter_name", player_name(F.col("batter_id")))
     )
     status = (
         F.when(F.col("game_pk") % 11 == 0, "In Progress - Delayed")
@@ -166,12 +169,18 @@ def board(spark: SparkSession, sf: str) -> DataFrame:
             "result_label": label,
         }
     )
-    return b.withColumns(
+    picks = b.withColumns(
         {
             "pick_id": pick_id("game_date", "game_pk", "batter_id", "batter_name", "pitcher_id", F.lit("")),
             "actual_hit_hr": result_outcome("result_label"),
         }
     )
+    return stored(picks, shared)
+
+
+def day_back(df: DataFrame, days: int, date: str = "game_date") -> Column:
+    """The day so many days before the newest one of the table."""
+    return F.date_sub(df.agg(F.max(date)).scalar(), days)
 
 
 BOARD_COLUMNS = (

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foretrace.functions.scalar import flag
-from foretrace.operators.board import upsert_replace
+from foretrace.operators.board import settle
 from foretrace.sources import writers
 
 
@@ -29,19 +29,20 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, *, glob:
     return stream.withColumns(times) if times else stream
 
 
-def run_available(writer, checkpoint: str) -> None:
-    """Process everything that is there, then stop."""
+def run_available(writer, checkpoint: str) -> list:
+    """Process everything that is there, then stop; returns the progress of the batches that ran."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
-def write_batches(stream: DataFrame, root: str, *, mode: str) -> None:
-    """Write each micro-batch to its own folder."""
+def write_batches(stream: DataFrame, root: str, *, mode: str) -> list:
+    """Write each micro-batch to its own folder; returns the batches' progress."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    run_available(stream.writeStream.outputMode(mode).foreachBatch(write), f"{root}/checkpoint")
+    return run_available(stream.writeStream.outputMode(mode).foreachBatch(write), f"{root}/checkpoint")
 
 
 def latest_by_key(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
@@ -51,10 +52,19 @@ def latest_by_key(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "batch")
 
 
-def ingest(stream: DataFrame, root: str, *, time: str, keys: list[str], delay: str = "2 days") -> None:
-    """Drop duplicate events that arrive within the delay, and append the rest."""
+def ingest(stream: DataFrame, root: str, *, time: str, keys: list[str], delay: str = "2 days") -> dict[str, int]:
+    """Drop duplicate events that arrive within the delay and events later than it, and append the rest.
+
+    Returns what this run read and dropped, as Spark's state operator counted it: input, duplicate and late rows.
+    """
     unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    write_batches(unique, root, mode="append")
+    progress = write_batches(unique, root, mode="append")
+    states = [state for batch in progress for state in batch["stateOperators"]]
+    return {
+        "input_rows": sum(batch["numInputRows"] for batch in progress),
+        "duplicate_rows": sum(state["customMetrics"].get("numDroppedDuplicateRows", 0) for state in states),
+        "late_rows": sum(state["numRowsDroppedByWatermark"] for state in states),
+    }
 
 
 def late_rows(stream: DataFrame, *, time: str, landed: Column, delay_days: int) -> DataFrame:
@@ -114,23 +124,31 @@ def prefix(stream: DataFrame, root: str, *, time: str, entity: str, delay: str,
     write_batches(totals, root, mode="append")
 
 
-def settle_stream(outcomes: DataFrame, picks: DataFrame, root: str, *, key: str = "pick_id") -> None:
-    """Join an outcome stream to the picks and upsert labels by id; version ``n + 1`` is written by batch ``n``.
+def settle_stream(outcomes: DataFrame, root: str, *, keys: tuple[str, str] = ("game_pk", "batter_id"), hit: str = "hit_hr") -> None:
+    """Keep the outcome stream's best result per game and batter and batch, below ``root``.
+
+    A batch writes what it has seen under its own number: a few narrow rows, combined map-side, and no part of the board.
+    A batch that is run again overwrites just that. Results do not depend on how rows were dealt to batches, as the best
+    result of all batches is taken when the board is read (``settled_board``).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        best = batch.groupBy(*keys).agg(F.max(hit).alias(hit))
+        best.write.mode("overwrite").parquet(f"{root}/outcomes/batch={number}")
+
+    run_available(outcomes.writeStream.foreachBatch(write), f"{root}/checkpoint")
+
+
+def settled_board(picks: DataFrame, root: str, *, keys: tuple[str, str] = ("game_pk", "batter_id"), hit: str = "hit_hr", **ladder) -> DataFrame:
+    """The picks, settled by the outcomes streamed so far; ``ladder`` has the other inputs of ``board.settle``.
 
-    A batch that is run again reads the same previous version and writes the same new one.
+    A hit in any batch stays a hit, and rows without an outcome keep their label unless the ladder says otherwise.
     """
     spark = picks.sparkSession
-    writers.write_version(picks, f"{root}/board", version=0)
-
-    def apply(batch: DataFrame, number: int) -> None:
-        board = writers.read_version(spark, f"{root}/board", version=number)
-        hits = batch.groupBy("game_pk", "batter_id").agg(F.max("hit_hr").alias("__hit"))
-        hit = F.col("__hit") > 0
-        settled = (
-            board.join(hits, ["game_pk", "batter_id"])
-            .withColumns({"result_label": F.when(hit, "HR").otherwise("No HR"), "actual_hit_hr": F.when(hit, 1).otherwise(0)})
-            .select(*board.columns)
-        )
-        writers.write_version(upsert_replace(board, settled, key=key), f"{root}/board", version=number + 1)
-
-    run_available(outcomes.writeStream.foreachBatch(apply), f"{root}/checkpoint")
+    if writers.exists(spark, f"{root}/outcomes"):
+        outcomes = spark.read.parquet(f"{root}/outcomes").groupBy(*keys).agg(F.max(hit).alias("hit_hr"))
+    else:
+        outcomes = picks.select(*keys, F.lit(None).cast("int").alias("hit_hr")).limit(0)
+    nothing = outcomes.select(*keys).limit(0)
+    given = {"boxscores": nothing, "known_games": nothing.select("game_pk")} | ladder
+    return settle(picks, outcomes=outcomes, outcome_key=keys, **given)

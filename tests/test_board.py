@@ -39,22 +39,68 @@ def test_recovery_variants(spark):
     assert {r.pick_id for r in now.collect()} == {"a", "b"} and {r.pick_id for r in past.collect()} == {"c"}
     now, past = B.recover_pending(current, history.where("pick_id <> 'b'"))
     assert {r.pick_id for r in now.collect()} == {"a"} and {r.pick_id for r in past.collect()} == {"a", "c"}
+    # rows without an id: lost rows clear the history and the board of them, else both stay
+    nameless = current.unionByName(spark.createDataFrame([("", day(), "HR")], schema))
+    only = history.where("pick_id = 'c'").unionByName(spark.createDataFrame([(None, day(-1), "Pending")], schema))
+    now, past = B.recover_pending(nameless, only)
+    assert {r.pick_id for r in now.collect()} == {"a"} and {r.pick_id for r in past.collect()} == {"c"}
+    now, past = B.recover_pending(nameless, history.where("pick_id = 'a'"))
+    assert {r.pick_id for r in now.collect()} == {"a", ""} and past.count() == 1
 
 
-PICK = "pick_id string, game_pk long, game_date date, batter_id long, batter_name string, rank int, predicted_hr_score double, game_state string, top_reason_1 string, weather_label string"
+PICK = (
+    "pick_id string, game_pk long, game_date date, batter_id long, batter_name string, rank int, predicted_hr_score double, "
+    "predicted_hr_probability double, game_state string, top_reason_1 string, weather_label string, ballpark_name string"
+)
 
 
-def test_locked_games_keep_their_rows(spark):
+def test_same_day_merge(spark):
     existing = spark.createDataFrame(
-        [("x1", 1, day(), 10, "A", 1, 98.0, "pregame", "old", ""), ("x2", 2, day(), 20, "B", 2, 50.0, "pregame", "old", "")], PICK
+        [
+            ("x1", 1, day(), 10, "A", 1, 98.0, 0.9, "pregame", "old", "", None),
+            ("x3", 1, day(), 12, "A", 4, 97.0, 0.9, "pregame", "old", "", None),
+            ("x2", 2, day(), 20, "B", 2, 50.0, 0.5, "pregame", "old", "", None),
+            ("p", 9, day(-1), 30, "P", 7, 1.0, 0.1, "final", "kept", "", None),
+            ("u", None, None, 31, "U", 8, 2.0, 0.1, "pregame", "kept", "", None),
+        ],
+        PICK,
     )
     refreshed = spark.createDataFrame(
-        [("x1", 1, day(), 10, "A", 1, 10.0, "pregame", "new", "Rain"), ("y", 1, day(), 11, "C", 2, 99.0, "pregame", "n", ""), ("z", 2, day(), 21, "D", 3, 60.0, "pregame", "n", "")],
+        [
+            ("x1", 1, day(), 10, "A", 1, 10.0, 0.1, "pregame", "new", "Rain", None),
+            ("other", 1, day(), 12, "A", 5, 10.0, 0.1, "pregame", "by pair", "", None),
+            ("y", 1, day(), 11, "C", 2, 99.0, 0.9, "pregame", "n", "", None),
+            ("z", 2, day(), 21, "D", 3, 60.0, 0.6, "pregame", "n", "", None),
+            ("w", None, day(), 22, "W", 3, None, None, "pregame", "n", "", None),
+        ],
         PICK,
     )
-    games = spark.createDataFrame([(1, "live"), (2, "pregame")], "game_pk long, game_state string")
-    got = {r.pick_id: (r.predicted_hr_score, r.top_reason_1, r.weather_label) for r in B.locked_merge(existing, refreshed, games, day=F.lit(DAY)).collect()}
-    assert got == {"x1": (98.0, "new", "Rain"), "z": (60.0, "n", "")}
+    games = spark.createDataFrame([(1, "live", "HH"), (2, "pregame", "GG")], "game_pk long, game_state string, home_team string")
+    parks = spark.createDataFrame([("HH", "Home Field")], "home_team string, ballpark_name string")
+
+    def merged(**options):
+        rows = B.locked_merge(existing, refreshed, games, day=F.lit(DAY), **options).collect()
+        return {r.pick_id: (r["rank"], r.predicted_hr_score, r.top_reason_1, r.weather_label, r.ballpark_name) for r in rows}
+
+    whole = {
+        "x1": (1, 98.0, "new", "Rain", "Home Field"),
+        "x3": (2, 97.0, "by pair", "Rain", "Home Field"),
+        "z": (3, 60.0, "n", "", None),
+        "w": (4, None, "n", "", None),
+        "p": (7, 1.0, "kept", "", None),
+        "u": (8, 2.0, "kept", "", None),
+    }
+    got = merged(parks=parks)
+    got["x3"] = (*got["x3"][:3], "Rain", *got["x3"][4:])  # of several refreshed rows of a game any may give its weather
+    assert got == whole
+    assert set(merged(parks=parks, max_picks=3)) == {"x1", "x3", "z", "p", "u"}
+    # nothing is locked: all refreshed rows, no limit
+    free = games.withColumn("game_state", F.lit("pregame"))
+    rows = B.locked_merge(existing, refreshed, free, day=F.lit(DAY), max_picks=2).collect()
+    assert {r.pick_id: r["rank"] for r in rows if r.game_date == day()} == {"y": 1, "z": 2, "other": 3, "x1": 4, "w": 5}
+    # another day: no row of it is on the board yet
+    rows = B.locked_merge(existing, refreshed, games, day=F.lit(DAY) + F.expr("INTERVAL 1 DAY"), max_picks=2).collect()
+    assert len(rows) == len(existing.collect()) + 5
 
 
 def test_settlement_ladder(spark):

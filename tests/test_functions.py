@@ -107,13 +107,11 @@ def test_nearest_hour_and_fallback(spark):
     assert got == {"A": ("fresh", 60.0), "B": ("cached", 72.0), "C": ("null", None)}
 
 
-def test_outer_combine_and_sized_broadcast(spark):
+def test_outer_combine(spark):
     a = spark.createDataFrame([(1, 5)], "k int, n int")
     b = spark.createDataFrame([(1, 6), (2, 7)], "k int, n int")
     got = {r.k: (r.n_a, r.n_b) for r in J.outer_combine({"a": a, "b": b}, on=["k"], measures=["n"]).collect()}
     assert got == {1: (5, 6), 2: (None, 7)}
-    assert "isBroadcast" not in str(J.sized_broadcast(b, 1)._jdf.queryExecution().logical())
-    assert "broadcast" in str(J.sized_broadcast(b, 5)._jdf.queryExecution().logical()).lower()
 
 
 def test_capped_dense_rank(spark):
@@ -146,6 +144,12 @@ def test_catalog_is_consistent():
         "stable": 28, "live": 19, "live_plus": 27, "live_shrunk": 32, "live_shrunk_precise": 30,
     }
     assert all(len(set(v)) == len(v) for v in PROFILES.values())
+    expanded = set(PROFILES["expanded"])
+    assert set(PROFILES["live_plus"]) | set(PROFILES["live_shrunk"]) | set(PROFILES["live_shrunk_precise"]) <= expanded
+    assert {"pitcher_slider_pct", "split_matchup_hr", "pressure_hpa"} <= expanded
+    # the stable profile's own columns are no part of the expanded one
+    assert not {"barrel_rate_last_50_bbe", "pitcher_hr9_season_to_date", "expected_pa_proxy", "days_since_last_game"} & expanded
+    assert PROFILES["live_usable_candidate_v1"] == (*PROFILES["live_shrunk"], *PROFILES["opportunity"])
 
 
 def test_local_time_follows_clock_changes(spark):
@@ -161,12 +165,29 @@ def test_local_time_follows_clock_changes(spark):
     assert at("2024-11-03 01:30:00", S.local_to_utc) == "2024-11-03 06:30:00"
 
 
-def test_park_dimension(spark):
-    parks = readers.parks(spark)
-    assert parks.count() == 31 and parks.where("tz = 'America/Phoenix'").first().team == "AZ"
-    games = spark.createDataFrame([("AZ", "SF", 1), ("AZ", "SF", 0)], "team string, opponent string, is_home int")
+def test_park_dimension(spark, tmp_path):
+    (tmp_path / "parks.csv").write_text(
+        "team,ballpark,region_abbr,field_bearing_deg,lat,lon,tz\nAA,First Field,X,20.5,1.0,-2.0,America/Phoenix\nBB,Second Park,Y,,3.0,4.0,UTC\n"
+    )
+    parks = readers.read_parks(spark, str(tmp_path / "parks.csv"))
+    assert [(r.team, r.field_bearing_deg, r.tz) for r in parks.orderBy("team").collect()] == [("AA", 20.5, "America/Phoenix"), ("BB", None, "UTC")]
+    games = spark.createDataFrame([("AA", "BB", 1), ("AA", "BB", 0)], "team string, opponent string, is_home int")
     rows = parks.select(F.col("team").alias("park_team"), "ballpark")
-    assert {r.ballpark for r in R.park_of(games, rows, team="team", opponent="opponent", is_home="is_home", key="park_team").collect()} == {"Chase Field", "Oracle Park"}
+    found = R.park_of(games, rows, team="team", opponent="opponent", is_home="is_home", key="park_team").collect()
+    assert {r.ballpark for r in found} == {"First Field", "Second Park"}
+
+
+def test_records_as_lines_and_as_arrays(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.json").write_text('{"a": 1}\n{"a": 2, "b": "y"}\n{"a": 3}\n')
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "arrays" / "x.json").write_text('[{"a": 1},\n {"a": 2, "b": "y"}]')
+    lines = readers.read_records(spark, str(tmp_path / "lines"), schema).collect()
+    assert sorted((r.a, r.b or "") for r in lines) == [(1, ""), (2, "y"), (3, "")]
+    arrays = readers.read_records(spark, str(tmp_path / "arrays"), schema, arrays=True).collect()
+    assert sorted((r.a, r.b or "") for r in arrays) == [(1, ""), (2, "y")]
+    assert readers.read_records(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_reason_rules():

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretrace.operators import history as H
-from foretrace.operators.scan import positions, prior_sums, spread_blocks
+from foretrace.operators.scan import border_blocks, positions, prior_sums
 
 DAY0 = datetime.date(2024, 1, 1)
 
@@ -115,7 +115,7 @@ def test_rows_without_entity_have_no_history(spark):
 def test_blocked_positions_equal_row_numbers(spark):
     rows = [(k, random.Random(k * 7 + i).choice([0.1, 0.2, 5.0, -3.0]), i) for k in range(3) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, v double, i int")
-    blocked, blocks = spread_blocks(df, "v", keys=["k"])
+    blocked, blocks = border_blocks(df, "v", keys=["k"], name="v")
     got = {(r.k, r.i): r.pos for r in positions(blocked, keys=["k"], blocks=blocks, order=["v", "i"], name="pos").collect()}
     for k in range(3):
         for place, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1):
@@ -132,3 +132,45 @@ def test_latest_known_value(spark):
     df = spark.createDataFrame([(1, DAY0, 1, 3, None, 1.0), (1, DAY0, 2, None, None, 2.0)], SCHEMA)
     row = H.latest_non_null(df, keys=["entity"], order=["day", "game"], columns=["units", "hits", "speed"]).first()
     assert (row.units, row.hits, row.speed) == (3, None, 2.0)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "nan", "constant", "hashed", "text", "null"])
+def test_blocks_stay_balanced(spark, kind):
+    n = 20_000
+    value = {
+        "outlier": "CASE WHEN id = 7 THEN 1e12 ELSE (hash(id) % 100000) / 1e5 END",
+        "nan": "CASE WHEN id % 2 = 0 THEN double('NaN') ELSE rand(1) END",
+        "constant": "5.0",
+        "hashed": "xxhash64(id)",
+        "text": "concat('2024-01-01:', lpad(cast(hash(id) as string), 12, ' '))",
+        "null": "CASE WHEN id % 2 = 0 THEN xxhash64(id) END",
+    }[kind]
+    df = spark.range(n).selectExpr("1 AS k", f"{value} AS v")
+    blocked, blocks = border_blocks(df, "v", keys=["k"], name="v", borders=256)
+    sizes = [r["count"] for r in blocked.where("v is not null").groupBy(*blocks).count().collect()]
+    if kind == "constant":
+        assert sizes == [n]  # one value is one block: ties are split by their tie key
+    elif kind == "nan":
+        assert sorted(sizes)[-2] < 600 and sorted(sizes)[-1] <= n // 2 + 600
+    else:
+        assert max(sizes) < 1200
+    ordered = blocked.where("v is not null").groupBy(*blocks).agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy(*blocks).collect()
+    assert all(x.b <= y.a or x.b != x.b or y.a != y.a for x, y in zip(ordered, ordered[1:]))
+
+
+def test_blocks_without_keys_or_rows(spark):
+    df = spark.createDataFrame([(3,), (1,), (None,)], "v int")
+    blocked, blocks = border_blocks(df, "v", keys=[], name="v")
+    assert [r.v for r in blocked.where("v is not null").orderBy(*blocks).collect()] == [1, 3]
+    assert border_blocks(df.limit(0), "v", keys=[], name="v")[0].count() == 0
+
+
+def test_previous_row_in_finer_blocks(spark):
+    rows = [(1 + (i % 5 == 0), datetime.date(2024, 1, 1 + i // 30), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, d date, i int")
+    blocked, blocks = border_blocks(df, "i", keys=[], name="i", borders=8)
+    got = {r.i: r.p for r in H.previous_row(blocked, keys=["k"], date="d", order=["i"], values={"p": "i"}, blocks=["d", *blocks]).collect()}
+    last, want = {}, {}
+    for k, _, i in rows:
+        want[i], last[k] = last.get(k), i
+    assert got == want

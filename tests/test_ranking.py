@@ -53,3 +53,35 @@ def test_topk_keeps_the_rank(spark):
 
     df = spark.createDataFrame([("a", i) for i in range(20)], "k string, v int")
     assert [r.v for r in K.topk(df, keys=["k"], order=[F.desc("v")], k=3, name="r").orderBy("r").collect()] == [19, 18, 17]
+
+
+@pytest.mark.parametrize("caps", [{"team_cap": 2, "game_cap": 2, "limit": 50}, {"team_cap": None, "game_cap": 3, "limit": 9}, {"team_cap": 2, "game_cap": None, "limit": 7}, {"team_cap": None, "game_cap": None, "limit": 5}])
+def test_unknown_keys_and_missing_caps_hold_nothing_back(spark, caps):
+    rng = random.Random(5)
+    rows = [("s", rng.choice([None, "", "A", "B", "C"]), rng.choice([None, 1, 2, 3]), rng.choice([0.5, 0.6, None]), rng.random(), f"n{rng.randrange(3)}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "slate string, team string, game int, score double, prob double, name string, id int")
+    spec = {"slate": "slate", "team": "team", "game": "game", "score": "score", "tie": "id", "probability": "prob", "name": "name"}
+    got = [r.id for r in K.greedy_caps(df, **spec, **caps).orderBy("board_rank").collect()]
+    teams, games, want = {}, {}, []
+    for _, team, game, _, _, _, i in sorted(rows, key=lambda r: (-(r[3] if r[3] is not None else -9), -r[4], r[5], r[6])):
+        free = len(want) < caps["limit"]
+        free &= not team or caps["team_cap"] is None or teams.get(team, 0) < caps["team_cap"]
+        free &= game is None or caps["game_cap"] is None or games.get(game, 0) < caps["game_cap"]
+        if free:
+            want.append(i)
+            teams[team], games[game] = teams.get(team, 0) + 1, games.get(game, 0) + 1
+    assert got == want
+
+
+def test_nested_caps_leave_unknown_keys(spark):
+    rows = [("s", None, None, 0.1 * i, i) for i in range(6)] + [("s", "A", 1, 1.0 + i, 10 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "slate string, team string, game int, score double, id int")
+    spec = {"slate": "slate", "team": "team", "game": "game", "score": "score", "tie": "id", "team_cap": 2, "game_cap": 3, "limit": 99}
+    assert {r.id for r in K.nested_caps(df, **spec).collect()} == {0, 1, 2, 3, 4, 5, 14, 15}
+    assert {r.id for r in K.greedy_caps(df, **spec).collect()} == {0, 1, 2, 3, 4, 5, 14, 15}
+
+
+def test_rerank_splits_rows_that_agree(spark):
+    df = spark.range(3000).selectExpr("1 AS s", "CAST(NULL AS DOUBLE) AS score", "CAST(NULL AS DOUBLE) AS prob", "'x' AS name", "xxhash64(id) AS tie")
+    out = K.rerank(df, slate=["s"], score="score", probability="prob", name="name", tie="tie").orderBy("tie").collect()
+    assert [r["rank"] for r in out] == list(range(1, 3001))

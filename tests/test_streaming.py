@@ -1,9 +1,9 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.sources import writers
 from foretrace.streaming import jobs as J
 
 SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType())])
@@ -40,11 +40,30 @@ def test_late_rows_are_counted(spark):
     assert J.late_rows(df, time="day", landed=F.col("landed"), delay_days=2).first().late_rows == 1
 
 
-def test_settlement_is_idempotent(spark, tmp_path):
-    root, folder = str(tmp_path / "s"), str(tmp_path / "o")
-    picks = spark.createDataFrame([("a", 1, 1, "Pending", None), ("b", 1, 2, "Pending", None)], "pick_id string, game_pk long, batter_id long, result_label string, actual_hit_hr int")
-    spark.createDataFrame([(1, 1, 1)], "game_pk long, batter_id long, hit_hr int").write.parquet(folder)
-    outcomes = spark.readStream.schema("game_pk long, batter_id long, hit_hr int").parquet(folder)
-    J.settle_stream(outcomes, picks, root)
-    got = {r.pick_id: (r.result_label, r.actual_hit_hr) for r in writers.read_version(spark, f"{root}/board").collect()}
-    assert got == {"a": ("HR", 1), "b": ("Pending", None)}
+def test_ingest_counts_what_it_drops(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, folder, "f", [(1, 0, 1), (2, 1, 1), (2, 1, 1), (3, 200, 1)])
+    first = J.ingest(J.read_stream(spark, f"{folder}/f", SCHEMA), root, time="ts", keys=["event_id"])
+    land(spark, folder, "f", [(4, 2, 1), (5, 201, 1)])
+    second = J.ingest(J.read_stream(spark, f"{folder}/f", SCHEMA), root, time="ts", keys=["event_id"])
+    assert (first["input_rows"], first["duplicate_rows"], first["late_rows"]) == (4, 1, 0)
+    assert (second["input_rows"], second["duplicate_rows"], second["late_rows"]) == (2, 0, 1)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3, 5]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_settlement_does_not_depend_on_batches(spark, tmp_path, order):
+    batches = [[(1, 1, 1), (1, 2, 0)], [(1, 1, 0), (1, 3, 0)], [(1, 3, 1), (1, 1, 0)]]
+    schema, root = "game_pk long, batter_id long, hit_hr int", str(tmp_path / "s")
+    names = [("a", 1, 1, "Pending"), ("b", 1, 2, "Pending"), ("c", 1, 3, "No HR"), ("d", 1, 4, "HR"), ("e", 2, 1, "Postponed")]
+    day = datetime.date(2024, 1, 1)
+    rows = [(i, g, b, label, None, day if i != "d" else None, "Postponed" if i == "e" else "", "live") for i, g, b, label in names]
+    picks = spark.createDataFrame(rows, "pick_id string, game_pk long, batter_id long, result_label string, actual_hit_hr int, game_date date, game_status string, game_state string")
+    through = F.lit(day)
+    before = {r.pick_id: r.result_label for r in J.settled_board(picks, root, resolved_through=F.date_sub(through, 1)).collect()}
+    assert before == {i: label for i, _, _, label in names}
+    for i in order:
+        spark.createDataFrame(batches[i], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+        J.settle_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "o")), root)
+    got = {r.pick_id: (r.result_label, r.actual_hit_hr) for r in J.settled_board(picks, root, resolved_through=through).collect()}
+    assert got == {"a": ("HR", 1), "b": ("No HR", 0), "c": ("HR", 1), "d": ("HR", None), "e": ("Postponed", None)}
