@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from foretrace.plans import catalogue  # noqa: E402
-from foretrace.session import build_session  # noqa: E402
+from foretrace.session import build_session, clean_up  # noqa: E402
 
 HEADLINE = (
     "flagship entity_game_rollup opponent_rollup trailing_block trailing_opponent prefix_rate split_prefix count_window "
@@ -27,7 +27,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     if names == ["all"]:
         names = list(catalogue.QUERIES)
-    spark = build_session("bench", f"local[{cpus}]", 2 * int(cpus) if cpus.isdigit() else None)
+    spark = build_session("bench", f"local[{cpus}]", 2 * int(cpus) if cpus.isdigit() else None, os.environ.get("BENCH_CHECKPOINT"))
     spark.sparkContext.setLogLevel("ERROR")
     catalogue.QUERIES["flagship"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
@@ -38,6 +38,7 @@ def main() -> None:
         print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(folder)}))
+    clean_up(spark)
     spark.stop()
 
 

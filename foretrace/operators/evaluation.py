@@ -497,7 +497,9 @@ def usability(df: DataFrame, *, base_rate: Column) -> DataFrame:
     )
     out = df.withColumn("passes", F.size(failures) == 0)
     reason = F.when(F.col("passes"), "passes all operational usability checks").otherwise(F.array_join(failures, "; "))
-    ratio = F.when(base_rate > 0, F.col("positive_rate") / base_rate)
+    # against a base rate of zero any prediction is infinitely too many, and none is as many as there should be
+    zero = F.when(F.col("positive_rate") > 0, F.lit(float("inf"))).when(F.col("positive_rate").isNotNull(), 1.0)
+    ratio = F.when(base_rate > 0, F.col("positive_rate") / base_rate).when(base_rate <= 0, zero)
     return out.withColumns({"reason": reason, "rate_ratio": ratio})
 
 
@@ -534,12 +536,27 @@ def rank_candidates(df: DataFrame, *, score: str, log_loss: str, brier: str, pri
     return df.withColumn("candidate_rank", F.row_number().over(order))
 
 
-def promotion(df: DataFrame, *, score: str, passes: str, windows: int = 6, needed: int = 5, baseline: Column) -> DataFrame:
-    """Whether a candidate replaces the model in use: enough rolling windows passed, and better than the baseline."""
+def promotion(
+    df: DataFrame,
+    *,
+    score: str,
+    precision: str,
+    usable: str,
+    passes: str,
+    baseline_score: Column,
+    baseline_precision: Column,
+    windows: int = 6,
+    needed: int = 5,
+    margin: float = 1e-12,
+) -> DataFrame:
+    """Whether a candidate replaces the model in use: it passes the usability gate and enough rolling windows, is more
+    precise than the baseline, and its score is at least as good; with the reasons against it."""
     reasons = F.array_compact(
         F.array(
+            F.when(~F.coalesce(F.col(usable), F.lit(False)), F.lit("fails the usability gate")),
             F.when(F.col(passes) < needed, F.concat(F.lit("passes "), F.col(passes).cast("string"), F.lit(f" of {windows} windows"))),
-            F.when(~(F.col(score) > baseline), F.lit("does not beat the baseline")),
+            F.when(~(F.col(precision) > baseline_precision + margin), F.lit("is not more precise than the baseline")),
+            F.when(~(F.col(score) + margin >= baseline_score), F.lit("scores below the baseline")),
         )
     )
     return df.withColumns({"promoted": F.size(reasons) == 0, "promotion_reason": F.array_join(reasons, "; ")})

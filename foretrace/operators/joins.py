@@ -174,3 +174,12 @@ def rank_movement(
     base = baseline.select(*keys, F.lower(name).alias(key), F.col(rank).alias("morning_rank"))
     out = board.withColumn(key, F.lower(name)).join(base, [*keys, key], "left").drop(key)
     return out.withColumn("movement", F.col("morning_rank") - F.col(rank))
+
+
+def fill_alerts(filled: DataFrame, *, by: str, date: str, source: str = "source") -> DataFrame:
+    """Of a filled table, per place and source other than fresh: how many dates reuse a cached value or have none, and
+    between which days."""
+    stale = filled.where(F.col(source) != "fresh")
+    return stale.groupBy(by, source).agg(
+        F.countDistinct(date).alias("dates"), F.min(date).alias("first_date"), F.max(date).alias("last_date")
+    )

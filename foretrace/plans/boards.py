@@ -209,7 +209,15 @@ def nested_caps(spark: SparkSession, sf: str) -> DataFrame:
     return K.nested_caps(board, **CAPS).select("pick_id", "game_date", "board_rank")
 
 
-@query("greedy_caps_doubleheader")
+@query(
+    "greedy_caps_doubleheader",
+    f"""WITH RECURSIVE {BOARD_SQL}, o AS (SELECT pick_id, game_date, CAST(team AS BIGINT) AS team, game_pk, row_number() OVER (PARTITION BY game_date ORDER BY predicted_hr_probability DESC NULLS LAST, pick_id) AS i FROM board),
+    walk AS (SELECT DISTINCT game_date, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS teams, CAST([] AS BIGINT[]) AS games, CAST(NULL AS VARCHAR) AS taken FROM o
+      UNION ALL SELECT game_date, i, CASE WHEN fits THEN list_append(teams, team) ELSE teams END, CASE WHEN fits THEN list_append(games, game_pk) ELSE games END, CASE WHEN fits THEN pick_id END
+      FROM (SELECT o.*, w.teams, w.games, len(w.teams) < 20 AND len(list_filter(w.teams, lambda x: x = o.team)) < 2 AND len(list_filter(w.games, lambda x: x = o.game_pk)) < 3 AS fits
+        FROM walk w JOIN o ON o.game_date = w.game_date AND o.i = w.i + 1))
+    SELECT taken AS pick_id, game_date, CAST(len(teams) AS INTEGER) AS board_rank FROM walk WHERE taken IS NOT NULL""",
+)
 def greedy_caps_doubleheader(spark: SparkSession, sf: str) -> DataFrame:
     few = T.board(spark, sf).select("pick_id", "game_date", "team", F.col("game_pk").alias("slate_game"), "predicted_hr_probability")
     return K.greedy_caps(few, **CAPS).select("pick_id", "game_date", "board_rank")

@@ -295,9 +295,11 @@ STACKED_SQL = f"""sc AS (SELECT slate, candidate, s AS score, label FROM ({" UNI
 @query(
     "rank_candidates",
     f"""WITH {SCORED_SQL.replace("sc AS", "sc0 AS", 1)}, {STACKED_SQL}, {metrics_sql('candidate', 'score')}, q AS (SELECT *, CAST(CASE candidate WHEN 'value' THEN 0 WHEN 'tied value' THEN 1 WHEN 'inverse' THEN 2 ELSE 3 END AS INTEGER) AS priority,
-      CAST(CASE candidate WHEN 'value' THEN 6 WHEN 'tied value' THEN 5 WHEN 'inverse' THEN 4 ELSE 6 END AS INTEGER) AS windows_passed FROM me), b AS (SELECT pr_auc AS base FROM me WHERE candidate = 'tied value')
+      CAST(CASE candidate WHEN 'value' THEN 6 WHEN 'tied value' THEN 5 WHEN 'inverse' THEN 4 ELSE 6 END AS INTEGER) AS windows_passed FROM me), cnt AS (SELECT candidate, coalesce(sum(label) FILTER (WHERE score >= 0.5), 0) AS tp, count(*) FILTER (WHERE score >= 0.5) AS pp, sum(label) AS pos, count(*) AS n FROM sc GROUP BY 1),
+    ra AS (SELECT candidate, CASE WHEN pp > 0 THEN CAST(tp AS DOUBLE) / pp ELSE 0 END AS precision, CAST(tp AS DOUBLE) / pos AS recall, CAST(pp AS DOUBLE) / n AS rate, CAST(pos AS DOUBLE) / n AS share FROM cnt),
+    b AS (SELECT pr_auc AS base, precision AS base_precision FROM me JOIN ra USING (candidate) WHERE candidate = 'tied value')
     SELECT candidate, round(pr_auc, 6) AS pr_auc, round(log_loss, 6) AS log_loss, round(brier_score, 6) AS brier_score, CAST(row_number() OVER (ORDER BY round(pr_auc, 9) DESC, round(log_loss, 9), brier_score, priority) AS INTEGER) AS candidate_rank,
-      windows_passed >= 5 AND round(pr_auc, 9) > round(base, 9) AS promoted FROM q, b""",
+      windows_passed >= 5 AND round(pr_auc, 9) + 1e-12 >= round(base, 9) AND precision > base_precision + 1e-12 AND precision >= 0.18 AND rate <= 1.25 * share AND recall >= 0.10 AS promoted FROM q JOIN ra USING (candidate), b""",
 )
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored(spark, sf)
@@ -311,9 +313,19 @@ def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
             "windows_passed": F.when(F.col("candidate") == "tied value", 5).when(F.col("candidate") == "inverse", 4).otherwise(6),
         }
     )
-    baseline = metrics.where("candidate = 'tied value'").select("pr_auc").scalar()
+    above, hit = F.col("score") >= 0.5, F.col("label") == 1
+    cells = {"tp": above & hit, "fp": above & ~hit, "tn": ~above & ~hit, "fn": ~above & hit}
+    counted = stacked.groupBy("candidate").agg(
+        *[F.sum(S.flag(c)).alias(n) for n, c in cells.items()], F.avg(F.col("label").cast("double")).alias("share")
+    )
+    gated = E.usability(E.confusion_rates(counted), base_rate=F.col("share")).select("candidate", "precision", "passes")
+    metrics = metrics.join(gated, "candidate")
+    baseline = metrics.where("candidate = 'tied value'")
     ranked = E.rank_candidates(metrics, score="pr_auc", log_loss="log_loss", brier="brier_score", priority="priority")
-    out = E.promotion(ranked, score="pr_auc", passes="windows_passed", baseline=baseline)
+    out = E.promotion(
+        ranked, score="pr_auc", precision="precision", usable="passes", passes="windows_passed",
+        baseline_score=baseline.select("pr_auc").scalar(), baseline_precision=baseline.select("precision").scalar(),
+    )
     return round_doubles(out.select("candidate", "pr_auc", "log_loss", "brier_score", "candidate_rank", "promoted"))
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.functions import fixed_values as fv
 from foretrace.functions import scalar as S
 from foretrace.functions import text as X
+from foretrace.functions.profiles import PROFILES
 from foretrace.operators import history as H
 from foretrace.operators import joins as J
 from foretrace.operators import names as N
 from foretrace.operators import rollup as R
+from foretrace.operators.model import encode_sides
 from foretrace.plans import tables as T
 from foretrace.plans import windows as W
 from foretrace.plans.registry import query
@@ -326,19 +328,64 @@ def coalesce_cols(spark: SparkSession, sf: str) -> DataFrame:
     return J.coalesce_columns(joined, {c: (f"{c}_x", f"{c}_y") for c in ("nationkey", "acctbal")})
 
 
-@query("profile_select", f"WITH {BG_SQL} SELECT batter_id, game_pk, bbe_count, barrel_count, round(max_exit_velocity, 6) AS max_exit_velocity FROM bg")
+LIVE_SHOWN = [c for c in PROFILES["live"] if c in W.TRAILING]
+
+
+@query("profile_select", f"WITH {BG_SQL}, tr AS ({W.TRAILING_SQL} FROM bg) SELECT batter_id, game_pk, {', '.join(LIVE_SHOWN)} FROM tr")
 def profile_select(spark: SparkSession, sf: str) -> DataFrame:
-    profile = ["bbe_count", "barrel_count", "hr_rate_shrunk", "max_exit_velocity", "not_computed"]
-    return round_doubles(S.select_present(T.batter_counts(spark, sf, shared=False), profile, ["batter_id", "game_pk"]))
+    block = W.trailing_block(spark, sf)
+    return S.select_present(block, PROFILES["live"], ["batter_id", "game_pk"])
 
 
-# ---------------------------------------------------------------- joins
+@query(
+    "side_encode",
+    f"""WITH {BG_SQL} SELECT batter_id, game_pk, CASE bat_side WHEN 'R' THEN CAST(1 AS DOUBLE) WHEN 'L' THEN CAST(0 AS DOUBLE) END AS bat_side,
+      CASE pitcher_hand WHEN 'R' THEN CAST(1 AS DOUBLE) WHEN 'L' THEN CAST(0 AS DOUBLE) END AS pitcher_hand, CAST(1 AS DOUBLE) - is_home AS proxy FROM bg""",
+)
+def side_encode(spark: SparkSession, sf: str) -> DataFrame:
+    proxy = F.when(F.col("is_home") == 1, "bullpen_like").otherwise("starter_like")
+    games = T.batter_counts(spark, sf, shared=False).withColumn("proxy", proxy)
+    encoded = encode_sides(games, sides=("bat_side", "pitcher_hand"), proxy="proxy")
+    return encoded.select("batter_id", "game_pk", "bat_side", "pitcher_hand", "proxy")
 
 
-def line_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("l_extendedprice").alias("revenue")
-    )
+@query(
+    "park_lookup",
+    f"""WITH {BG_SQL} SELECT bg.batter_id, bg.game_pk, n.n_name AS ballpark, r.r_name AS region_abbr, CAST(n.n_nationkey * 10 AS DOUBLE) AS field_bearing_deg FROM bg
+    LEFT JOIN nation n ON n.n_nationkey = CASE WHEN is_home = 1 THEN team ELSE opponent END LEFT JOIN region r ON r.r_regionkey = n.n_regionkey""",
+)
+def park_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    path = writers.scratch_path(spark, "parks")
+    key = F.col("n_nationkey").cast("double")
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    landed = places.select(
+        F.col("n_nationkey").cast("string").alias("team"), F.col("n_name").alias("ballpark"), F.col("r_name").alias("region_abbr"),
+        (key * 10).alias("field_bearing_deg"), key.alias("lat"), (-key).alias("lon"), F.lit("UTC").alias("tz"),
+    )
+    landed.write.option("header", True).csv(path)
+    parks = readers.read_parks(spark, path).withColumnRenamed("team", "park_team")
+    games = T.batter_counts(spark, sf, shared=False).withColumns({c: F.col(c).cast("string") for c in ("team", "opponent")})
+    out = R.park_of(games, parks, team="team", opponent="opponent", is_home="is_home", key="park_team")
+    return out.select("batter_id", "game_pk", "ballpark", "region_abbr", "field_bearing_deg")
+
+
+@query(
+    "fill_alerts",
+    f"""WITH {RAW_SQL}, d AS (SELECT game_date, home_team, avg(CASE WHEN events = 'view' AND event_id % 3 = 0 THEN value END) AS fresh, avg(CASE WHEN events = 'click' AND event_id % 2 = 0 THEN value END) AS cached FROM raw GROUP BY 1, 2),
+    s AS (SELECT *, CASE WHEN fresh IS NOT NULL THEN 'fresh' WHEN cached IS NOT NULL THEN 'cached' ELSE 'null' END AS source FROM d)
+    SELECT home_team, source, count(*) AS dates, min(game_date) AS first_date, max(game_date) AS last_date FROM s WHERE source <> 'fresh' GROUP BY 1, 2""",
+)
+def fill_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["game_date", "home_team"]
+
+    def mean_of(event: str, every: int) -> Column:
+        return F.avg(F.when((F.col("events") == event) & (F.col("event_id") % every == 0), F.col("value"))).alias("temp")
+
+    raw = T.raw_events(spark, sf)
+    fresh = raw.groupBy(*keys).agg(mean_of("view", 3))
+    cached = raw.groupBy(*keys).agg(mean_of("click", 2)).where("temp is not null")
+    filled = J.fallback_fill(fresh, cached, on=keys, values=["temp"])
+    return J.fill_alerts(filled, by="home_team", date="game_date")
 
 
 @query(

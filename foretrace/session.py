@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zipfile
 
@@ -11,9 +10,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "foretrace", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "foretrace", master: str | None = None, partitions: int | None = None, checkpoint: str | None = None
+) -> SparkSession:
     """A session with UTC time and adaptive execution.
 
+    ``checkpoint`` is the folder for intermediate tables where the settings name none; on a cluster name a shared one in
+    ``spark.checkpoint.dir``.
+
     On a cluster leave ``master`` and ``partitions`` unset, so that spark-submit decides; adaptive execution
     then coalesces or splits shuffle partitions from their measured sizes.
     """
@@ -28,7 +32,10 @@ def build_session(app: str = "foretrace", master: str | None = None, partitions:
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("FORETRACE_DRIVER_MEMORY", "8g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return ship_package(builder.getOrCreate())
+    spark = builder.getOrCreate()
+    if checkpoint and not named_checkpoint_dir(spark) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint)
+    return ship_package(spark)
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -53,26 +60,36 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def named_checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local session, where none is named, gets a temporary one."""
+    """The application's own folder below the one that the session names for intermediate tables; no other is made up."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="foretrace-checkpoint-")
-    context.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        named = named_checkpoint_dir(spark)
+        if not named:
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must be written before."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(path):
+            files.delete(status.getPath(), True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table beside the session's checkpoints, and go on from the written rows.
 
     Readers of the table take only the columns they need, and a lost executor costs a read instead of a computation.
-    The tables can be dropped with the folder when the application has ended.
+    ``clean_up`` deletes the application's tables when their results are written.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"

@@ -26,9 +26,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(jpath)
 
 
-def write_dataset(df: DataFrame, path: str, *, date: str = "game_date", mode: str = "errorifexists") -> None:
-    """The engineered table as parquet, partitioned by date; rows of a date meet in one task per file set."""
-    df.write.mode(mode).partitionBy(date).parquet(path)
+def write_dataset(df: DataFrame, path: str, *, date: str = "game_date", files: int = 4, mode: str = "errorifexists") -> None:
+    """The engineered table as parquet, partitioned by date, with at most ``files`` files for each date.
+
+    Rows are dealt by date and by a hash of the row, so that a date with very many rows is no single task's work.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition(F.col(date), salt).write.mode(mode).partitionBy(date).parquet(path)
 
 
 def write_version(df: DataFrame, root: str, *, file_format: str = "parquet", version: int | None = None) -> int:

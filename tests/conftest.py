@@ -10,8 +10,8 @@ from foretrace.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", 4)
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", 4, checkpoint=str(tmp_path_factory.mktemp("checkpoint")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -138,3 +138,35 @@ def test_quantiles_are_exact(spark):
         low = int(at)
         high = min(low + 1, len(ordered) - 1)
         assert row[name] == pytest.approx(ordered[low] + (ordered[high] - ordered[low]) * (at - low))
+
+
+def test_promotion_needs_all_four_gates(spark):
+    rows = [("same score", 0.5, 0.4, True, 5), ("less precise", 0.9, 0.3, True, 6), ("unusable", 0.9, 0.4, False, 6), ("windows", 0.9, 0.4, True, 4), ("score", 0.49, 0.4, True, 6)]
+    df = spark.createDataFrame(rows, "name string, pr_auc double, precision double, ok boolean, passed int")
+    out = E.promotion(df, score="pr_auc", precision="precision", usable="ok", passes="passed", baseline_score=F.lit(0.5), baseline_precision=F.lit(0.3))
+    got = {r.name: (r.promoted, r.promotion_reason) for r in out.collect()}
+    assert got["same score"] == (True, "")
+    assert [n for n, (p, _) in got.items() if p] == ["same score"]
+    assert got["windows"][1] == "passes 4 of 6 windows"
+
+
+def test_rate_ratio_of_a_zero_base(spark):
+    df = spark.createDataFrame([(0.5, 0.5, 0.5), (0.5, 0.5, 0.0)], "precision double, recall double, positive_rate double")
+    ratios = [r.rate_ratio for r in E.usability(df, base_rate=F.lit(0.0)).collect()]
+    assert ratios == [float("inf"), 1.0]
+
+
+def test_many_rows_do_not_overflow(spark):
+    # four billion positives of eight billion rows, as two distinct scores
+    table = spark.createDataFrame([(0.9, 4_000_000_000, 4_000_000_000), (0.1, 4_000_000_000, 0)], "score double, n long, pos long")
+    from foretrace.operators import evaluation
+
+    original = evaluation.score_table
+    try:
+        evaluation.score_table = lambda *_, **__: table.withColumns(
+            {"n_above": F.when(F.col("score") > 0.5, 0).otherwise(4_000_000_000).cast("long"), "pos_above": F.when(F.col("score") > 0.5, 0).otherwise(4_000_000_000).cast("long")}
+        )
+        row = evaluation.probability_metrics(table, score="score", label="label").first()
+    finally:
+        evaluation.score_table = original
+    assert row.roc_auc == 1.0 and row.n_rows == 8_000_000_000

@@ -2,6 +2,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foretrace.catalog import FEATURES, PROFILES
 from foretrace.functions import fixed_values as fv
@@ -215,3 +216,37 @@ def test_sources(spark, tmp_path):
     assert writers.read_version(spark, root).count() == 2 and writers.read_version(spark, root, version=1).count() == 1
     with pytest.raises(FileNotFoundError):
         writers.current_version(spark, str(tmp_path / "w"))
+
+
+def test_intermediate_tables_have_an_owner(spark, tmp_path):
+    from foretrace import session
+
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    session.cut_lineage(spark.range(3)).count()
+    folder = tmp_path / context.getCheckpointDir().rstrip("/").split("/")[-1]
+    assert list(folder.iterdir())
+    session.clean_up(spark)
+    assert not list(folder.iterdir())
+    context.setCheckpointDir(str(before or tmp_path))
+
+
+def test_no_folder_is_made_up(monkeypatch):
+    from types import SimpleNamespace
+
+    from foretrace import session
+
+    bare = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(bare)
+
+
+def test_datasets_are_dealt_by_date(spark, tmp_path):
+    from foretrace.sources.writers import write_dataset
+
+    df = spark.range(200).selectExpr("date_add(date'2024-01-01', cast(id % 3 as int)) AS game_date", "id").repartition(8)
+    write_dataset(df, str(tmp_path / "d"), files=2)
+    days = [p for p in (tmp_path / "d").iterdir() if p.name.startswith("game_date=")]
+    assert len(days) == 3 and all(1 <= len(list(d.glob("*.parquet"))) <= 2 for d in days)
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 200
