@@ -296,17 +296,9 @@ def park_of(df: DataFrame, parks: DataFrame, *, team: str, opponent: str, is_hom
 
 
 def capped_dense_rank(df: DataFrame, *, keys: Sequence[str], value: str, cap: int, name: str) -> DataFrame:
-    """``least(dense_rank, cap)``: only the first ``cap - 1`` distinct values per key are ranked, all others get the cap.
+    """``least(dense_rank, cap)`` within ``keys``, null where the value is null.
 
-    Distinct values are limited before the shuffle, so that a key with many rows is never sorted in one task.
+    One exchange and one window: the keys are a team in a game, whose plate appearances the rules of a game bound.
     """
-    firsts = Window.partitionBy(*keys).orderBy(value)
-    ranked = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, value)
-        .distinct()
-        .withColumn(name, F.row_number().over(firsts))
-        .where(F.col(name) < cap)
-    )
-    joined = df.join(ranked, [*keys, value], "left")
-    return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.coalesce(F.col(name), F.lit(cap))))
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value)))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.least(place, F.lit(cap))))

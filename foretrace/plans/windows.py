@@ -163,21 +163,24 @@ def trailing_block(spark: SparkSession, sf: str) -> DataFrame:
 P30 = days(30, "pitcher_id")
 
 
-@query(
-    "trailing_opponent",
-    f"""WITH {PG_SQL} SELECT pitcher_id, game_pk, team, {rate("hr_allowed", "pa_against", P30)} AS pitcher_hr_allowed_per_pa_last_30d,
-      {total("hr_allowed", P30)} AS pitcher_hr_allowed_last_30d,
-      {rate("barrels_allowed", "bbe_allowed", P30)} AS pitcher_barrels_allowed_per_bbe_last_30d,
-      {total("barrels_allowed", P30)} AS pitcher_barrels_allowed_last_30d,
-      {rate("hard_hit_bbe_allowed", "bbe_allowed", P30)} AS pitcher_hard_hit_allowed_rate_last_30d,
-      {total("hard_hit_bbe_allowed", P30)} AS pitcher_hard_hit_allowed_last_30d,
-      {total("bbe_allowed", P30)} AS pitcher_bbe_allowed_last_30d,
-      {rate("coalesce(avg_ev_allowed, 0) * bbe_allowed", "bbe_allowed", P30)} AS pitcher_avg_ev_allowed_last_30d,
-      {rate("ev_95plus_bbe_allowed", "bbe_allowed", P30)} AS pitcher_95plus_ev_allowed_rate_last_30d FROM pg""",
-)
+OPPONENT = {
+    "pitcher_hr_allowed_per_pa_last_30d": rate("hr_allowed", "pa_against", P30),
+    "pitcher_hr_allowed_last_30d": total("hr_allowed", P30),
+    "pitcher_barrels_allowed_per_bbe_last_30d": rate("barrels_allowed", "bbe_allowed", P30),
+    "pitcher_barrels_allowed_last_30d": total("barrels_allowed", P30),
+    "pitcher_hard_hit_allowed_rate_last_30d": rate("hard_hit_bbe_allowed", "bbe_allowed", P30),
+    "pitcher_hard_hit_allowed_last_30d": total("hard_hit_bbe_allowed", P30),
+    "pitcher_bbe_allowed_last_30d": total("bbe_allowed", P30),
+    "pitcher_avg_ev_allowed_last_30d": rate("coalesce(avg_ev_allowed, 0) * bbe_allowed", "bbe_allowed", P30),
+    "pitcher_95plus_ev_allowed_rate_last_30d": rate("ev_95plus_bbe_allowed", "bbe_allowed", P30),
+}
+OPPONENT_SQL = ", ".join(f"{sql} AS {name}" for name, sql in OPPONENT.items())
+
+
+@query("trailing_opponent", f"WITH {PG_SQL} SELECT pitcher_id, game_pk, team, {OPPONENT_SQL} FROM pg")
 def trailing_opponent(spark: SparkSession, sf: str) -> DataFrame:
     out = H.pitcher_trailing_block(T.pitcher_games(spark, sf), entity="pitcher_id", date="game_date")
-    return round_doubles(out.select("pitcher_id", "game_pk", "team", *[c for c in out.columns if c.endswith("_last_30d")]))
+    return round_doubles(out.select("pitcher_id", "game_pk", "team", *OPPONENT))
 
 
 def count_window_sql(source: str, keys: str, order: str, count: str, nums: dict[str, str], size: int, units: str, outer: str) -> str:
@@ -611,3 +614,18 @@ def as_of_table(spark: SparkSession, sf: str) -> DataFrame:
 def as_of_today(spark: SparkSession, sf: str) -> DataFrame:
     out = H.batter_trailing_block(as_of_table(spark, sf), entity="batter_id", date="game_date")
     return round_doubles(out.where("is_candidate").select("batter_id", "game_pk", *TRAILING))
+
+
+PITCHER_COUNTS = ("hr_allowed", "pa_against", "barrels_allowed", "hard_hit_bbe_allowed", "bbe_allowed", "ev_95plus_bbe_allowed")
+PITCHER_AS_OF_SQL = f"""{PG_SQL[len(PA_SQL) :]}, pu AS (SELECT pitcher_id, game_pk, game_date, day_no, {", ".join(PITCHER_COUNTS)}, avg_ev_allowed, FALSE AS is_candidate FROM pg UNION ALL
+    SELECT DISTINCT pitcher_id, CAST(-1 AS BIGINT), CAST((SELECT d FROM target) AS DATE), date_diff('day', DATE '1970-01-01', CAST((SELECT d FROM target) AS DATE)), 0, 0, 0, 0, 0, 0, NULL, TRUE FROM pg)"""
+
+
+def pitcher_as_of_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The pitcher history with a row of each pitcher on the day after the newest one."""
+    history = T.pitcher_games(spark, sf).select("pitcher_id", "game_pk", "game_date", *PITCHER_COUNTS, "avg_ev_allowed")
+    target = history.agg(F.date_add(F.max("game_date"), 1)).scalar()
+    candidates = history.select("pitcher_id").distinct().select(
+        "pitcher_id", F.lit(-1).cast("bigint").alias("game_pk"), target.alias("game_date"), *[F.lit(0).cast("bigint").alias(c) for c in PITCHER_COUNTS]
+    )
+    return H.as_of_rows(history, candidates)

@@ -46,3 +46,9 @@ def test_windows_over_everything_see_bounded_tables_only(spark):
             if "Exchange SinglePartition" in line:
                 below = "\n".join(lines[i + 1 : i + 6])
                 assert "Aggregate" in below or "Range" in below or "Project" in below or "Join" in below, (name, below)
+
+
+@pytest.mark.parametrize("name", ["entity_game_rollup", "opponent_rollup", "canonical_record", "tier_summary"])
+def test_rollups_combine_by_hashing(spark, name):
+    text = plan(spark, name)
+    assert "HashAggregate" in text and "SortAggregate" not in text
