@@ -120,7 +120,7 @@ class Writer:
         self.path, self.step, self.at = path, step, len(MAGIC)
         system, inner = fs.FileSystem.from_uri(path)
         system.create_dir(os.path.dirname(inner), recursive=True)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)
         self.out.write(MAGIC)
         self.waiting, self.held, self.ids = [], 0, 0
         self.docs, self.ends, self.starts = [], [], []
@@ -296,16 +296,17 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every text and write the ids below ``root`` in ascending order of ``id_col``; returns the manifest.
 
-    ``root`` must be a folder that all executors share. Null ids come first, equal ids stand in the order of their text;
+    ``root`` must be a folder that all executors share. Null ids come first, equal ids stand in the order of their texts' hashes;
     a null or empty text has its end id alone; other columns are not carried; an empty table makes no file.
     A file is named after the task attempt that wrote it, and counts only if the manifest lists it: an attempt that
     was lost leaves a file that nobody reads. The manifest is itself written as a table.
     """
     path = tokenizer or default_tokenizer()
     ordered = (
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-        .repartitionByRange("id", "text")
-        .sortWithinPartitions("id", "text")
+        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+        .repartitionByRange("id", "hash")
+        .sortWithinPartitions("id", "hash")
+        .select("id", "text")
     )
 
     def write(batches):
