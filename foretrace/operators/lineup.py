@@ -87,7 +87,17 @@ def candidate_frame(sides: DataFrame, lineups: DataFrame, weather: DataFrame) ->
     return joined.withColumn("batting_order_slot", slot).withColumn("expected_pa_today", slot_to_pa("batting_order_slot"))
 
 
-def lineup_panels(lineups: DataFrame, *, team: str, rank: str, shown: Sequence[str]) -> DataFrame:
-    """One ordered array of players per team (a lineup is short)."""
-    players = F.array_sort(F.collect_list(F.struct(rank, *shown)))
-    return lineups.groupBy(team).agg(players.alias("players"))
+def lineup_panels(
+    lineups: DataFrame, *, keys: Sequence[str], rank: str, shown: Sequence[str], picks: DataFrame | None = None, player: str = "batter_id"
+) -> DataFrame:
+    """One ordered array of players per game side (a lineup is short), each with whether the board picked them.
+
+    ``picks`` has (``game_pk``, ``player``) of the board; without it nobody is selected.
+    """
+    rows = lineups.withColumn("selected_for_pick", F.lit(False))
+    if picks is not None:
+        chosen = picks.select("game_pk", player).distinct().withColumn("__picked", F.lit(True))
+        rows = lineups.join(chosen, ["game_pk", player], "left")
+        rows = rows.withColumn("selected_for_pick", F.coalesce("__picked", F.lit(False))).drop("__picked")
+    players = F.array_sort(F.collect_list(F.struct(rank, *shown, "selected_for_pick")))
+    return rows.groupBy(*keys).agg(players.alias("players"))

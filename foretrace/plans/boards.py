@@ -546,12 +546,16 @@ def live_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "lineup_panels",
-    f"""WITH {BG_SQL}, {LINEUP_SQL} SELECT team, array_to_string(list(projected_lineup_rank || '. ' || batter_name ORDER BY projected_lineup_rank), '; ') AS players FROM lu GROUP BY team""",
+    f"""WITH {CANDIDATE_SQL} SELECT c.game_pk, c.team, c.is_home, array_to_string(list(c.projected_lineup_rank || '. ' || lu.batter_name || CASE WHEN c.projected_lineup_rank <= 2 THEN '*' ELSE '' END
+      ORDER BY c.projected_lineup_rank), '; ') AS players FROM cand c JOIN lu ON lu.team = c.team AND lu.batter_id = c.batter_id GROUP BY c.game_pk, c.team, c.is_home""",
 )
 def lineup_panels(spark: SparkSession, sf: str) -> DataFrame:
-    panels = L.lineup_panels(lineups(spark, sf), team="team", rank="projected_lineup_rank", shown=["batter_name"])
-    shown = F.transform("players", lambda p: F.concat(p["projected_lineup_rank"].cast("string"), F.lit(". "), p["batter_name"]))
-    return panels.select("team", F.array_join(shown, "; ").alias("players"))
+    rows = candidates(spark, sf)
+    picks = rows.where("projected_lineup_rank <= 2").select("game_pk", "batter_id")
+    panels = L.lineup_panels(rows, keys=["game_pk", "team", "is_home"], rank="projected_lineup_rank", shown=["batter_name"], picks=picks)
+    star = lambda p: F.when(p["selected_for_pick"], "*").otherwise("")
+    shown = F.transform("players", lambda p: F.concat(p["projected_lineup_rank"].cast("string"), F.lit(". "), p["batter_name"], star(p)))
+    return panels.select("game_pk", "team", "is_home", F.array_join(shown, "; ").alias("players"))
 
 
 SETTLE_SQL = f"""{BOARD_SQL}, picks AS (SELECT *, {STATE_SQL} AS game_state FROM board), through AS (SELECT max(game_date) - 8 AS d FROM board),
