@@ -46,7 +46,7 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def folded_rows(spark: SparkSession, sf: str, splits: int = 3) -> DataFrame:
+def folded_rows(spark: SparkSession, sf: str, splits: int = 5) -> DataFrame:
     return E.expanding_folds(training_rows(spark, sf), blocks=["game_date", "game_pk"], order=["batter_id"], splits=splits)
 
 
@@ -84,9 +84,17 @@ def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("calibrate")
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    model = M.calibrate(folded_rows(spark, sf, splits=2), PLAIN, label="hit_hr", method="isotonic")
-    scored = model.score(training_rows(spark, sf))
-    return E.reliability(scored, score="probability", label="hit_hr")
+    """Both methods, fitted on folds of the training rows and judged on the held-out rows: metrics, and whether to keep each."""
+    train, test = split_rows(spark, sf)
+    folded = cut_lineage(E.expanding_folds(train, blocks=["game_date", "game_pk"], order=["batter_id"], splits=5))
+    plain = cut_lineage(M.score(M.fit(train, PLAIN, label="hit_hr"), test, PLAIN).select("hit_hr", "probability"))
+    out = E.probability_metrics(plain, score="probability", label="hit_hr").select(F.lit("none").alias("method"), "*", F.lit(True).alias("kept"))
+    for method in ("sigmoid", "isotonic"):
+        scored = cut_lineage(M.calibrate(folded, PLAIN, label="hit_hr", method=method).score(test).select("hit_hr", "probability"))
+        kept = F.lit(M.keep_calibration(plain, scored, label="hit_hr")).alias("kept")
+        metrics = E.probability_metrics(scored, score="probability", label="hit_hr")
+        out = out.unionByName(metrics.select(F.lit(method).alias("method"), "*", kept))
+    return out
 
 
 @query("backward_elim")
