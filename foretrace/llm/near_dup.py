@@ -1,8 +1,8 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Two fingerprints that differ in at most four bits differ, in three segments of them, in at most 1, 1 and 0 bits of some
-segment (more would be five bits). So each distinct fingerprint is entered in a table under its three segment values,
-and looked up under all values in the small Hamming balls of radius 1, 1 and 0 around its own. Matches are verified on
+segment (more would be five bits); in two segments, in at most 2 or 1. So each distinct fingerprint is entered in a table under its three segment values,
+and looked up under all values in the small Hamming balls of these radii around its own. Matches are verified on
 all 64 bits inside the join, so only true links leave it.
 """
 
@@ -20,7 +20,9 @@ from foretrace.llm.fingerprint import fingerprint
 from foretrace.llm.registry import query
 
 DISTANCE = 4
-WIDTHS, RADII = (22, 21, 21), (1, 1, 0)
+#: Segment widths and radii for up to so many fingerprints: wider segments keep table entries short when there are more, at
+#: the price of larger balls. Either finds all links.
+SEGMENTS = ((1 << 26, (22, 21, 21), (1, 1, 0)), (1 << 63, (32, 32), (2, 1)))
 #: Table entries with more fingerprints than this are not compared pair by pair but through their midpoints.
 HEAVY = 1000
 
@@ -44,13 +46,17 @@ def _segments(value: Column, widths: Sequence[int]) -> list[Column]:
 
 def _keys(value: Column, widths: Sequence[int], radii: Sequence[int]) -> Column:
     """(segment number, value) as one number for all values in the balls of the given radii."""
-    return F.array(
-        *[
-            segment.bitwiseXOR(F.lit(mask)) + F.lit(number << 40)
-            for number, (segment, width, radius) in enumerate(zip(_segments(value, widths), widths, radii))
-            for mask in _ball(width, radius)
-        ]
-    )
+    balls = []
+    for number, (segment, width, radius) in enumerate(zip(_segments(value, widths), widths, radii)):
+        masks = F.array(*[F.lit(mask) for mask in _ball(width, radius)])
+        keyed = lambda m, s=segment, n=number: s.bitwiseXOR(m) + F.lit(n << 40)
+        balls.append(F.transform(masks.cast("array<bigint>"), _one_argument(keyed)))
+    return F.concat(*balls)
+
+
+def _one_argument(function):
+    """Spark counts a lambda's arguments, also those with defaults."""
+    return lambda x: function(x)
 
 
 def linked_pairs(
@@ -58,8 +64,8 @@ def linked_pairs(
     column: str,
     *,
     distance: int = DISTANCE,
-    widths: Sequence[int] = WIDTHS,
-    radii: Sequence[int] = RADII,
+    widths: Sequence[int] | None = None,
+    radii: Sequence[int] | None = None,
     heavy: int = HEAVY,
 ) -> DataFrame:
     """(a, b), a < b: pairs of distinct values of ``column`` that differ in at most ``distance`` bits, but within
@@ -69,10 +75,13 @@ def linked_pairs(
     all that look them up, instead meet at midpoints: two values within ``distance`` share a value within half of it
     from both, and at most a ball of values can meet at a midpoint, where all are linked to the least.
     """
-    if sum(widths) != 64 or sum(r + 1 for r in radii) <= distance:
-        raise ValueError("the segments must cover 64 bits, and the radii every way to spread the distance")
     values = prints.select(F.col(column).alias("f")).where(F.col("f").isNotNull()).distinct()
     values = cut_lineage(values)
+    if widths is None:
+        count = values.count()
+        _, widths, radii = next(s for s in SEGMENTS if count <= s[0])
+    if sum(widths) != 64 or sum(r + 1 for r in radii) <= distance:
+        raise ValueError("the segments must cover 64 bits, and the radii every way to spread the distance")
     entries = values.select("f", F.explode(_keys(F.col("f"), widths, [0] * len(widths))).alias("key"))
     looked = values.select(F.col("f").alias("x"), F.explode(_keys(F.col("f"), widths, radii)).alias("key"))
     crowded = cut_lineage(entries.groupBy("key").count().where(F.col("count") > heavy).select("key"))

@@ -42,8 +42,8 @@ def flipped(rnd, value, bits):
     return value
 
 
-@pytest.mark.parametrize("heavy", [N.HEAVY, 2])
-def test_links_equal_brute_force(spark, heavy):
+@pytest.mark.parametrize("heavy, segments", [(N.HEAVY, 0), (2, 0), (N.HEAVY, 1), (2, 1)])
+def test_links_equal_brute_force(spark, heavy, segments):
     rnd = random.Random(1)
     values = [0]
     for _ in range(25):
@@ -51,7 +51,8 @@ def test_links_equal_brute_force(spark, heavy):
         values += [flipped(rnd, base, rnd.randint(0, 6)) for _ in range(6)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     frame = spark.createDataFrame([(signed(v),) for v in values] + [(None,)], "f long")
-    pairs = {(r.a, r.b) for r in N.linked_pairs(frame, "f", heavy=heavy).collect()}
+    _, widths, radii = N.SEGMENTS[segments]
+    pairs = {(r.a, r.b) for r in N.linked_pairs(frame, "f", widths=widths, radii=radii, heavy=heavy).collect()}
     nodes = sorted({signed(v) for v in values})
     want = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert pairs <= want if heavy == 2 else pairs == want
@@ -60,7 +61,7 @@ def test_links_equal_brute_force(spark, heavy):
 
 def test_radii_must_cover_the_distance(spark):
     with pytest.raises(ValueError, match="radii"):
-        N.linked_pairs(spark.createDataFrame([(1,)], "f long"), "f", radii=(1, 0, 0))
+        N.linked_pairs(spark.createDataFrame([(1,)], "f long"), "f", widths=(22, 21, 21), radii=(1, 0, 0))
 
 
 @pytest.mark.parametrize("heavy", [N.HEAVY, 2])
