@@ -83,27 +83,33 @@ def _next(array, where, chunk, text, smaller, kind, step):
 
 
 def _induce_entries(text, smaller, starts, ends, leftmost):
-    t, kind, n = text.tolist(), smaller.tolist(), len(text)
+    n = len(text)
+    # what a place induces: the character before it, if the suffix there is of the pass's class; -1 for nothing, also
+    # behind the last place, where empty entries (-1) look
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = text[:-1]
+    of_larger, of_smaller = before.copy(), before
+    of_larger[1:n][smaller[:-1]] = -1
+    of_smaller[1:n][~smaller[:-1]] = -1
     array = [-1] * n
     tails = ends.tolist()
-    for p in reversed(leftmost.tolist()):
-        c = t[p]
+    for p, c in zip(leftmost[::-1].tolist(), text[leftmost[::-1]].tolist()):
         tails[c] -= 1
         array[tails[c]] = p
-    heads = starts.tolist()
-    for i in range(n):
-        p = array[i] - 1
-        if p >= 0 and not kind[p]:
-            c = t[p]
-            array[heads[c]] = p
-            heads[c] += 1
-    tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = array[i] - 1
-        if p >= 0 and kind[p]:
-            c = t[p]
-            tails[c] -= 1
-            array[tails[c]] = p
+    heads, induced = starts.tolist(), of_larger.tolist()
+    for p in array:  # entries are filled ahead of the walk
+        c = induced[p]
+        if c >= 0:
+            at = heads[c]
+            array[at] = p - 1
+            heads[c] = at + 1
+    tails, induced = ends.tolist(), of_smaller.tolist()
+    for p in reversed(array):
+        c = induced[p]
+        if c >= 0:
+            at = tails[c] - 1
+            array[at] = p - 1
+            tails[c] = at
     return np.array(array, np.int64)
 
 
