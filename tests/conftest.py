@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from foretrace.session import build_session  # noqa: E402
+from foretrace.session import build_session, clean_up  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", 4, checkpoint=str(tmp_path_factory.mktemp("checkpoint")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_up(session)
     session.stop()
