@@ -19,8 +19,9 @@ from foretrace.llm.registry import query
 WINDOW = 13
 #: Contaminated from one hit word in this many.
 SHARE = 20
-#: An automaton takes roughly 60 bytes for each pattern byte; benchmarks beyond this many text bytes are scanned in parts.
-PART_BYTES = 4_000_000
+#: Windows repeat an item's bytes up to 13 times, and an automaton takes some 60 bytes for each: about 200 MB for this many
+#: bytes of items. Larger benchmarks are scanned in parts, each with an automaton in a Python worker of its own.
+PART_BYTES = 250_000
 FACTS = "n_words bigint, hits array<int>, spans array<struct<start:int,stop:int>>, items array<string>"
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
