@@ -682,6 +682,22 @@ def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(out)
 
 
+@query(
+    "rebuilt_history",
+    f"""WITH {BG_SQL}, r AS (SELECT opponent, game_date, day_no, sum(pa_count) AS pa, sum(hr_count) AS hr FROM bg GROUP BY 1, 2, 3),
+    t AS (SELECT opponent, game_date, sum(hr) OVER w AS hr, sum(pa) OVER w AS pa FROM r WINDOW w AS (PARTITION BY opponent ORDER BY day_no RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING))
+    SELECT bg.batter_id, bg.game_pk, round(CASE WHEN t.pa > 0 THEN CAST(t.hr AS DOUBLE) / t.pa END, 6) AS opponent_hr_per_pa_last_30d FROM bg LEFT JOIN t ON t.opponent = bg.opponent AND t.game_date = bg.game_date""",
+)
+def rebuilt_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The opponents' history, rebuilt from the batters' frame and joined back to it as of each day."""
+    games = T.batter_counts(spark, sf)
+    rebuilt = R.weighted_rollup(games, keys=["opponent", "game_date"], sums={"pa_against": "pa_count", "hr_allowed": "hr_count"}, means={})
+    trailing = H.trailing_days(rebuilt, keys=["opponent"], date="game_date", days=[30], sums={"hr": "hr_allowed", "pa": "pa_against"})
+    joined = games.join(trailing, ["opponent", "game_date"], "left")
+    rate = S.safe_rate("hr_last_30d", "pa_last_30d").alias("opponent_hr_per_pa_last_30d")
+    return round_doubles(joined.select("batter_id", "game_pk", rate))
+
+
 @query(
     "pool_summary",
     f"""WITH {BG_SQL} SELECT team, batter_id, arg_max(bat_side, struct_pack(a := game_date, b := game_pk)) AS bat_side, round(arg_max(max_exit_velocity, struct_pack(a := game_date, b := game_pk))
