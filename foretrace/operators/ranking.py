@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foretrace.operators.scan import border_blocks, positions, ranks
+from foretrace.session import cut_lineage
 
 
 def dedup(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -58,6 +59,7 @@ def rerank(df: DataFrame, *, slate: Sequence[str], score: str, probability: str,
     entry = F.struct(down.alias("s"), down_probability.alias("p"), F.coalesce(F.col(name), F.lit("")).alias("n"))
     ordered, blocks = border_blocks(df.withColumn("__entry", entry), "__entry", keys=slate, name="entry")
     ordered, ties = border_blocks(ordered, tie, keys=[], name="tie")
+    ordered = cut_lineage(ordered)  # read once for each level of blocks
     blocks = [*blocks, "__entry", *ties]
     return positions(ordered, keys=slate, blocks=blocks, order=[tie], name=rank).drop(*blocks)
 
