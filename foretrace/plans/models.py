@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.functions import scalar as S
+from foretrace.functions.profiles import PROFILES
 from foretrace.operators import evaluation as E
 from foretrace.operators import history as H
 from foretrace.operators import model as M
 from foretrace.operators import ranking as K
 from foretrace.operators import reasons as N
+from foretrace.operators import rollup as R
 from foretrace.plans import tables as T
+from foretrace.plans import windows as W
 from foretrace.plans.evaluation import RULES
 from foretrace.plans.registry import query
 from foretrace.session import cut_lineage
@@ -20,6 +23,8 @@ from foretrace.sources import writers
 FEATURES = ("hr_per_pa_last_7d", "hard_hit_rate_last_7d", "barrels_last_7d", "platoon_advantage", "pitcher_load", "is_home")
 PLAIN = M.ModelSpec("logistic", FEATURES, {"C": 1.0, "max_iter": 25})
 
+PROFILE = "live_usable_candidate_v1"
+
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     bg = T.batter_counts(spark, sf)
@@ -50,6 +55,58 @@ def folded_rows(spark: SparkSession, sf: str, splits: int = 5) -> DataFrame:
     return E.expanding_folds(training_rows(spark, sf), blocks=["game_date", "game_pk"], order=["batter_id"], splits=splits)
 
 
+def opponent_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Per game and batting team the primary opposing pitcher's trailing block and to-date rates by the batter's side."""
+    pg = T.pitcher_games(spark, sf)
+    measures = [f"{m}_{s}" for m in R.HANDED for s in ("rhb", "lhb")]
+    blocks = H.pitcher_trailing_block(pg, entity="pitcher_id", date="game_date")
+    blocks = H.to_date(blocks, **W.PITCHER, sums={f"__{m}": m for m in measures})
+    rates = {f"{n}_{s}": S.safe_rate(f"__{a}_{s}", f"__{b}_{s}") for n, (a, b) in W.PITCHER_RATES.items() for s in ("rhb", "lhb")}
+    features = blocks.select("game_pk", "team", F.col("pitcher_id").alias("opp_pitcher_id"), *W.OPPONENT, *[c.alias(n) for n, c in rates.items()])
+    primary = R.primary_opponent(pg).select("game_pk", "team", "opp_pitcher_id")
+    return primary.join(features, ["game_pk", "team", "opp_pitcher_id"]).drop("opp_pitcher_id")
+
+
+def profile_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Batter-games with the features of the profile that the tables give, and the names of these features.
+
+    Windows end the day before; to-date rates and slots follow earlier rows. The pitcher of a game is the one who faced most
+    batters in it. ``temperature_f`` is left out: in the given tables it is a mean over events of the day itself.
+    """
+    bg = K.lineup_rank(
+        W.confirmed(spark, sf),
+        keys=["game_pk", "team"],
+        expected=F.round("expected_pa_today", 9),
+        score=F.round("lineup_confirmation_score", 9),
+        slot=F.round("batting_order_slot", 9),
+        entity="batter_id",
+    )
+    bg = H.batter_trailing_block(cut_lineage(bg), entity="batter_id", date="game_date")
+    bg = H.to_date(bg, **W.BATTER, sums={"batter_pa_total_to_date": "pa_count"})
+    bg = H.split_to_date(bg, **W.BATTER, split="pitcher_hand", sides={"R": "rhp", "L": "lhp"}, rates=W.BATTER_RATES)
+    bg = bg.join(opponent_features(spark, sf), ["game_pk", "team"], "left")
+    bg = bg.withColumns(
+        {f"{n}_pitcher_hand": S.by_hand("pitcher_hand", f"{n}_lhp", f"{n}_rhp") for n in W.BATTER_RATES}
+        | {f"{n}_batter_hand": S.by_hand("bat_side", f"{n}_lhb", f"{n}_rhb") for n in W.PITCHER_RATES}
+        | {"platoon_advantage": S.platoon_advantage("bat_side", "pitcher_hand")}
+    )
+    products = {
+        "split_matchup_hr": ("batter_hr_per_pa_vs_pitcher_hand", "pitcher_hr_allowed_per_pa_vs_batter_hand"),
+        "split_matchup_barrel": ("batter_barrels_per_pa_vs_pitcher_hand", "pitcher_barrels_allowed_per_bbe_vs_batter_hand"),
+        "split_matchup_hard_hit": ("batter_hard_hit_rate_vs_pitcher_hand", "pitcher_hard_hit_allowed_rate_vs_batter_hand"),
+    }
+    bg = bg.withColumns(S.interactions(products))
+    features = tuple(c for c in PROFILES[PROFILE] if c in bg.columns)
+    row_id = F.concat_ws(":", "batter_id", "game_pk").alias("row_id")
+    rows = bg.select(row_id, "batter_id", "game_pk", "game_date", "team", "hit_hr", *[F.col(c).cast("double").alias(c) for c in features])
+    return cut_lineage(rows), features
+
+
+def folded_profile(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple[str, ...]]:
+    rows, features = profile_rows(spark, sf)
+    return E.expanding_folds(rows, blocks=["game_date", "game_pk"], order=["batter_id"], splits=5), features
+
+
 def split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(E.chronological_split(training_rows(spark, sf), date="game_date"))
     return rows.where("part = 'train'"), rows.where("part = 'test'")
@@ -64,15 +121,20 @@ def fit_logistic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fit_gbt")
 def fit_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = split_rows(spark, sf)
-    spec = M.ModelSpec("gbt", FEATURES, {"max_iter": 5, "max_depth": 3})
+    rows, features = profile_rows(spark, sf)
+    rows = cut_lineage(E.chronological_split(rows, date="game_date"))
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+    facts = train.agg(*[F.count(c).alias(c) for c in features]).first()
+    spec = M.ModelSpec("gbt", tuple(c for c in features if facts[c] > 0))
     return E.probability_metrics(M.score(M.fit(train, spec, label="hit_hr"), test, spec), score="probability", label="hit_hr")
 
 
 @query("param_search")
 def param_search(spark: SparkSession, sf: str) -> DataFrame:
-    specs = [M.ModelSpec("logistic", FEATURES, {"C": c, "l1_ratio": r, "max_iter": 15}) for c, r in ((0.01, 0.0), (1.0, 0.5))]
-    found = M.search(folded_rows(spark, sf), specs, label="hit_hr").withColumn("priority", F.lit(0))
+    """The whole logistic grid and all random tree settings over the features of the profile."""
+    folded, features = folded_profile(spark, sf)
+    specs = [*M.logistic_grid(features), *M.random_tree_specs(features)]
+    found = M.search(folded, specs, label="hit_hr").withColumn("priority", F.lit(0))
     return E.rank_candidates(found, score="mean_cv_pr_auc", log_loss="mean_cv_log_loss", brier="mean_cv_brier_score", priority="priority")
 
 
@@ -99,18 +161,17 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("backward_elim")
 def backward_elim(spark: SparkSession, sf: str) -> DataFrame:
-    spec = M.ModelSpec("logistic", FEATURES[:3], {"C": 1.0, "max_iter": 10})
-    rows = M.backward_elimination(folded_rows(spark, sf, splits=2), spec, label="hit_hr", min_features=2)
+    folded, features = folded_profile(spark, sf)
+    rows = M.backward_elimination(folded, M.ModelSpec("logistic", features), label="hit_hr")
     table = [(",".join(r["features"]), r["feature_count"], r["oof_precision"], r["oof_recall"], r["oof_positive_rate"], r["oof_pr_auc"]) for r in rows]
     return spark.createDataFrame(table, "features string, feature_count int, oof_precision double, oof_recall double, oof_positive_rate double, oof_pr_auc double")
 
 
 @query("rolling_eval")
 def rolling_eval(spark: SparkSession, sf: str) -> DataFrame:
-    spec = M.ModelSpec("logistic", FEATURES[:4], {"C": 1.0, "max_iter": 10})
-    return M.rolling_evaluation(
-        training_rows(spark, sf), spec, label="hit_hr", date="game_date", blocks=["game_date", "game_pk"], order=["batter_id"], days=7, windows=2, splits=2
-    )
+    rows, features = profile_rows(spark, sf)
+    spec = M.ModelSpec("logistic", features)
+    return M.rolling_evaluation(rows, spec, label="hit_hr", date="game_date", blocks=["game_date", "game_pk"], order=["batter_id"])
 
 
 @query("fast_refit")
