@@ -3,8 +3,9 @@
 Base patterns find addresses, numbers and cards. They are the seeds of the bootstrap: the words before an entity are a
 lexical pattern, and patterns and instances (surfaces) form a graph of their occurrences in the whole corpus. A pattern's
 confidence is the mean confidence of the instances it precedes; an unseen identifier's is that of the best pattern
-that precedes it anywhere. The two are computed in turn a fixed number of times, and what confident patterns precede
-is added to the base spans under the kind ``context``.
+that precedes it anywhere. The two are computed in turn a fixed number of times, where instances that a round came to believe
+support further patterns in the next, and what confident patterns precede is added to the base spans under the kind
+``context``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from foretrace.llm.spans import count_kind, find_spans, spans_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = KINDS[:4]
-#: Rounds of scoring; confidence from which a pattern is trusted; distinct seeds that a pattern needs.
+#: Rounds of scoring; confidence from which a pattern is trusted; distinct believed instances that a pattern needs.
 ROUNDS, CONFIDENT, SEEDS = 3, 0.8, 3
 #: Code points before an entity in which its pattern's words are looked for.
 LEFT = 48
@@ -113,21 +114,27 @@ def trusted_patterns(places: DataFrame, *, rounds: int = ROUNDS, confident: floa
         .groupBy(F.col("p.context").alias("context"), F.col("p.surface").alias("surface"))
         .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("p.kind") != "context").cast("int")).alias("is_seed"))
     )
-    known = graph.groupBy("surface").agg(F.max("is_seed").cast("double").alias("belief"))
-    supported = graph.groupBy("context").agg(F.sum("is_seed").alias("seeds")).where(F.col("seeds") >= seeds).select("context")
-    edges = cut_lineage(graph.join(supported, "context", "left_semi"))
-    belief = edges.select("surface").distinct().join(known, "surface")
+    known = graph.groupBy("surface").agg(F.max("is_seed").alias("seed"))
+    # no round can support a context that has fewer different instances than a pattern needs
+    possible = graph.groupBy("context").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= seeds).select("context")
+    edges = cut_lineage(graph.join(possible, "context", "left_semi").join(known, "surface").select("context", "surface", "n", "seed"))
+    belief = edges.groupBy("surface").agg(F.max("seed").cast("double").alias("belief"))
     for turn in range(rounds):
         scores = (
             edges.join(belief, "surface")
             .groupBy("context")
-            .agg((F.sum(F.col("n") * F.col("belief")) / F.sum("n")).alias("score"))
+            .agg(
+                F.round(F.sum(F.col("n") * F.col("belief")) / F.sum("n"), 9).alias("score"),
+                F.sum((F.col("belief") > 0).cast("bigint")).alias("support"),
+            )
+            .where((F.col("support") >= seeds) & (F.col("score") >= confident))
+            .select("context", "score")
         )
         if turn < rounds - 1:
-            best = edges.join(scores, "context").groupBy("surface").agg(F.max("score").alias("best"), F.max("is_seed").alias("seed"))
-            believed = F.when(F.col("seed") == 1, 1.0).when(F.col("best") >= confident, F.col("best")).otherwise(0.0)
-            belief = cut_lineage(best.select("surface", F.round(believed, 9).alias("belief")))
-    return cut_lineage(scores.where(F.col("score") >= confident).select("context", F.round("score", 9).alias("score")))
+            best = edges.join(scores, "context", "left").groupBy("surface").agg(F.max("score").alias("best"), F.max("seed").alias("seed"))
+            believed = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
+            belief = cut_lineage(best.select("surface", believed.alias("belief")))
+    return cut_lineage(scores)
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), **limits) -> DataFrame:

@@ -14,7 +14,7 @@ def find_spans(
     text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, *, group: int = 0, before: int = 0
 ) -> Column:
     """All leftmost non-overlapping matches as structs: start and stop (code points, stop exclusive), the match, and up to
-    ``before`` code points of the text between the last match and this one.
+    ``before`` code points of the text in front of it, other matches among them.
 
     ``keep(match, group)`` drops matches afterwards; their text is not searched again. The pattern must never match the
     empty string. Java splits a text at just the matches that it extracts, so the lengths of what lies between them and of
@@ -25,17 +25,20 @@ def find_spans(
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g"), inner.alias("v")), lambda x: x["m"].isNotNull())
 
+    def tail(front: Column, back: Column) -> Column:
+        return F.substring(F.concat(front, F.substring(back, -before, before)), -before, before) if before else F.lit("")
+
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.char_length(x["g"])
         stop = start + F.char_length(x["m"])
-        left = F.substring(x["g"], -before, before) if before else F.lit("")
+        left = tail(state["tail"], x["g"])
         span = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"), left.alias("before"))
         more = F.concat(state["spans"], F.array(span))
         out = F.when(keep(x["m"], x["v"]), more).otherwise(state["spans"]) if keep else more
-        return F.struct(stop.alias("at"), out.alias("spans"))
+        return F.struct(stop.alias("at"), out.alias("spans"), tail(left, x["m"]).alias("tail"))
 
     none = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"), F.lit("").alias("tail"))
     return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda s: s["spans"])).otherwise(none)
 
 

@@ -112,6 +112,28 @@ def test_confident_contexts_find_unseen_identifiers(spark, make_docs):
     assert I.find_personal_data(make_docs([])).count() == 0
 
 
+def test_discovered_identifiers_induce_new_patterns(spark, make_docs):
+    texts = [f"x{i} phone number +1 237 555 {1000 + i} end" for i in range(40)]
+    found = [f"88-77-{1000 + i}" for i in range(4)]
+    texts += [f"y phone number {v} end" for v in found]
+    # a context without any seed, which only discovered identifiers support; and one that too few support
+    texts += [f"z{i} badge no {v} end" for v in found for i in range(10)] + ["z badge no ZX-445566 end"]
+    texts += [f"z{i} desk no {v} end" for v in found[:2] for i in range(10)] + ["z desk no ZY-445566 end"]
+    rows = {r.doc_id: r for r in I.find_personal_data(make_docs(texts)).collect()}
+    spans = {i: [(s.kind, texts[i][s.start : s.stop]) for s in rows[i].spans] for i in rows}
+    new = next(i for i, t in enumerate(texts) if "ZX" in t)
+    assert all(spans[i] == [("context", texts[i].split()[3])] for i in range(40, new))
+    assert spans[new] == [("context", "ZX-445566")]
+    assert all(spans[i] == [] for i in range(new + 1, len(texts)))
+
+
+def test_patterns_may_have_words_with_digits(spark, make_docs):
+    texts = [f"x line n{i} +1 237 555 {1000 + i} end" for i in range(6)] + ["y line n7 88-77-1234 end", "y n7 88-99-1234 end"]
+    rows = {r.doc_id: r for r in I.find_personal_data(make_docs(texts)).collect()}
+    assert [(s.kind, texts[6][s.start : s.stop]) for s in rows[6].spans] == [("context", "88-77-1234")]
+    assert rows[7].spans == []
+
+
 def test_redaction(spark):
     spans = "array(named_struct('rank', 3, 'start', 8, 'stop', 12, 'kind', 'phone'), named_struct('rank', 0, 'start', 2, 'stop', 5, 'kind', 'email'), named_struct('rank', 1, 'start', 4, 'stop', 7, 'kind', 'ip'))"
     row = spark.sql(f"SELECT 'é日abcdefghijkl' AS t, {spans} AS s").select(I.redact(F.col("t"), F.col("s")).alias("r")).first()
