@@ -266,11 +266,11 @@ def season_leaders(
     order: Sequence[str],
     name: str,
     latest: Sequence[str] = (),
-    year: int,
+    year: int | Column,
     top: int = 5,
 ) -> DataFrame:
     """The ``top`` entities of a year by a summed value, then by volume, games and name."""
-    first, after = (F.lit(f"{y}-01-01").cast("date") for y in (year, year + 1))
+    first, after = (F.make_date(F.lit(year) + n, F.lit(1), F.lit(1)) for n in (0, 1))
     in_year = df.where((F.col(date) >= first) & (F.col(date) < after) & F.col(entity).isNotNull())
     totals = in_year.groupBy(entity).agg(
         F.coalesce(F.sum(value), F.lit(0)).alias("total"),

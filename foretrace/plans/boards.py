@@ -22,10 +22,6 @@ from foretrace.sources import writers
 from foretrace.sources.readers import table
 
 
-def day(text: str) -> Column:
-    return F.lit(text).cast("date")
-
-
 def stamp(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -441,6 +437,7 @@ def board_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- lineups, settlement
 
+# The day before the newest one of the given tables; only the SQL names it, the queries take it from their table.
 TARGET = "2024-01-29"
 LINEUP_SQL = f"""played AS (SELECT team, game_date, game_pk, row_number() OVER (PARTITION BY team ORDER BY game_date DESC, game_pk DESC) AS rn, max(game_date) OVER (PARTITION BY team) AS newest
     FROM (SELECT DISTINCT team, game_date, game_pk FROM bg WHERE game_date < DATE '{TARGET}')),
@@ -465,7 +462,7 @@ def lineups(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("batter_id") % 9 + 1).cast("int").alias("batting_order"),
     )
     roster = members.withColumn("batter_name", F.concat(F.lit("Roster "), F.col("batter_id").cast("string")))
-    return L.probable_lineups(named, target=day(TARGET), forms=["max_exit_velocity"], projected=projected, roster=roster)
+    return L.probable_lineups(named, target=T.day_back(named, 1), forms=["max_exit_velocity"], projected=projected, roster=roster)
 
 
 @query("probable_lineup", f"WITH {BG_SQL}, {LINEUP_SQL} SELECT * FROM lu")
@@ -483,7 +480,7 @@ CANDIDATE_SQL = f"""{BG_SQL}, {LINEUP_SQL}{WEATHER_TAIL},
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     raw = T.raw_events(spark, sf)
-    games = raw.where(F.col("game_date") == day(TARGET)).select("game_date", "game_pk", "home_team", "away_team").distinct()
+    games = raw.where(F.col("game_date") == T.day_back(raw, 1)).select("game_date", "game_pk", "home_team", "away_team").distinct()
     sides = J.slate_sides(
         games,
         shared=["game_date", "game_pk", "home_team"],

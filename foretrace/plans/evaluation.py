@@ -393,5 +393,5 @@ def frame_rate(num: str, den: str) -> str:
 )
 def top_reasons(spark: SparkSession, sf: str) -> DataFrame:
     rows = reason_rows(spark, sf)
-    cut = F.lit("2024-01-21").cast("date")
+    cut = T.day_back(rows, 9)
     return N.top_reasons(rows.where(F.col("game_date") >= cut), rows.where(F.col("game_date") < cut), key="row_id", rules=RULES)

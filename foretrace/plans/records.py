@@ -735,7 +735,7 @@ def season_leaders(spark: SparkSession, sf: str) -> DataFrame:
         order=["game_date", "game_pk", "event_id"],
         name="player_name",
         latest=["team_no"],
-        year=2024,
+        year=F.year(T.day_back(raw, 0)),
     )
 
 
