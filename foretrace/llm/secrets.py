@@ -59,9 +59,21 @@ def address(versions: DataFrame, *, path: str, text: str) -> DataFrame:
     return versions.select(F.col(path).alias("path"), F.sha2(content, 256).alias("blob"), content.alias("text"))
 
 
+def _layers(rules: Sequence[Rule]) -> list[list[tuple[int, Rule]]]:
+    """The ranked rules in groups that have one version of each kind at most: mostly one group."""
+    out: list[list[tuple[int, Rule]]] = []
+    for i, rule in enumerate(rules):
+        free = next((layer for layer in out if rule.kind not in {r.kind for _, r in layer}), None)
+        if free is None:
+            out.append(free := [])
+        free.append((i, rule))
+    return out
+
+
 def scan_unseen(addressed: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES) -> DataFrame:
     """New ledger rows: for each blob that some rule version has not seen, those rule versions and what they found.
 
+    A row has one version of a kind at most, so that ``rules`` and a finding's kind tell which version found it.
     One version stands for each blob, the one with the smallest path; it is chosen on narrow rows. A blob that very many
     paths have is one row after map-side combination.
     """
@@ -77,16 +89,19 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None, rules: Sequence[
     pending = pending.withColumnRenamed("blob", "pending")
     texts = addressed.join(pending, (addressed.blob == pending.pending) & addressed.path.eqNullSafe(pending.chosen))
     text = F.col("text")
-    found = F.flatten(
-        F.array(
-            *[
-                F.when(F.array_contains("todo", r.key), _scan(text, r, i)).otherwise(F.array().cast(FOUND))
-                for i, r in enumerate(rules)
-            ]
+    parts = [
+        F.struct(
+            F.array_intersect("todo", F.array(*[F.lit(r.key) for _, r in layer])).alias("rules"),
+            F.flatten(
+                F.array(*[F.when(F.array_contains("todo", r.key), _scan(text, r, i)).otherwise(F.array().cast(FOUND)) for i, r in layer])
+            )
+            .cast(FOUND)
+            .alias("found"),
         )
-    )
-    scanned = texts.select("blob", F.col("todo").alias("rules"), found.cast(FOUND).alias("found"))
-    return scanned.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("found").alias("found"))
+        for layer in _layers(rules)
+    ]
+    scanned = texts.select("blob", F.array(*parts).alias("parts")).groupBy("blob").agg(F.first("parts").alias("parts"))
+    return scanned.select("blob", F.explode("parts").alias("part")).select("blob", "part.rules", "part.found").where(F.size("rules") > 0)
 
 
 def scan_history(
@@ -103,10 +118,10 @@ def scan_history(
     added = cut_lineage(scan_unseen(addressed, ledger, rules))
     whole = added if ledger is None else ledger.select("blob", "rules", "found").unionByName(added)
     asked = F.array(*[F.lit(r.key) for r in rules])
-    current = whole.where(F.arrays_overlap("rules", asked) & (F.size("found") > 0))
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    by_blob = current.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    by_blob = by_blob.select("blob", F.array_sort(F.filter("found", lambda s: F.array_contains(kinds, s["kind"]))).alias("found"))
+    kinds = F.create_map(*[F.lit(v) for r in rules for v in (r.key, r.kind)])
+    current = whole.where(F.size("found") > 0).withColumn("kinds", F.transform(F.array_intersect("rules", asked), lambda k: kinds[k]))
+    current = current.select("blob", F.filter("found", lambda s: F.array_contains("kinds", s["kind"])).alias("found")).where(F.size("found") > 0)
+    by_blob = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     rows = addressed.select("path", "blob").join(by_blob, "blob", "left")
     return rows.select(F.col("path").alias(path), "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), whole
 
