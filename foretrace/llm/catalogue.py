@@ -1,6 +1,19 @@
 """All queries of this subpackage."""
 
-from foretrace.llm import decontaminate, near_dup, pieces, pii, quality, secrets, substrings, token_file, urls, warc  # noqa: F401
+from foretrace.llm import (  # noqa: F401
+    decontaminate,
+    filter_audit,
+    near_dup,
+    pieces,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    substrings,
+    token_file,
+    urls,
+    warc,
+)
 from foretrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
