@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from foretrace.llm import (  # noqa: F401
+    alignment,
     decontaminate,
     filter_audit,
     near_dup,

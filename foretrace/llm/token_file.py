@@ -223,18 +223,20 @@ class Encoder:
 
     The byte-level tokenizer cuts text by a pattern before it merges, and ``_SEGMENT`` cuts only where that pattern does,
     so the ids of a text are those of its segments. New segments are encoded together and told apart by their bytes.
+    Without ``specials`` their strings in a text are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not specials
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one character for each byte
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()] if specials else []
         self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
