@@ -193,23 +193,30 @@ def confusion_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def threshold_sweep(df: DataFrame, *, score: str, label: str, low: int = 5, high: int = 50, per: int = 100) -> DataFrame:
-    """Confusion counts and rates at the thresholds low/per..high/per, from one histogram over threshold steps."""
-    s = F.col(score)
+def threshold_sweep(
+    df: DataFrame, *, score: str, label: str, low: int = 5, high: int = 50, per: int = 100, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Confusion counts and rates at the thresholds low/per..high/per, from one histogram over threshold steps (per key).
+
+    Keys without any score have no rows; without keys there always is a row for each threshold.
+    """
+    keys, s = list(keys), F.col(score)
     step = F.floor(s * per)
     step = step + flag(s >= (step + 1) / per) - flag(s < step / per)
     steps = F.least(F.greatest(step, F.lit(low - 1)), F.lit(high)).cast("bigint")
     histogram = (
         df.where(s.isNotNull())
-        .groupBy(steps.alias("__step"))
+        .groupBy(*keys, steps.alias("__step"))
         .agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("bigint")).alias("__pos"))
     )
-    grid = df.sparkSession.range(low - 1, high + 1).withColumnRenamed("id", "__step")
-    filled = grid.join(histogram, "__step", "left")
-    at_least = Window.orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
+    every = F.explode(F.sequence(F.lit(low - 1).cast("bigint"), F.lit(high).cast("bigint"))).alias("__step")
+    grid = histogram.select(*keys).distinct().select(*keys, every) if keys else df.sparkSession.range(1).select(every)
+    filled = grid.join(histogram, [*keys, "__step"], "left")
+    at_least = Window.partitionBy(*keys).orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
     n, pos = F.coalesce("__n", F.lit(0)), F.coalesce("__pos", F.lit(0))
     counted = filled.select(
+        *keys,
         "__step",
         F.sum(pos).over(at_least).alias("tp"),
         F.sum(n - pos).over(at_least).alias("fp"),
@@ -217,6 +224,7 @@ def threshold_sweep(df: DataFrame, *, score: str, label: str, low: int = 5, high
         F.sum(n - pos).over(whole).alias("__neg"),
     ).where(F.col("__step") >= low)
     out = counted.select(
+        *keys,
         (F.col("__step") / per).alias("threshold"),
         "tp",
         "fp",
@@ -332,7 +340,7 @@ def recommended_band(sweep: DataFrame, *, min_recall: float, max_rate: float, to
 
 def ranked_rows(df: DataFrame, *, score: str, tie: str, name: str = "position") -> DataFrame:
     """1-based position of each row by score, best first."""
-    return ranks(df, keys=[], value=score, tie=tie, best=name, lowest="__up", total="__of").drop("__up", "__of")
+    return ranks(df, keys=[], value=score, tie=tie, best=name, total="__of").drop("__of")
 
 
 def top_lift(df: DataFrame, *, score: str, label: str, tie: str, shares: Sequence[float] = (0.01, 0.02, 0.05, 0.10, 0.20)) -> DataFrame:

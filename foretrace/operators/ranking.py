@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.operators.scan import border_blocks, positions, ranks
-from foretrace.session import cut_lineage
+from foretrace.operators.scan import range_positions, ranks
 
 
 def dedup(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -51,17 +50,12 @@ def lineup_rank(
 def rerank(df: DataFrame, *, slate: Sequence[str], score: str, probability: str, name: str, tie: str, rank: str = "rank") -> DataFrame:
     """Number a slate's rows 1..n by score, probability, name and tie key; unknown values come last.
 
-    Blocks follow the (score, probability, name) of the slate's rows, and for rows that agree in all three the tie key, so
-    neither a narrow range of scores nor rows without any crowd a task.
+    Rows are dealt by ranges of all of these, so neither a narrow range of scores nor rows without any crowd a task.
     """
     last = F.lit(float("inf"))
     down, down_probability = (F.coalesce(-F.col(c).cast("double"), last) for c in (score, probability))
-    entry = F.struct(down.alias("s"), down_probability.alias("p"), F.coalesce(F.col(name), F.lit("")).alias("n"))
-    ordered, blocks = border_blocks(df.withColumn("__entry", entry), "__entry", keys=slate, name="entry")
-    ordered, ties = border_blocks(ordered, tie, keys=[], name="tie")
-    ordered = cut_lineage(ordered)  # read once for each level of blocks
-    blocks = [*blocks, "__entry", *ties]
-    return positions(ordered, keys=slate, blocks=blocks, order=[tie], name=rank).drop(*blocks)
+    order = [down.asc(), down_probability.asc(), F.coalesce(F.col(name), F.lit("")).asc(), F.asc(tie)]
+    return range_positions(df, keys=slate, order=order, name=rank)
 
 
 def known(column: str, kind: str) -> Column:

@@ -124,31 +124,44 @@ def ordered_values(
     return prior_sums(blocked, keys=keys, blocks=blocks, order=["__ordered"], sums=sums).drop("__ordered", *blocks)
 
 
+def range_positions(
+    df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], name: str, value: str | None = None, total: str | None = None
+) -> DataFrame:
+    """Add the 1-based position of each row within ``keys`` in a total ``order``; ``total`` counts a key's known ``value``.
+
+    Rows are dealt by ranges of (keys, order) and sorted where they are, so a partition's rows are numbered as they come; a
+    small table has how many rows of a key lie in earlier ranges. Ranges are as even as the order is total, whatever
+    keys and values are. The ranges are sampled, so the numbered rows are written once. Rows with a null key get nulls.
+    """
+    keys = list(keys)
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut_lineage(dealt.withColumn("__place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__place", 33))
+    known = F.count(value) if value else F.count(F.lit(1))
+    runs = placed.groupBy(*keys, "__range").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"), known.alias("__known"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    made = [(F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift")]
+    if total:
+        made.append(F.sum("__known").over(Window.partitionBy(*keys)).alias(total))
+    runs = runs.select(*keys, "__range", *made)
+    out = placed.join(runs, [*keys, "__range"], "left")
+    return out.withColumn(name, F.col("__place") + F.col("__shift")).drop("__place", "__range", "__shift")
+
+
 def ranks(
-    df: DataFrame, *, keys: Sequence[str], value: str, tie: str, best: str = "rank", lowest: str = "up", total: str = "of"
+    df: DataFrame, *, keys: Sequence[str], value: str, tie: str, best: str = "rank", lowest: str | None = None, total: str = "of"
 ) -> DataFrame:
-    """Add the position of each row from the highest value (``best``) and from the lowest one (``lowest``), and the
-    number of rows with a value.
+    """Add the position of each row from the highest value (``best``), from the lowest one if asked for, and the number
+    of rows with a value.
 
-    Equal values keep the tie order in both directions. Rows without a value, or without a key, get nulls. Values are
-    ordered as distinct values, equal ones are numbered in blocks of their tie key.
+    Equal values keep the tie order in both directions. Rows without a value, or without a key, get nulls. Positions come
+    from ranges of (key, value, tie); the other direction needs ranges of its own.
     """
     keys = list(keys)
-    placed = ordered_values(df, keys=keys, value=value, counts={"__same": F.count(F.lit(1))})
-    sizes = placed.groupBy(*keys).agg(F.sum("__same").alias(total))
-    if keys:
-        placed = placed.join(sizes, keys)
-    else:
-        placed = placed.withColumn(total, sizes.scalar())
-    placed = placed.select(
-        *keys,
-        value,
-        total,
-        F.col("__same_before").alias("__lower"),
-        (F.col(total) - F.col("__same_before") - F.col("__same")).alias("__higher"),
-    )
-    tied, blocks = border_blocks(df, tie, keys=[], name="tie")
-    tied = positions(tied, keys=[*keys, value], blocks=blocks, order=[tie], name="__i").drop(*blocks)
-    out = tied.join(placed, [*keys, value], "left")
-    index = F.col("__i")
-    return out.withColumns({best: F.col("__higher") + index, lowest: F.col("__lower") + index}).drop("__i", "__lower", "__higher")
+    out = range_positions(df, keys=keys, order=[F.col(value).desc_nulls_last(), F.asc(tie)], name=best, value=value, total=total)
+    names = [best]
+    if lowest:
+        out = range_positions(out, keys=keys, order=[F.col(value).asc_nulls_last(), F.asc(tie)], name=lowest)
+        names.append(lowest)
+    known = all_present([*keys, value])
+    return out.withColumns({c: F.when(known, F.col(c)) for c in (*names, total)})
