@@ -500,47 +500,6 @@ def candidate_frame(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(out)
 
 
-def latest_sql(names) -> str:
-    return ", ".join(f"arg_max({c}, struct_pack(a := game_date, b := game_pk)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in names)
-
-
-def filled_sql(live: str, snapshot: str, names) -> str:
-    return ", ".join(f"round(coalesce({live}.{c}, {snapshot}.{c}), 6) AS {c}" for c in names)
-
-
-MATCHUP = ("hr_per_pa_last_30d", "pitcher_hr_allowed_per_pa_last_30d")
-
-
-@query(
-    "live_features",
-    f"""WITH {W.AS_OF_SQL}{W.PITCHER_AS_OF_SQL}, f AS ({W.TRAILING_SQL}, game_date, is_candidate FROM u), s AS (SELECT batter_id, {latest_sql(W.TRAILING)} FROM f WHERE NOT is_candidate GROUP BY batter_id),
-    pf AS (SELECT pitcher_id, game_date, game_pk, is_candidate, {W.OPPONENT_SQL} FROM pu), ps AS (SELECT pitcher_id, {latest_sql(W.OPPONENT)} FROM pf WHERE NOT is_candidate GROUP BY pitcher_id),
-    opp AS (SELECT batter_id, arg_max(pitcher_id, event_id) AS pitcher_id, arg_max(stand, event_id) AS stand, arg_max(p_throws, event_id) AS throws FROM raw GROUP BY 1),
-    l AS (SELECT f.batter_id, opp.pitcher_id, {filled_sql("f", "s", W.TRAILING)}, {filled_sql("pf", "ps", W.OPPONENT)}, CASE WHEN stand <> throws THEN CAST(1 AS DOUBLE) ELSE 0 END AS platoon_advantage FROM f LEFT JOIN s USING (batter_id)
-      JOIN opp USING (batter_id) LEFT JOIN (SELECT * FROM pf WHERE is_candidate) pf USING (pitcher_id) LEFT JOIN ps USING (pitcher_id) WHERE f.is_candidate)
-    SELECT *, round({MATCHUP[0]} * {MATCHUP[1]}, 6) AS hr_matchup FROM l""",
-)
-def live_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of the next day: batter and pitcher windows run again as of that day, gaps filled from the newest known
-    values, the platoon flag and the product of both sides' home run rates."""
-
-    def live(table_: DataFrame, block, entity: str, columns) -> DataFrame:
-        rows = round_doubles(block(table_, entity=entity, date="game_date").select(entity, "game_date", "game_pk", "is_candidate", *columns))
-        known = H.latest_non_null(rows.where("not is_candidate"), keys=[entity], order=["game_date", "game_pk"], columns=list(columns))
-        return J.snapshot_fill(rows.where("is_candidate"), known, on=[entity], columns=list(columns)).select(entity, *columns)
-
-    batters = live(W.as_of_table(spark, sf), H.batter_trailing_block, "batter_id", W.TRAILING)
-    pitchers = live(W.pitcher_as_of_table(spark, sf), H.pitcher_trailing_block, "pitcher_id", W.OPPONENT)
-    last = lambda c: F.max_by(c, "event_id").alias(c)
-    sides = [F.ascii("stand").alias("stand"), F.ascii("p_throws").alias("p_throws")]
-    raw = T.raw_events(spark, sf).select("batter_id", "pitcher_id", "event_id", *sides)
-    opposed = raw.groupBy("batter_id").agg(last("pitcher_id"), last("stand"), last("p_throws"))
-    rows = J.attach_dim(batters.join(opposed, "batter_id"), pitchers, on=["pitcher_id"])
-    platoon = S.platoon_advantage("stand", "p_throws").alias("platoon_advantage")
-    product = (F.col(MATCHUP[0]) * F.col(MATCHUP[1])).alias("hr_matchup")
-    return round_doubles(rows.select("batter_id", "pitcher_id", *W.TRAILING, *W.OPPONENT, platoon, product))
-
-
 @query(
     "lineup_panels",
     f"""WITH {CANDIDATE_SQL} SELECT c.game_pk, c.team, c.is_home, array_to_string(list(c.projected_lineup_rank || '. ' || lu.batter_name || CASE WHEN c.projected_lineup_rank <= 2 THEN '*' ELSE '' END

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.catalog import FEATURES
 from foretrace.functions import scalar as S
 from foretrace.operators import history as H
 from foretrace.operators import quality as Q
@@ -47,19 +46,6 @@ def identity_audit(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(Q.identity_audit(T.raw_events(spark, sf).withColumn("nm", name), entity="batter_id", name="nm"))
 
 
-AUDITED = ("launch_speed", "des", "pitch_type", "humidity_pct")
-COVER_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, TRUE AS present, count({c}) AS non_null, round(1 - CAST(count({c}) AS DOUBLE) / count(*), 6) AS null_rate, CASE WHEN count({c}) = 0 THEN 'all null' WHEN 1 - CAST(count({c}) AS DOUBLE) / count(*) > 0.35 THEN 'warn' ELSE 'ok' END AS status FROM pa"
-    for c in AUDITED[:3]
-)
-
-
-@query("coverage_audit", f"WITH {PA_SQL} {COVER_SQL} UNION ALL SELECT 'humidity_pct', FALSE, 0, NULL, 'missing'")
-def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(Q.coverage(T.raw_events(spark, sf), AUDITED))
-
-
-EXPORTED = {"hr_per_pa_last_30d": "batter_trailing", "park_factor_hr": "park", "batter_hr_per_pa_vs_lhp": "handedness_split", "batter_hr_per_pa_vs_rhp": "handedness_split", "pitcher_slider_pct": "pitch_type"}
 EXPORT_SQL = f"""{BG_SQL}, ex AS (SELECT batter_id, game_date, game_pk, {W.rate("hr_count", "pa_count", W.days(30))} AS a, CASE WHEN game_pk % 3 = 0 THEN hr_count END AS b,
   round(CAST(sum(CASE WHEN pitcher_hand = 'L' THEN hr_count ELSE 0 END) OVER {W.PRE} AS DOUBLE) / nullif(CAST(sum(CASE WHEN pitcher_hand = 'L' THEN pa_count ELSE 0 END) OVER {W.PRE} AS DOUBLE), 0), 6) AS c, CAST(NULL AS DOUBLE) AS d FROM bg)"""
 
@@ -77,35 +63,6 @@ def export_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def decision_sql(feature: str, family: str, column: str, limit: float) -> str:
-    share = f"1 - CAST(count({column}) AS DOUBLE) / count(*)"
-    return f"""SELECT '{feature}' AS feature, '{family}' AS family, round({share}, 6) AS null_rate, CASE WHEN {share} >= 1 THEN '100% missing' WHEN {share} > {limit} THEN 'missing share above family limit' ELSE 'feature passed coverage checks' END AS reason,
-      {share} < 1 AND {share} <= {limit} AS included FROM ex"""
-
-
-@query(
-    "export_decision",
-    f"""WITH {EXPORT_SQL} {decision_sql("hr_per_pa_last_30d", "batter_trailing", "a", 0.95)} UNION ALL {decision_sql("park_factor_hr", "park", "b", 0.5)}
-    UNION ALL {decision_sql("batter_hr_per_pa_vs_lhp", "handedness_split", "c", 0.7)} UNION ALL {decision_sql("batter_hr_per_pa_vs_rhp", "handedness_split", "d", 0.7)}
-    UNION ALL SELECT 'pitcher_slider_pct', 'pitch_type', NULL, 'feature not produced', FALSE""",
-)
-def export_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(Q.export_decisions(export_table(spark, sf), EXPORTED))
-
-
-@query(
-    "catalog_report",
-    f"""WITH {EXPORT_SQL} SELECT 'hr_per_pa_last_30d' AS feature, 'batter_trailing' AS family, TRUE AS present, count(CASE WHEN game_date < (SELECT max(game_date) - 19 FROM ex) THEN a END) AS before_non_null, count(a) AS after_non_null, round(1 - CAST(count(a) AS DOUBLE) / count(*), 6) AS null_rate FROM ex
-    UNION ALL SELECT 'park_factor_hr', 'park', TRUE, count(CASE WHEN game_date < (SELECT max(game_date) - 19 FROM ex) THEN b END), count(b), round(1 - CAST(count(b) AS DOUBLE) / count(*), 6) FROM ex
-    UNION ALL SELECT 'pitcher_fastball_pct', 'pitch_type', FALSE, 0, 0, NULL""",
-)
-def catalog_report(spark: SparkSession, sf: str) -> DataFrame:
-    after = export_table(spark, sf)
-    before = after.where(F.col("game_date") < T.day_back(after, 19))
-    names = ("hr_per_pa_last_30d", "park_factor_hr", "pitcher_fastball_pct")
-    return round_doubles(Q.catalog_report(before, after, {n: FEATURES[n].family for n in names}))
-
-
 @query(
     "leakage_check",
     f"""WITH {EXPORT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY batter_id ORDER BY game_date, game_pk) AS rn FROM ex)

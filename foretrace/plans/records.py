@@ -242,37 +242,6 @@ MODE_SQL = f"""md AS (SELECT game_pk, batter_id, pitcher_id FROM (SELECT game_pk
   FROM raw GROUP BY game_pk, batter_id, pitcher_id) WHERE rn = 1)"""
 
 
-@query(
-    "interactions",
-    f"""WITH {W.BUCKET_SQL}, {W.MIX_SQL}, {MODE_SQL},
-    br AS (SELECT batter_id, game_pk, bucket, {W.rate("hard_hit", "bbe", W.BPRE)} AS hard_hit_rate, {W.rate("barrel", "bbe", W.BPRE)} AS barrel_rate FROM bk),
-    ms AS (SELECT pitcher_id, game_pk, {W.rate("fastball", "total_pitches", W.P30)} AS fastball_pct, {W.rate("breaking_ball", "total_pitches", W.P30)} AS breaking_pct FROM mix)
-    SELECT md.batter_id, md.game_pk, round(ms.fastball_pct * f.hard_hit_rate, 5) AS fastball_matchup_hard_hit,
-      round(ms.fastball_pct * f.barrel_rate, 5) AS fastball_matchup_barrel, round(ms.breaking_pct * b.hard_hit_rate, 5) AS breaking_matchup_hard_hit
-    FROM md LEFT JOIN ms USING (pitcher_id, game_pk)
-    LEFT JOIN (SELECT * FROM br WHERE bucket = 'fastball') f ON f.batter_id = md.batter_id AND f.game_pk = md.game_pk
-    LEFT JOIN (SELECT * FROM br WHERE bucket = 'breaking_ball') b ON b.batter_id = md.batter_id AND b.game_pk = md.game_pk""",
-)
-def interactions(spark: SparkSession, sf: str) -> DataFrame:
-    mode = mode_table(spark, sf).select("game_pk", "batter_id", "pitcher_id")
-    shares = W.mix_share(spark, sf).select("pitcher_id", "game_pk", "pitcher_fastball_pct", "pitcher_breaking_ball_pct")
-    rates = W.bucket_prefix(spark, sf)
-    blocks = J.outer_combine(
-        {b: rates.where(F.col("bucket") == b) for b in ("fastball", "breaking_ball")},
-        on=["batter_id", "game_pk"],
-        measures=["hard_hit_rate", "barrel_rate"],
-    )
-    joined = mode.join(shares, ["pitcher_id", "game_pk"], "left").join(blocks, ["batter_id", "game_pk"], "left")
-    products = S.interactions(
-        {
-            "fastball_matchup_hard_hit": ("pitcher_fastball_pct", "hard_hit_rate_fastball"),
-            "fastball_matchup_barrel": ("pitcher_fastball_pct", "barrel_rate_fastball"),
-            "breaking_matchup_hard_hit": ("pitcher_breaking_ball_pct", "hard_hit_rate_breaking_ball"),
-        }
-    )
-    return joined.select("batter_id", "game_pk", *[F.round(c, 5).alias(n) for n, c in products.items()])
-
-
 @query(
     "platoon",
     f"""WITH {PG_SQL} SELECT pitcher_id, game_pk, team, CASE WHEN p_throws <> 'L' THEN CAST(1 AS DOUBLE) ELSE 0 END AS platoon_advantage,

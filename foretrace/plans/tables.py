@@ -7,6 +7,9 @@ team-day half, so that a team can play twice a day.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,18 +119,44 @@ def stored(df: DataFrame, shared: bool) -> DataFrame:
     return cut_lineage(df) if shared else df
 
 
+_kept: dict | None = None
+
+
+@contextmanager
+def kept_rollups() -> Iterator[None]:
+    """Within the block the shared rollups of a folder are made once and used by every query that asks for them."""
+    global _kept
+    outer, _kept = _kept, {} if _kept is None else _kept
+    try:
+        yield
+    finally:
+        _kept = outer
+
+
+def _once(name: str, sf: str, shared: bool, make: Callable[[], DataFrame]) -> DataFrame:
+    if not shared or _kept is None:
+        return stored(make(), shared)
+    if (name, sf) not in _kept:
+        _kept[name, sf] = stored(make(), shared)
+    return _kept[name, sf]
+
+
 def batter_games(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
-    return stored(R.batter_games(plate_appearances(spark, sf), order=["at_bat_number"]), shared)
+    return _once("batter_games", sf, shared, lambda: R.batter_games(plate_appearances(spark, sf), order=["at_bat_number"]))
 
 
 def batter_counts(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
     """The batter-game table without batting order (for windows that do not need it)."""
-    pa = plate_appearances(spark, sf, order=False).withColumn("batting_order", F.lit(None).cast("int"))
-    return stored(R.batter_games(pa, order=["at_bat_number"]).drop("batting_order"), shared)
+
+    def make() -> DataFrame:
+        pa = plate_appearances(spark, sf, order=False).withColumn("batting_order", F.lit(None).cast("int"))
+        return R.batter_games(pa, order=["at_bat_number"]).drop("batting_order")
+
+    return _once("batter_counts", sf, shared, make)
 
 
 def pitcher_games(spark: SparkSession, sf: str, *, shared: bool = True) -> DataFrame:
-    return stored(R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"]), shared)
+    return _once("pitcher_games", sf, shared, lambda: R.pitcher_games(plate_appearances(spark, sf, order=False), order=["at_bat_number"]))
 
 
 def board(spark: SparkSession, sf: str, *, shared: bool = False) -> DataFrame:

@@ -592,40 +592,65 @@ def dedup_last(spark: SparkSession, sf: str) -> DataFrame:
 
 AS_OF_SQL = f"""{BG_SQL}, target AS (SELECT max(game_date) + INTERVAL 1 DAY AS d FROM bg),
   u AS (SELECT batter_id, game_pk, game_date, day_no, hr_count, pa_count, barrel_count, hard_hit_bbe_count, bbe_count, ev_95plus_bbe_count,
-      avg_exit_velocity, max_exit_velocity, FALSE AS is_candidate FROM bg UNION ALL
+      avg_exit_velocity, max_exit_velocity, pitcher_hand, FALSE AS is_candidate FROM bg UNION ALL
     SELECT DISTINCT batter_id, CAST(-1 AS BIGINT), CAST((SELECT d FROM target) AS DATE),
-      date_diff('day', DATE '1970-01-01', CAST((SELECT d FROM target) AS DATE)), 0, 0, 0, 0, 0, 0, NULL, NULL, TRUE FROM bg)"""
+      date_diff('day', DATE '1970-01-01', CAST((SELECT d FROM target) AS DATE)), 0, 0, 0, 0, 0, 0, NULL, NULL, NULL, TRUE FROM bg)"""
+BATTER_SPLITS = [f"{n}_{s}" for n in BATTER_RATES for s in ("rhp", "lhp")]
+PITCHER_SPLITS = [f"{n}_{s}" for n in PITCHER_RATES for s in ("rhb", "lhb")]
+HANDED = [f"{m}_{s}" for m in R.HANDED for s in ("rhb", "lhb")]
+
+
+def candidate_rows(history: DataFrame, entity: str, counts) -> DataFrame:
+    """A row without counts of each entity on the day after the newest one."""
+    target = history.agg(F.date_add(F.max("game_date"), 1)).scalar()
+    zeros = [F.lit(0).cast("bigint").alias(c) for c in counts]
+    return history.select(entity).distinct().select(entity, F.lit(-1).cast("bigint").alias("game_pk"), target.alias("game_date"), *zeros)
 
 
 def as_of_table(spark: SparkSession, sf: str) -> DataFrame:
     history = T.batter_counts(spark, sf)
     counts = ["hr_count", "pa_count", "barrel_count", "hard_hit_bbe_count", "bbe_count", "ev_95plus_bbe_count"]
-    target = history.agg(F.date_add(F.max("game_date"), 1)).scalar()
-    candidates = history.select("batter_id").distinct().select(
-        "batter_id",
-        F.lit(-1).cast("bigint").alias("game_pk"),
-        target.alias("game_date"),
-        *[F.lit(0).cast("bigint").alias(c) for c in counts],
-    )
-    return H.as_of_rows(history, candidates)
+    return H.as_of_rows(history, candidate_rows(history, "batter_id", counts))
 
 
-@query("as_of_today", f"WITH {AS_OF_SQL} SELECT * EXCLUDE (is_candidate) FROM ({TRAILING_SQL}, is_candidate FROM u) WHERE is_candidate")
-def as_of_today(spark: SparkSession, sf: str) -> DataFrame:
+def as_of_batters(spark: SparkSession, sf: str) -> DataFrame:
+    """Trailing block and handed splits of all batter rows, those of the next day among them."""
     out = H.batter_trailing_block(as_of_table(spark, sf), entity="batter_id", date="game_date")
-    return round_doubles(out.where("is_candidate").select("batter_id", "game_pk", *TRAILING))
+    out = H.split_to_date(out, **BATTER, split="pitcher_hand", sides={"R": "rhp", "L": "lhp"}, rates=BATTER_RATES)
+    return round_doubles(out.select("batter_id", "game_date", "game_pk", "is_candidate", *TRAILING, *BATTER_SPLITS))
 
 
 PITCHER_COUNTS = ("hr_allowed", "pa_against", "barrels_allowed", "hard_hit_bbe_allowed", "bbe_allowed", "ev_95plus_bbe_allowed")
-PITCHER_AS_OF_SQL = f"""{PG_SQL[len(PA_SQL) :]}, pu AS (SELECT pitcher_id, game_pk, game_date, day_no, {", ".join(PITCHER_COUNTS)}, avg_ev_allowed, FALSE AS is_candidate FROM pg UNION ALL
-    SELECT DISTINCT pitcher_id, CAST(-1 AS BIGINT), CAST((SELECT d FROM target) AS DATE), date_diff('day', DATE '1970-01-01', CAST((SELECT d FROM target) AS DATE)), 0, 0, 0, 0, 0, 0, NULL, TRUE FROM pg)"""
+PITCHER_AS_OF_SQL = f"""{PG_SQL[len(PA_SQL) :]}, pu AS (SELECT pitcher_id, game_pk, team, game_date, day_no, {", ".join((*PITCHER_COUNTS, *HANDED))}, avg_ev_allowed, FALSE AS is_candidate FROM pg UNION ALL
+    SELECT DISTINCT pitcher_id, CAST(-1 AS BIGINT), NULL, CAST((SELECT d FROM target) AS DATE), date_diff('day', DATE '1970-01-01', CAST((SELECT d FROM target) AS DATE)), {", ".join("0" for _ in (*PITCHER_COUNTS, *HANDED))}, NULL, TRUE FROM pg)"""
 
 
-def pitcher_as_of_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The pitcher history with a row of each pitcher on the day after the newest one."""
-    history = T.pitcher_games(spark, sf).select("pitcher_id", "game_pk", "game_date", *PITCHER_COUNTS, "avg_ev_allowed")
-    target = history.agg(F.date_add(F.max("game_date"), 1)).scalar()
-    candidates = history.select("pitcher_id").distinct().select(
-        "pitcher_id", F.lit(-1).cast("bigint").alias("game_pk"), target.alias("game_date"), *[F.lit(0).cast("bigint").alias(c) for c in PITCHER_COUNTS]
-    )
-    return H.as_of_rows(history, candidates)
+def as_of_pitchers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of all pitcher rows."""
+    counts = (*PITCHER_COUNTS, *HANDED)
+    history = T.pitcher_games(spark, sf).select("pitcher_id", "game_pk", "game_date", "team", *counts, "avg_ev_allowed")
+    out = H.pitcher_trailing_block(H.as_of_rows(history, candidate_rows(history, "pitcher_id", counts)), entity="pitcher_id", date="game_date")
+    out = H.to_date(out, **PITCHER, sums={f"__{m}": m for m in HANDED})
+    rates = {f"{n}_{s}": S.safe_rate(f"__{a}_{s}", f"__{b}_{s}") for n, (a, b) in PITCHER_RATES.items() for s in ("rhb", "lhb")}
+    return round_doubles(out.withColumns(rates).select("pitcher_id", "game_date", "game_pk", "is_candidate", *OPPONENT, *PITCHER_SPLITS))
+
+
+AS_OF_BATTERS_SQL = f"SELECT batter_id, game_date, game_pk, is_candidate, {TRAILING_SQL.split('game_pk, ', 1)[1]}, {SPLIT_SQL} FROM u"
+AS_OF_PITCHERS_SQL = f"SELECT pitcher_id, game_date, game_pk, is_candidate, {OPPONENT_SQL}, {PSPLIT_SQL} FROM pu"
+
+
+@query(
+    "as_of_today",
+    f"""WITH {AS_OF_SQL}{PITCHER_AS_OF_SQL}, b AS ({AS_OF_BATTERS_SQL}), p AS ({AS_OF_PITCHERS_SQL})
+    SELECT 'batter' AS entity, batter_id AS entity_id, * EXCLUDE (batter_id, game_date, game_pk, is_candidate) FROM b WHERE is_candidate
+    UNION ALL BY NAME SELECT 'pitcher' AS entity, pitcher_id AS entity_id, * EXCLUDE (pitcher_id, game_date, game_pk, is_candidate) FROM p WHERE is_candidate""",
+)
+def as_of_today(spark: SparkSession, sf: str) -> DataFrame:
+    """Both trailing blocks and both sides' handed splits, run again with a row without counts on the next day."""
+
+    def today(rows: DataFrame, entity: str) -> DataFrame:
+        found = rows.where("is_candidate").drop("game_date", "game_pk", "is_candidate")
+        return found.withColumnRenamed(f"{entity}_id", "entity_id").withColumn("entity", F.lit(entity))
+
+    batters, pitchers = today(as_of_batters(spark, sf), "batter"), today(as_of_pitchers(spark, sf), "pitcher")
+    return batters.unionByName(pitchers, allowMissingColumns=True)
