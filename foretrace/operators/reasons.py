@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.operators.scan import ordered_values
+from foretrace.operators.scan import range_prior
 from foretrace.session import cut_lineage
 
 QUANTILES = {"q60": 0.60, "q75": 0.75, "q85": 0.85, "q90": 0.90}
@@ -63,24 +63,30 @@ def unpivoted(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
 
 
 def value_positions(reference: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per feature and distinct value: reference rows with a smaller value (``below``), with this value (``here``)."""
-    counts = reference.select("feature", "value", F.lit(1).alias("__n")).unionByName(
-        candidates.select("feature", "value", F.lit(0).alias("__n"))
+    """Rows of both in the order of (feature, value), references first, and for each the number of references before it
+    (``below``): of a candidate, those with a smaller or an equal value.
+
+    Rows are placed by ranges of their values, ties apart, so that a frequent value is no task's work and nothing is
+    joined by value.
+    """
+    rows = reference.select("feature", "value", F.lit(0).alias("__candidate")).unionByName(
+        candidates.withColumn("__candidate", F.lit(1)), allowMissingColumns=True
     )
-    placed = ordered_values(counts, keys=["feature"], value="value", counts={"here": F.sum("__n")})
-    return placed.withColumnRenamed("here_before", "below")
+    rows = rows.withColumn("__tie", F.monotonically_increasing_id())
+    order = [F.asc("value"), F.asc("__candidate"), F.asc("__tie")]
+    return range_prior(rows, keys=["feature"], order=order, name="below", value=1 - F.col("__candidate")).drop("__tie")
 
 
 def feature_quantiles(positions: DataFrame) -> DataFrame:
     """Exact quantiles with linear interpolation, per feature, from value positions (no feature is gathered in one task)."""
-    totals = positions.groupBy("feature").agg(F.sum("here").alias("total"))
-    placed = positions.where("here > 0").join(totals, "feature")
+    placed = positions.where("__candidate = 0")
+    totals = placed.groupBy("feature").agg(F.count(F.lit(1)).alias("total"))
+    placed = placed.join(F.broadcast(totals), "feature")  # a row for each feature
     aggregates = [F.max("total").alias("total")]
     for name, q in QUANTILES.items():
         at = q * (F.col("total") - 1)
         for part, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("below") <= index) & (index < F.col("below") + F.col("here"))
-            aggregates.append(F.max(F.when(inside, F.col("value"))).alias(f"{name}_{part}"))
+            aggregates.append(F.max(F.when(F.col("below") == index, F.col("value"))).alias(f"{name}_{part}"))
     found = placed.groupBy("feature").agg(*aggregates)
 
     def value(name: str, q: float) -> Column:
@@ -100,13 +106,9 @@ def top_reasons(
     its features by weight and percentile. A row has at most one entry per feature, so its array is short.
     """
     usable = {f: r for f, r in rules.items() if r.weight > 0 and f in candidates.columns and f in reference.columns}
-    # Each of these is read several times below; written once, their windows are not computed again.
-    cand = cut_lineage(unpivoted(candidates, [key], list(usable)))
-    ref = unpivoted(reference, [], list(usable))
-    positions = cut_lineage(value_positions(ref, cand))
+    positions = cut_lineage(value_positions(unpivoted(reference, [], list(usable)), unpivoted(candidates, [key], list(usable))))
     quantiles = feature_quantiles(positions)
-    shares = positions.select("feature", "value", (F.col("below") + F.col("here")).alias("__le"))
-    joined = cand.join(shares, ["feature", "value"]).join(quantiles, "feature")
+    joined = positions.where("__candidate = 1").join(F.broadcast(quantiles), "feature")  # a row for each feature
 
     def per_feature(values: Mapping[str, object]) -> Column:
         return F.try_element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("feature"))
@@ -125,7 +127,7 @@ def top_reasons(
             "__place": place,
             "__text": text,
             "__on": binary & (F.col("value") >= 1),
-            "__p": F.when(binary, 1.0).otherwise(F.col("__le") / F.col("total")),
+            "__p": F.when(binary, 1.0).otherwise(F.col("below") / F.col("total")),
             "__w": weight,
         }
     )

@@ -124,19 +124,26 @@ def ordered_values(
     return prior_sums(blocked, keys=keys, blocks=blocks, order=["__ordered"], sums=sums).drop("__ordered", *blocks)
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows dealt by ranges of (keys, order), sorted and numbered where they are (``__place``, ``__range``), written once.
+
+    Ranges are as even as the order is total, whatever keys and values are. They are sampled, hence the write.
+    """
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut_lineage(dealt.withColumn("__place", F.monotonically_increasing_id()))
+    return placed.withColumn("__range", F.shiftright("__place", 33))
+
+
 def range_positions(
     df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], name: str, value: str | None = None, total: str | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row within ``keys`` in a total ``order``; ``total`` counts a key's known ``value``.
 
-    Rows are dealt by ranges of (keys, order) and sorted where they are, so a partition's rows are numbered as they come; a
-    small table has how many rows of a key lie in earlier ranges. Ranges are as even as the order is total, whatever
-    keys and values are. The ranges are sampled, so the numbered rows are written once. Rows with a null key get nulls.
+    A partition's rows are numbered as they come; a small table has how many rows of a key lie in earlier ranges. Rows
+    with a null key get nulls.
     """
     keys = list(keys)
-    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    placed = cut_lineage(dealt.withColumn("__place", F.monotonically_increasing_id()))
-    placed = placed.withColumn("__range", F.shiftright("__place", 33))
+    placed = _ranged(df, keys, order)
     known = F.count(value) if value else F.count(F.lit(1))
     runs = placed.groupBy(*keys, "__range").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"), known.alias("__known"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,6 +155,18 @@ def range_positions(
     return out.withColumn(name, F.col("__place") + F.col("__shift")).drop("__place", "__range", "__shift")
 
 
+def range_prior(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], name: str, value: Column) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the same ``keys`` that come before in a total ``order``; likewise."""
+    keys = list(keys)
+    placed = _ranged(df.withColumn("__value", value), keys, order)
+    runs = placed.groupBy(*keys, "__range").agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*keys, "__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0))).join(runs, [*keys, "__range"], "left")
+    return out.withColumn(name, F.col("__inside") + F.col("__start")).drop("__place", "__range", "__value", "__inside", "__start")
+
+
 def ranks(
     df: DataFrame, *, keys: Sequence[str], value: str, tie: str, best: str = "rank", lowest: str | None = None, total: str = "of"
 ) -> DataFrame:
