@@ -156,6 +156,58 @@ def test_removal_equals_brute_force(spark, make_docs, group_bytes):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def brute_passages(texts, count):
+    split = [(t or "").encode().split() for t in texts]
+    times = {}
+    for ws in split:
+        for i in range(len(ws) - count + 1):
+            times[tuple(ws[i : i + count])] = times.get(tuple(ws[i : i + count]), 0) + 1
+    out = []
+    for ws in split:
+        told = set()
+        for i in range(len(ws) - count + 1):
+            if times[tuple(ws[i : i + count])] > 1:
+                told |= set(range(i, i + count))
+        out.append(len(told))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [B.GROUP_BYTES, 300])
+def test_passages_are_counted_whatever_stands_between_the_words(spark, make_docs, group_bytes):
+    rnd = random.Random(9)
+    noise = lambda n: [rnd.choice("abcdefghij") + str(rnd.randrange(300)) for _ in range(n)]
+    shared, lines = noise(60), noise(51)
+    gaps = [" ", "\n", "\t  "]
+    texts = [None, "", "one", " ".join(noise(49)), "\xa0".join(noise(60)), " ".join(["same"] * 120), " ".join(lines + lines)]
+    for _ in range(40):
+        parts = noise(rnd.randrange(30)) + shared[: rnd.choice([49, 50, 60])] + noise(rnd.randrange(30))
+        texts.append("".join(w + rnd.choice(gaps) for w in parts))
+    texts += [texts[9], texts[9], "x" * 9000 + " " + " ".join(noise(70))]
+    got = B.remove_repeats(make_docs(texts), group_bytes=group_bytes).collect()
+    assert {r.doc_id: r.n_passage_words for r in got} == dict(enumerate(brute_passages(texts, 50)))
+    want = brute_removed([(t or "").encode() for t in texts], 400)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+
+
+def test_crowded_keys_are_dealt_by_what_stands_around_their_gram():
+    from foretrace.llm.minimizers import anchored, segments
+
+    rnd = np.random.default_rng(3)
+    raw = rnd.integers(0, 3, 3000).astype(np.uint8).tobytes() + b"z" * 200
+    for key, a, b, _ in segments(raw, 60, 8):
+        part = raw[a:b]
+        for width in (84, 21, 5, 1):
+            cuts = anchored(part, key, width, 60, 8)
+            assert [i for _, x, y in cuts for i in range(x, y - 59)] == list(range(len(part) - 59))
+            if width == 1:
+                assert all(y - x == 60 for _, x, y in cuts)
+    same = {}
+    for key, a, b, _ in segments(raw * 2, 60, 8):
+        for key_, x, y in anchored((raw * 2)[a:b], key, 1, 60, 8):
+            same.setdefault((raw * 2)[a + x : a + y], set()).add(key_)
+    assert all(len(keys) == 1 for keys in same.values())
+
+
 def test_kept_bytes_and_empty_table(spark, make_docs):
     rows = B.remove_repeats(make_docs(["z" * 39 + "é", "12345" + "q" * 50, "67" + "q" * 50]), with_kept=True, window=40, gram=8).collect()
     assert {r.doc_id: bytes(r.kept) for r in rows} == {0: ("z" * 39 + "é").encode(), 1: b"12345", 2: b"67"}
