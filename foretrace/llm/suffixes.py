@@ -4,8 +4,8 @@ Suffixes are classified as smaller or larger than the next one. The leftmost sma
 these are sorted by inducing, named, and their order is found by the same procedure on the names, which are at most
 half as many. From their order all suffixes are induced in two passes over the buckets of first characters.
 
-For bytes, a pass handles a whole bucket's waiting entries at once: what they induce is dealt to its buckets in stable
-order. Names are too many for that; there the passes go entry by entry.
+A pass handles a whole bucket's waiting entries at once: what they induce is dealt to its buckets in stable order. Where
+the names of a shard are too many for that, their text, a third as long at most, is sorted by doubling.
 """
 
 from __future__ import annotations
@@ -30,15 +30,13 @@ def _classes(text: np.ndarray) -> np.ndarray:
 
 def _deal(array, where, found, firsts, step):
     """Put suffixes, in order, at the free ends of their buckets; ``step`` is 1 for heads and -1 for tails."""
-    order = np.argsort(firsts, kind="stable")
+    order = firsts.argsort(kind="stable")
     found, firsts = found[order], firsts[order]
-    cut = np.flatnonzero(firsts[1:] != firsts[:-1]) + 1
-    begin = np.concatenate([[0], cut])
-    size = np.diff(np.concatenate([begin, [len(firsts)]]))
-    kinds = firsts[begin]
-    offset = np.arange(len(firsts)) - np.repeat(begin, size)
-    array[np.repeat(where[kinds], size) + step * offset] = found
-    where[kinds] += step * size
+    size = np.bincount(firsts, minlength=len(where))
+    # the first place of a character, less the number of entries of smaller characters
+    base = where - step * (size.cumsum() - size)
+    array[base[firsts] + step * np.arange(len(firsts))] = found
+    where += step * size
 
 
 def _induce_buckets(text, smaller, starts, ends, leftmost):
@@ -82,35 +80,28 @@ def _next(array, where, chunk, text, smaller, kind, step):
         _deal(array, where, before, text[before], step)
 
 
-def _induce_entries(text, smaller, starts, ends, leftmost):
+def _by_doubling(text: np.ndarray) -> np.ndarray:
+    """Suffixes of a short text over many characters: ranks by 1, 2, 4, ... characters, only for those still equal."""
     n = len(text)
-    # what a place induces: the character before it, if the suffix there is of the pass's class; -1 for nothing, also
-    # behind the last place, where empty entries (-1) look
-    before = np.full(n + 1, -1, np.int64)
-    before[1:n] = text[:-1]
-    of_larger, of_smaller = before.copy(), before
-    of_larger[1:n][smaller[:-1]] = -1
-    of_smaller[1:n][~smaller[:-1]] = -1
-    array = [-1] * n
-    tails = ends.tolist()
-    for p, c in zip(leftmost[::-1].tolist(), text[leftmost[::-1]].tolist()):
-        tails[c] -= 1
-        array[tails[c]] = p
-    heads, induced = starts.tolist(), of_larger.tolist()
-    for p in array:  # entries are filled ahead of the walk
-        c = induced[p]
-        if c >= 0:
-            at = heads[c]
-            array[at] = p - 1
-            heads[c] = at + 1
-    tails, induced = ends.tolist(), of_smaller.tolist()
-    for p in reversed(array):
-        c = induced[p]
-        if c >= 0:
-            at = tails[c] - 1
-            array[at] = p - 1
-            tails[c] = at
-    return np.array(array, np.int64)
+    order = text.argsort(kind="stable")
+    same = text[order[1:]] == text[order[:-1]]
+    slots = np.arange(n)
+    slots[1:][same] = 0
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(slots)  # where the group of equal beginnings starts
+    slots, k = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])), 1
+    while len(slots):
+        places = order[slots]
+        key = rank[places] * n + rank[places + k]  # the terminator is alone, so equal beginnings end before the text
+        by_key = key.argsort(kind="stable")
+        places, key = places[by_key], key[by_key]
+        order[slots] = places
+        same, first = key[1:] == key[:-1], slots.copy()
+        first[1:][same] = 0
+        rank[places] = np.maximum.accumulate(first)
+        slots = slots[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        k *= 2
+    return order
 
 
 def _names(text, smaller, ordered, places):
@@ -135,12 +126,13 @@ def _sorted_suffixes(text: np.ndarray, chars: int) -> np.ndarray:
     """Of a text whose last character is 0 and occurs nowhere else."""
     if len(text) == 1:
         return np.zeros(1, np.int64)
+    if chars > SMALL:
+        return _by_doubling(text)
     smaller = _classes(text)
     places = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     ends = np.cumsum(np.bincount(text, minlength=chars))
     starts = np.concatenate([[0], ends[:-1]])
-    induce = _induce_buckets if chars <= SMALL else _induce_entries
-    rough = induce(text, smaller, starts, ends, places)
+    rough = _induce_buckets(text, smaller, starts, ends, places)
     is_place = np.zeros(len(text), bool)
     is_place[places] = True
     ordered = rough[is_place[rough]]
@@ -149,7 +141,7 @@ def _sorted_suffixes(text: np.ndarray, chars: int) -> np.ndarray:
         of = np.empty(len(text), np.int64)
         of[ordered] = names
         ordered = places[_sorted_suffixes(of[places], int(names[-1]) + 1)]
-    return induce(text, smaller, starts, ends, ordered)
+    return _induce_buckets(text, smaller, starts, ends, ordered)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
