@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foretrace.llm.common import cut_lineage, table
 from foretrace.llm.registry import query
-from foretrace.llm.spans import count_kind, find_spans, spans_text
+from foretrace.llm.spans import bound, count_kind, find_spans, gather, spans_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = KINDS[:4]
@@ -97,8 +97,32 @@ def _occurrences(docs: DataFrame, id_col: str, text: str, keep: list[str]) -> Da
     found = docs.select(
         F.col(id_col).alias("id"), *[F.col(c) for c in keep], base.alias("base"), _places(content, "context").cast(PLACES).alias("tokens")
     )
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-    return cut_lineage(found.withColumn("tokens", F.filter("tokens", apart)).withColumn("row", F.monotonically_increasing_id()))
+    alone = (F.size("base") == 0) | (F.size("tokens") == 0)
+    found = found.withColumn("tokens", F.when(alone, F.col("tokens")).otherwise(_apart(F.col("tokens"), F.col("base"))))
+    return cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span, by one sweep over both in the order of their starts.
+
+    Tokens do not overlap each other, so only the last one can reach into a base span that starts after it.
+    """
+    tagged = lambda spans, is_token: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_token).alias("token"), s.alias("span")))
+    element = PLACES[len("array<") : -1]
+    none = F.array().cast(PLACES)
+    waiting = lambda s: F.when(s["ok"], F.array(s["held"])).otherwise(none)
+
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        span, token = x["span"], x["token"]
+        state = {
+            "reach": F.when(token, s["reach"]).otherwise(F.greatest(s["reach"], span["stop"])),
+            "held": F.when(token, span).otherwise(s["held"]),
+            "ok": F.when(token, s["reach"] <= span["start"]).otherwise(s["ok"] & (s["held"]["stop"] <= span["start"])),
+        }
+        return state, F.when(token, waiting(s)).otherwise(none)
+
+    start = {"reach": F.lit(0), "held": F.lit(None).cast(element), "ok": F.lit(False)}
+    return gather(F.array_sort(F.concat(tagged(base, False), tagged(tokens, True))), start, PLACES, step, waiting)
 
 
 def trusted_patterns(places: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
@@ -156,16 +180,32 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     return joined.select(F.col("id").alias(id_col), *keep, spans.alias("spans"))
 
 
+#: Code points of the pieces that a text is cut into, to reach its places without counting from its start.
+PIECE = 1024
+STRETCH = "array<struct<start:int,stop:int,kind:string>>"
+
+
 def redact(text: Column, spans: Column) -> Column:
     """The text with every stretch that spans cover replaced by the kind of the first span in it, in angle brackets."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    none = F.array().cast(STRETCH)
+    stretch = lambda a, b, kind: F.array(F.struct(a.alias("start"), b.alias("stop"), kind.alias("kind"))).cast(STRETCH)
+
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        kept = F.when(x["start"] >= s["at"], stretch(s["at"], x["start"], x["kind"])).otherwise(none)
+        return {"at": F.greatest(s["at"], x["stop"])}, kept
+
+    end = lambda s: stretch(s["at"], F.char_length(text), F.lit(None).cast("string"))
+    kept = gather(ordered, {"at": F.lit(0)}, STRETCH, step, end)
 
-    def step(state: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], between).alias("out"))
+    def said(pieces: Column, p: Column) -> Column:
+        first = F.floor(p["start"] / PIECE).cast("int")
+        reached = F.array_join(F.slice(pieces, first + 1, F.floor((p["stop"] - 1) / PIECE).cast("int") - first + 1), "")
+        plain = F.when(p["stop"] > p["start"], F.substring(reached, p["start"] - first * PIECE + 1, p["stop"] - p["start"])).otherwise("")
+        return F.concat(plain, F.coalesce(F.concat(F.lit("<"), p["kind"], F.lit(">")), F.lit("")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(ordered, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = bound(pieces, lambda cut: F.array_join(F.transform(kept, lambda p: said(cut, p)), ""))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -178,6 +218,7 @@ def op7_personal_data(spark, sf_dir):
         *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE],
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 

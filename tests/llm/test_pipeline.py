@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, con, name):
 def test_registration():
     queries = entry.queries()
     assert "pipeline" in queries
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries if re.match(r"op\d+_", n)) == list(range(1, 14))
     assert 4 <= len(C.STAGES) <= 5
 
 

@@ -246,3 +246,42 @@ def test_damaged_archives_are_refused(spark, tmp_path):
     (tmp_path / "cut.warc.gz").write_bytes(data[:-40])
     with pytest.raises(ValueError, match="ends inside"):
         list(W.record_rows(f"{tmp_path}/cut.warc.gz"))
+
+
+def test_a_text_with_very_many_matches(spark, make_docs):
+    """200,000 secrets, and 60,000 numbers beside as many tokens, in one text: time grows with the text alone."""
+    secrets = " ".join(f"token=abcdef{i}" for i in range(200_000))
+    found = S.scan_history(make_docs([secrets, "x"]))[0].where("doc_id = 0").select("found").first()[0]
+    assert len(found) == 200_000
+    places = [m.span() for m in re.finditer("token=[a-z0-9]+", secrets)]
+    assert [(s["start"], s["stop"]) for s in found] == places
+    mixed = " ".join(f"10.0.{i % 256}.1 a{i:06d}" for i in range(60_000))
+    docs = I.find_personal_data(make_docs([mixed, "plain"]), keep=("text",))
+    row = docs.where("doc_id = 0").select("spans", I.redact(F.col("text"), F.col("spans")).alias("said")).first()
+    assert [(s["start"], s["stop"]) for s in row["spans"]] == [m.span() for m in re.finditer(r"10\.0\.\d+\.1", mixed)]
+    assert row["said"] == re.sub(r"10\.0\.\d+\.1", "<ip>", mixed)
+
+
+def test_gathering_does_not_depend_on_the_blocks(spark, monkeypatch):
+    from foretrace.llm import spans as G
+
+    monkeypatch.setattr(G, "BLOCK", 3)
+    rows = spark.createDataFrame([(n, list(range(n))) for n in (0, 1, 3, 4, 9, 10, 27, 28, 100, 300)], "n int, a array<int>")
+    step = lambda s, x: ({"sum": s["sum"] + x}, F.when(x % 4 != 1, F.array(s["sum"])).otherwise(F.array().cast("array<int>")))
+    last = lambda s: F.array(-s["sum"])
+    got = rows.select("n", G.gather(F.col("a"), {"sum": F.lit(0)}, "array<int>", step, last).alias("g")).collect()
+    for n, made in got:
+        assert made == [sum(range(i)) for i in range(n) if i % 4 != 1] + [-sum(range(n))]
+
+
+def test_tokens_that_touch_base_spans_go(spark):
+    rnd = random.Random(4)
+    struct = lambda s, e, kind: (0, s, e, kind, s, "")
+    rows = []
+    for n in range(40):
+        base = [struct(a, a + rnd.randint(1, 9), "ip") for a in (rnd.randrange(300) for _ in range(rnd.randrange(12)))]
+        cuts = sorted(rnd.sample(range(320), 2 * rnd.randrange(1, 30)))
+        rows.append((n, base, [struct(a, b, "context") for a, b in zip(cuts[::2], cuts[1::2])]))
+    df = spark.createDataFrame(rows, f"n int, base {I.PLACES}, tokens {I.PLACES}")
+    got = {r["n"]: [(t["start"], t["stop"]) for t in r["t"]] for r in df.select("n", I._apart(F.col("tokens"), F.col("base")).alias("t")).collect()}
+    assert got == {n: [(t[1], t[2]) for t in tokens if not any(b[1] < t[2] and t[1] < b[2] for b in base)] for n, base, tokens in rows}
