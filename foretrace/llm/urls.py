@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.llm.common import table
+from foretrace.llm.common import build_parts, load_part, table
 from foretrace.llm.registry import query
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -61,7 +61,7 @@ class RuleTable:
 class Sweep:
     """Goes once over keys in ascending order; ``at`` is the next rule, ``open`` the stack of rules around the key."""
 
-    def __init__(self, rules: RuleTable):
+    def __init__(self, rules: RuleTable | None):
         self.rules, self.at, self.open = rules, 0, []
 
     def move(self, key: str) -> None:
@@ -86,15 +86,15 @@ class Sweep:
         return best
 
 
-def _parts(rules: DataFrame | Sequence[tuple[str, str]], part_bytes: int) -> list[RuleTable]:
-    """Rules as given, or those of a (verdict, rule) table in parts of bounded size, each fetched by itself."""
+def _parts(rules: DataFrame | Sequence[tuple[str, str]], part_bytes: int) -> list[RuleTable | str]:
+    """Rules as given, or the paths of those of a (verdict, rule) table in parts of bounded size, each made by a task."""
     if not isinstance(rules, DataFrame):
         return [RuleTable(rules)]
     known = rules.where(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).select("verdict", "rule").distinct()
     total = known.agg(F.coalesce(F.sum(F.octet_length("rule")), F.lit(0))).first()[0]
-    count = max(1, -(-int(total) // part_bytes))
-    part = F.pmod(F.xxhash64("rule"), F.lit(count))
-    return [RuleTable(tuple(r) for r in known.where(part == p).collect()) for p in range(count)]
+    part = F.pmod(F.xxhash64("rule"), F.lit(max(1, -(-int(total) // part_bytes))))
+    pairs = lambda found: RuleTable(list(zip(found["verdict"].to_pylist(), found["rule"].to_pylist())))
+    return build_parts(known.select("verdict", "rule", part.alias("part")), "part", pairs, "rules")
 
 
 def judge_urls(
@@ -118,26 +118,30 @@ def judge_urls(
         F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"),
     )
     schema = f"key string, id {dict(found.dtypes)['id']}, host string, path string, rule string, verdict string"
-    for part in _parts(rules, part_bytes):
-
-        def sweep(batches, part=part):
-            state = Sweep(part)
-            for batch in batches:
-                key, ids, host, path, rule, verdict = batch.columns
-                new_rule, new_verdict = rule.to_pylist(), verdict.to_pylist()
-                for i, (k, p) in enumerate(zip(key.to_pylist(), path.to_pylist())):
+    parts = _parts(rules, part_bytes)
+
+    def sweep(batches):
+        states = [Sweep(None) for _ in parts]
+        for batch in batches:
+            key, ids, host, path, rule, verdict = batch.columns
+            new_rule, new_verdict = rule.to_pylist(), verdict.to_pylist()
+            keys, paths = key.to_pylist(), path.to_pylist()
+            for part, state in zip(parts, states):
+                state.rules = load_part(part) if isinstance(part, str) else part
+                for i, (k, p) in enumerate(zip(keys, paths)):
                     state.move(k)
                     best = state.longest(p) if state.open else None
                     old = new_rule[i]
                     if best and (old is None or (len(best[0]), best[0].find("/")) > (len(old), old.find("/"))):
                         new_rule[i], new_verdict[i] = best
-                yield pa.RecordBatch.from_arrays(
-                    [key, ids, host, path, pa.array(new_rule, pa.string()), pa.array(new_verdict, pa.string())],
-                    names=["key", "id", "host", "path", "rule", "verdict"],
-                )
-
-        keyed = found.select(host_key(F.col("host")).alias("key"), "id", "host", "path", "rule", "verdict")
-        found = keyed.sortWithinPartitions("key").mapInArrow(sweep, schema).drop("key")
+                state.rules = None
+            yield pa.RecordBatch.from_arrays(
+                [key, ids, host, path, pa.array(new_rule, pa.string()), pa.array(new_verdict, pa.string())],
+                names=["key", "id", "host", "path", "rule", "verdict"],
+            )
+
+    keyed = found.select(host_key(F.col("host")).alias("key"), "id", "host", "path", "rule", "verdict")
+    found = keyed.sortWithinPartitions("key").mapInArrow(sweep, schema).drop("key")
     return found.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

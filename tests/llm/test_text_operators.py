@@ -114,8 +114,16 @@ def test_decontamination_equals_brute_force(spark, make_docs, part_bytes):
     for r in got:
         text = texts[r.doc_id]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == overlap(text, items), text
-        if part_bytes == D.PART_BYTES:
-            assert sum(len(words_of(text[s.start : s.stop])) for s in r.spans) == r.n_hit
+        assert sum(len(words_of(text[s.start : s.stop])) for s in r.spans) == r.n_hit
+        assert all(a.stop < b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+@pytest.mark.parametrize("part_bytes", [D.PART_BYTES, 1])
+def test_spans_of_items_in_several_parts_are_one(spark, make_docs, part_bytes):
+    bench = spark.createDataFrame([(1, "q w e r t y u"), (2, "t y u i o p")], "item_id long, text string")
+    docs = make_docs(["a b Q w e r T-y u i o p z", "q w e r t y"])
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.n_hit, r["items"]) for r in D.decontaminate(docs, bench, part_bytes=part_bytes).select("doc_id", "overlap.*").collect()}
+    assert got == {0: ([(4, 23)], 10, ["1", "2"]), 1: ([], 0, [])}
 
 
 def test_decontamination_without_benchmark(spark, make_docs):
