@@ -65,6 +65,20 @@ def read_version(spark: SparkSession, root: str, *, file_format: str = "parquet"
     return spark.read.format(file_format).load(f"{root}/version={number}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jpath, files = hadoop_path(spark, path)
+    files.delete(jpath, True)
+
+
+def drop_versions(spark: SparkSession, root: str, *, keep: Sequence[int]) -> None:
+    """Delete the versions below ``root`` but for those to keep; pointers stay."""
+    jpath, files = hadoop_path(spark, root)
+    for status in files.listStatus(jpath):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name.removeprefix("version=")) not in keep:
+            files.delete(status.getPath(), True)
+
+
 def write_board(df: DataFrame, root: str, *, order: Sequence[Column]) -> int:
     """A board as JSON lines in a fixed order, as a new version."""
     return write_version(df.orderBy(*order), root, file_format="json")

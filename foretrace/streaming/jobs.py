@@ -45,11 +45,62 @@ def write_batches(stream: DataFrame, root: str, *, mode: str) -> list:
     return run_available(stream.writeStream.outputMode(mode).foreachBatch(write), f"{root}/checkpoint")
 
 
+def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The batches that were written completely, ascending."""
+    path, files = writers.hadoop_path(spark, folder)
+    if not files.exists(path):
+        return []
+    found = []
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix("batch=")))
+    return sorted(found)
+
+
+def streamed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All rows that batches wrote, with their ``batch``: the folded ones from one table, the newer ones from their folders."""
+    base = writers.current_version(spark, f"{folder}-folded", default=-1)
+    newer = [n for n in batch_numbers(spark, folder) if n > base]
+    parts = [writers.read_version(spark, f"{folder}-folded", version=base)] if base >= 0 else []
+    if newer:
+        parts.append(spark.read.option("basePath", folder).parquet(*[f"{folder}/batch={n}" for n in newer]))
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def compact(spark: SparkSession, folder: str, fold: Callable[[DataFrame], DataFrame], *, keep: int = 10) -> int | None:
+    """Fold old batches into one table once more than ``keep`` are unfolded; the number of the last folded batch, or None.
+
+    ``fold`` takes rows with their ``batch`` and returns fewer rows with the same columns; folding folded rows again must
+    change nothing. The newest batch stays, as a stream may write it again. The table is a new version that a pointer
+    names, so readers see the folders or the table, never half of each, and a run that broke off is simply run again.
+    Folders and versions go one compaction after they were last named, when no reader that began before still needs them.
+    """
+    base = writers.current_version(spark, f"{folder}-folded", default=-1)
+    numbers = batch_numbers(spark, folder)
+    if len([n for n in numbers if n > base]) <= keep:
+        return None
+    last = numbers[-2]
+    rows = streamed(spark, folder).where(F.col("batch") <= last)
+    writers.write_version(fold(rows), f"{folder}-folded", version=last)
+    for n in numbers:
+        if n <= base:
+            writers.remove(spark, f"{folder}/batch={n}")
+    writers.drop_versions(spark, f"{folder}-folded", keep=[base, last])
+    return last
+
+
+def newest_by_key(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """The row of the newest batch per key, as a fold."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return lambda rows: rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+
+
 def latest_by_key(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     """The row of the newest batch per key (for update mode)."""
-    rows = spark.read.parquet(f"{root}/out")
-    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "batch")
+    return newest_by_key(keys)(streamed(spark, f"{root}/out")).drop("batch")
 
 
 def ingest(stream: DataFrame, root: str, *, time: str, keys: list[str], delay: str = "2 days") -> dict[str, int]:
@@ -139,14 +190,19 @@ def settle_stream(outcomes: DataFrame, root: str, *, keys: tuple[str, str] = ("g
     run_available(outcomes.writeStream.foreachBatch(write), f"{root}/checkpoint")
 
 
+def best_outcomes(keys: tuple[str, str] = ("game_pk", "batter_id"), hit: str = "hit_hr") -> Callable[[DataFrame], DataFrame]:
+    """The best result per game and batter, as a fold for ``compact``."""
+    return lambda rows: rows.groupBy(*keys).agg(F.max(hit).alias(hit), F.max("batch").alias("batch"))
+
+
 def settled_board(picks: DataFrame, root: str, *, keys: tuple[str, str] = ("game_pk", "batter_id"), hit: str = "hit_hr", **ladder) -> DataFrame:
     """The picks, settled by the outcomes streamed so far; ``ladder`` has the other inputs of ``board.settle``.
 
     A hit in any batch stays a hit, and rows without an outcome keep their label unless the ladder says otherwise.
     """
-    spark = picks.sparkSession
-    if writers.exists(spark, f"{root}/outcomes"):
-        outcomes = spark.read.parquet(f"{root}/outcomes").groupBy(*keys).agg(F.max(hit).alias("hit_hr"))
+    found = streamed(picks.sparkSession, f"{root}/outcomes")
+    if found is not None:
+        outcomes = found.groupBy(*keys).agg(F.max(hit).alias("hit_hr"))
     else:
         outcomes = picks.select(*keys, F.lit(None).cast("int").alias("hit_hr")).limit(0)
     nothing = outcomes.select(*keys).limit(0)

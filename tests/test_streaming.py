@@ -67,3 +67,52 @@ def test_settlement_does_not_depend_on_batches(spark, tmp_path, order):
         J.settle_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "o")), root)
     got = {r.pick_id: (r.result_label, r.actual_hit_hr) for r in J.settled_board(picks, root, resolved_through=through).collect()}
     assert got == {"a": ("HR", 1), "b": ("No HR", 0), "c": ("HR", 1), "d": ("HR", None), "e": ("Postponed", None)}
+
+
+def test_old_batches_are_folded_under_a_pointer(spark, tmp_path):
+    """50 batches: readers never see more than a few folders, and always the same rows as without folding."""
+    folder = str(tmp_path / "out")
+    fold = J.newest_by_key(["k"])
+    newest, compacted = {}, []
+    for number in range(50):
+        rows = [(k, number * 100 + k) for k in ({number % 7, number % 5})]
+        newest |= dict(rows)
+        spark.createDataFrame(rows, "k int, v int").coalesce(1).write.parquet(f"{folder}/batch={number}")
+        last = J.compact(spark, folder, fold, keep=6)
+        if last is not None:
+            compacted.append(last)
+            assert J.compact(spark, folder, fold, keep=6) is None
+            assert {r.k: r.v for r in J.latest_by_key(spark, str(tmp_path), ["k"]).collect()} == newest
+        assert len([n for n in J.batch_numbers(spark, folder) if not compacted or n > compacted[-1]]) <= 7
+    assert {r.k: r.v for r in J.latest_by_key(spark, str(tmp_path), ["k"]).collect()} == newest
+    assert len(compacted) >= 7 and J.batch_numbers(spark, folder)[0] > compacted[-3]
+
+
+def test_a_broken_compaction_is_run_again(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "out")
+    for number in range(5):
+        spark.createDataFrame([(number, 1)], "k int, v int").coalesce(1).write.parquet(f"{folder}/batch={number}")
+
+    def broken(df, root, **kwargs):
+        df.write.mode("overwrite").parquet(f"{root}/version={kwargs['version']}")
+        raise OSError("lost before the pointer")
+
+    with monkeypatch.context() as m:
+        m.setattr(J.writers, "write_version", broken)
+        with pytest.raises(OSError):
+            J.compact(spark, folder, J.newest_by_key(["k"]), keep=2)
+    assert J.streamed(spark, folder).count() == 5
+    assert J.compact(spark, folder, J.newest_by_key(["k"]), keep=2) == 3
+    assert J.streamed(spark, folder).count() == 5
+
+
+def test_folded_outcomes_settle_the_same(spark, tmp_path):
+    root = str(tmp_path)
+    picks = spark.createDataFrame([("a", 1, 1, datetime.date(2024, 1, 1)), ("b", 1, 2, datetime.date(2024, 1, 1))], "pick_id string, game_pk long, batter_id long, game_date date")
+    picks = picks.withColumns({"result_label": F.lit("Pending"), "actual_hit_hr": F.lit(None).cast("int"), "game_status": F.lit("Final"), "game_state": F.lit("final")})
+    for number, hit in enumerate((0, 1, 0, 0)):
+        spark.createDataFrame([(1, 1, hit), (1, 2, 0)], "game_pk long, batter_id long, hit_hr int").coalesce(1).write.parquet(f"{root}/outcomes/batch={number}")
+    settled = lambda: sorted((r.pick_id, r.result_label) for r in J.settled_board(picks, root, resolved_through=F.lit("2024-01-02").cast("date")).collect())
+    before = settled()
+    assert J.compact(spark, f"{root}/outcomes", J.best_outcomes(), keep=2) == 2
+    assert settled() == before == [("a", "HR"), ("b", "No HR")]
