@@ -7,12 +7,13 @@ produced under the batch's number, so that a batch that is run again after a fai
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foretrace.functions.scalar import flag
 from foretrace.operators.board import settle
@@ -137,42 +138,67 @@ def sessions(stream: DataFrame, *, time: str, keys: list[str], gap: str, delay:
     return out.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *aggregates)
 
 
-def running_totals(entity: str, measures: list[str]) -> Callable:
-    """State function: totals of an entity's closed days so far, before each of its new days."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        totals = list(state.get) if state.exists else [0] * len(measures)
-        days = pd.concat(list(frames)).sort_values("window_start")
-        before = days[measures].cumsum().shift(1, fill_value=0) + totals
-        state.update(tuple(int(t + s) for t, s in zip(totals, days[measures].sum())))
-        out = pd.DataFrame({entity: key[0], "window_start": days["window_start"]})
-        for m in measures:
+
+class RunningTotals(StatefulProcessor):
+    """Totals of an entity's closed days so far, before each of its new days, in one value state."""
+
+    def __init__(self, entity: str, measures: list[str]):
+        self.entity, self.measures = entity, measures
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", T.StructType([T.StructField(m, T.LongType()) for m in self.measures]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        totals = self.totals.get() or [0] * len(self.measures)
+        days = pd.concat(list(rows)).sort_values("window_start")
+        before = days[self.measures].cumsum().shift(1, fill_value=0) + list(totals)
+        self.totals.update(tuple(int(t + s) for t, s in zip(totals, days[self.measures].sum())))
+        out = pd.DataFrame({self.entity: key[0], "window_start": days["window_start"]})
+        for m in self.measures:
             out[f"{m}_before"] = before[m].astype("int64")
         yield out
 
-    return step
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the block; a dot in a name is written as two underscores."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def prefix(stream: DataFrame, root: str, *, time: str, entity: str, delay: str, aggregates: dict[str, Column]) -> None:
-    """Write to-date totals per entity and closed day, in two chained streams.
+    """Write to-date totals per entity and closed day, in one stream with two stateful steps.
 
-    The first one aggregates closed days, with map-side combine; the second one keeps the totals per entity, and sees
-    one row per entity and day however many events a hot entity has.
+    The first aggregates closed days, with map-side combine; the second keeps the totals per entity in the RocksDB store,
+    so state may exceed memory, and sees one row per entity and day however many events a hot entity has.
     """
-    spark = stream.sparkSession
     measures = list(aggregates)
     daily = tumbling(stream, time=time, keys=[entity], length="1 day", slide=None, delay=delay, aggregates=aggregates)
-    write_batches(daily, f"{root}/days", mode="append")
-    longs = [T.StructField(m, T.LongType()) for m in measures]
-    schema = T.StructType([T.StructField(entity, T.LongType()), T.StructField("window_start", T.TimestampType()), *longs])
+    daily = daily.select(entity, "window_start", *[F.col(m).cast("bigint").alias(m) for m in measures])
+    kind = daily.schema[entity].dataType
     output = T.StructType(
-        [*schema.fields[:2], *[T.StructField(f"{m}_before", T.LongType()) for m in measures]]
+        [T.StructField(entity, kind), T.StructField("window_start", T.TimestampType()), *[T.StructField(f"{m}_before", T.LongType()) for m in measures]]
     )
-    days = read_stream(spark, f"{root}/days/out", schema)
-    totals = days.groupBy(entity).applyInPandasWithState(
-        running_totals(entity, measures), output, T.StructType(longs), "append", GroupStateTimeout.NoTimeout
+    totals = daily.groupBy(entity).transformWithStateInPandas(
+        statefulProcessor=RunningTotals(entity, measures), outputStructType=output, outputMode="Append", timeMode="None"
     )
-    write_batches(totals, root, mode="append")
+    with settings(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        write_batches(totals, root, mode="append")
 
 
 def settle_stream(outcomes: DataFrame, root: str, *, keys: tuple[str, str] = ("game_pk", "batter_id"), hit: str = "hit_hr") -> None:
