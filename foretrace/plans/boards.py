@@ -12,10 +12,11 @@ from foretrace.operators import history as H
 from foretrace.operators import joins as J
 from foretrace.operators import lineup as L
 from foretrace.operators import ranking as K
+from foretrace.plans import evaluation  # noqa: F401  (its queries are parts of the dashboard)
 from foretrace.plans import records as P
 from foretrace.plans import tables as T
 from foretrace.plans import windows as W
-from foretrace.plans.registry import ORACLES, query
+from foretrace.plans.registry import ORACLES, QUERIES, query
 from foretrace.plans.tables import BG_SQL, BOARD_SQL, rounded
 from foretrace.plans.windows import round_doubles
 from foretrace.sources import writers
@@ -390,58 +391,11 @@ def canonical_record(spark: SparkSession, sf: str) -> DataFrame:
     return B.canonical_record(given)
 
 
-PAYLOAD_SQL = f"""{BOARD_SQL}, settled AS (SELECT * FROM board WHERE actual_hit_hr IS NOT NULL), newest AS (SELECT max(game_date) AS d FROM board),
-  tiers AS (SELECT confidence_tier AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1),
-  leaders AS (SELECT batter_name || '/' || team AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1 HAVING count(*) >= 2)
-  SELECT 'overview' AS section, 'board' AS item, 'tracked_picks' AS name, CAST(count(*) AS DOUBLE) AS value FROM board
-  UNION ALL SELECT 'overview', 'board', 'settled_picks', CAST(count(actual_hit_hr) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'tracked_homers', CAST(sum(actual_hit_hr) AS DOUBLE) FROM board
-  UNION ALL SELECT 'overview', 'board', 'tracked_dates', CAST(count(DISTINCT game_date) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'open_picks', CAST(count(*) - count(actual_hit_hr) AS DOUBLE) FROM board
-  UNION ALL SELECT 'overview', 'board', 'latest_slate_size', CAST(count(*) AS DOUBLE) FROM board WHERE game_date = (SELECT d FROM newest)
-  UNION ALL SELECT 'confidence', t, 'picks', CAST(picks AS DOUBLE) FROM tiers UNION ALL SELECT 'confidence', t, 'homers', CAST(homers AS DOUBLE) FROM tiers
-  UNION ALL SELECT 'leader', t, 'picks', CAST(picks AS DOUBLE) FROM leaders UNION ALL SELECT 'leader', t, 'homers', CAST(homers AS DOUBLE) FROM leaders
-  UNION ALL SELECT DISTINCT 'date', CAST(game_date AS VARCHAR), 'is_default', CASE WHEN game_date = (SELECT max(game_date) FROM board WHERE game_date < (SELECT d FROM newest)) THEN CAST(1 AS DOUBLE) ELSE 0 END FROM board
-  UNION ALL SELECT 'active', pick_id, 'score', round(predicted_hr_score, 6) FROM board WHERE game_date = (SELECT d FROM newest)
-  UNION ALL SELECT 'history', pick_id, 'outcome', CAST(actual_hit_hr AS DOUBLE) FROM settled WHERE game_date <> (SELECT d FROM newest)"""
-
-
-@query("board_payload", f"WITH {PAYLOAD_SQL}")
-def board_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """The dashboard's parts as one tall table (section, item, name, value): picks and history stay rows, never one cell."""
-    board = T.board(spark, sf, shared=True)
-    settled, newest = board.where("actual_hit_hr is not null"), T.day_back(board, 0)
-
-    def part(df: DataFrame, section: str, item: Column, *names: str) -> DataFrame:
-        rows = df.select(item.cast("string").alias("item"), *[F.col(n).cast("double").alias(n) for n in names])
-        return rows.unpivot(["item"], list(names), "name", "value").select(F.lit(section).alias("section"), "item", "name", "value")
-
-    overview = B.overview(board, date="game_date", outcome="actual_hit_hr", latest=newest)
-    shown = ("tracked_picks", "settled_picks", "tracked_homers", "tracked_dates", "open_picks", "latest_slate_size")
-    tiers = B.tier_summary(settled, tier="confidence_tier", outcome="actual_hit_hr", probability="predicted_hr_probability")
-    leaders = B.leaderboard(settled, by=["batter_name", "team"], outcome="actual_hit_hr", minimum=2)
-    dates = B.date_options(board, date="game_date", as_of=newest)
-    active = board.where(F.col("game_date") == newest).select("pick_id", F.round("predicted_hr_score", 6).alias("score"))
-    history = settled.where(F.col("game_date") != newest).select("pick_id", F.col("actual_hit_hr").alias("outcome"))
-    parts = [
-        part(overview, "overview", F.lit("board"), *shown),
-        part(tiers, "confidence", F.col("confidence_tier"), "picks", "homers"),
-        part(leaders, "leader", F.concat_ws("/", "batter_name", F.col("team").cast("string")), "picks", "homers"),
-        part(dates.withColumn("is_default", F.col("is_default").cast("int")), "date", F.col("game_date"), "is_default"),
-        part(active, "active", F.col("pick_id"), "score"),
-        part(history, "history", F.col("pick_id"), "outcome"),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 # ---------------------------------------------------------------- lineups, settlement
 
-# The day before the newest one of the given tables; only the SQL names it, the queries take it from their table.
-TARGET = "2024-01-29"
-LINEUP_SQL = f"""played AS (SELECT team, game_date, game_pk, row_number() OVER (PARTITION BY team ORDER BY game_date DESC, game_pk DESC) AS rn, max(game_date) OVER (PARTITION BY team) AS newest
-    FROM (SELECT DISTINCT team, game_date, game_pk FROM bg WHERE game_date < DATE '{TARGET}')),
-  elig AS (SELECT team, game_date, game_pk FROM played WHERE rn <= 3 AND CASE WHEN newest >= DATE '{TARGET}' - 21 THEN game_date >= DATE '{TARGET}' - 21 ELSE DATE '{TARGET}' - newest <= 210 END),
+LINEUP_SQL = f"""aim AS (SELECT max(game_date) - 1 AS d FROM bg), played AS (SELECT team, game_date, game_pk, row_number() OVER (PARTITION BY team ORDER BY game_date DESC, game_pk DESC) AS rn, max(game_date) OVER (PARTITION BY team) AS newest
+    FROM (SELECT DISTINCT team, game_date, game_pk FROM bg WHERE game_date < (SELECT d FROM aim))),
+  elig AS (SELECT team, game_date, game_pk FROM played WHERE rn <= 3 AND CASE WHEN newest >= (SELECT d FROM aim) - 21 THEN game_date >= (SELECT d FROM aim) - 21 ELSE (SELECT d FROM aim) - newest <= 210 END),
   listed AS (SELECT DISTINCT team, batter_id, CAST(batter_id % 9 + 1 AS INTEGER) AS batting_order FROM bg WHERE team % 2 = 0),
   rows0 AS (SELECT bg.*, l.batting_order AS lineup_order, l.batter_id IS NOT NULL AS in_lineup FROM bg SEMI JOIN elig USING (team, game_date, game_pk)
     LEFT JOIN listed l ON l.team = bg.team AND l.batter_id = bg.batter_id),
@@ -472,7 +426,7 @@ def probable_lineup(spark: SparkSession, sf: str) -> DataFrame:
 
 WEATHER_TAIL = P.HOURLY_SQL[len(T.RAW_SQL) :]
 CANDIDATE_SQL = f"""{BG_SQL}, {LINEUP_SQL}{WEATHER_TAIL},
-  slate AS (SELECT DISTINCT game_date, game_pk, home_team, away_team FROM raw WHERE game_date = DATE '{TARGET}'),
+  slate AS (SELECT DISTINCT game_date, game_pk, home_team, away_team FROM raw WHERE game_date = (SELECT d FROM aim)),
   sides AS (SELECT game_date, game_pk, home_team, 1 AS is_home, home_team AS team, away_team AS opponent FROM slate UNION ALL SELECT game_date, game_pk, home_team, 0, away_team, home_team FROM slate),
   cand AS (SELECT s.game_date, s.game_pk, s.team, s.opponent, s.is_home, lu.batter_id, lu.projected_lineup_rank, b.m.t AS temperature_f, coalesce(lu.batting_order, lu.projected_lineup_rank) AS slot
     FROM sides s JOIN lu ON lu.team = s.team LEFT JOIN best b ON b.game_date = s.game_date AND b.home_team = s.home_team)"""
@@ -563,3 +517,80 @@ def freshness_gate(spark: SparkSession, sf: str) -> DataFrame:
     newest = table(spark, sf, "events").agg(F.max(F.col("ts").cast("date")).alias("m"))
     gate = B.freshness_gate(F.date_add("m", 5), F.col("m"), F.date_sub("m", 4))
     return newest.select(*[c.alias(n) for n, c in gate.items()])
+
+
+# ---------------------------------------------------------------- the dashboard
+
+PAYLOAD_SQL = f"""{BOARD_SQL}, settled AS (SELECT * FROM board WHERE actual_hit_hr IS NOT NULL), newest AS (SELECT max(game_date) AS d FROM board),
+  tiers AS (SELECT confidence_tier AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1),
+  leaders AS (SELECT batter_name || '/' || team AS t, count(*) AS picks, sum(actual_hit_hr) AS homers FROM settled GROUP BY 1 HAVING count(*) >= 2)
+  SELECT 'overview' AS section, 'board' AS item, 'tracked_picks' AS name, CAST(count(*) AS DOUBLE) AS value FROM board
+  UNION ALL SELECT 'overview', 'board', 'settled_picks', CAST(count(actual_hit_hr) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'tracked_homers', CAST(sum(actual_hit_hr) AS DOUBLE) FROM board
+  UNION ALL SELECT 'overview', 'board', 'tracked_dates', CAST(count(DISTINCT game_date) AS DOUBLE) FROM board UNION ALL SELECT 'overview', 'board', 'open_picks', CAST(count(*) - count(actual_hit_hr) AS DOUBLE) FROM board
+  UNION ALL SELECT 'overview', 'board', 'latest_slate_size', CAST(count(*) AS DOUBLE) FROM board WHERE game_date = (SELECT d FROM newest)
+  UNION ALL SELECT 'confidence', t, 'picks', CAST(picks AS DOUBLE) FROM tiers UNION ALL SELECT 'confidence', t, 'homers', CAST(homers AS DOUBLE) FROM tiers
+  UNION ALL SELECT 'leader', t, 'picks', CAST(picks AS DOUBLE) FROM leaders UNION ALL SELECT 'leader', t, 'homers', CAST(homers AS DOUBLE) FROM leaders
+  UNION ALL SELECT DISTINCT 'date', CAST(game_date AS VARCHAR), 'is_default', CASE WHEN game_date = (SELECT max(game_date) FROM board WHERE game_date < (SELECT d FROM newest)) THEN CAST(1 AS DOUBLE) ELSE 0 END FROM board
+  UNION ALL SELECT 'active', pick_id, 'score', round(predicted_hr_score, 6) FROM board WHERE game_date = (SELECT d FROM newest)
+  UNION ALL SELECT 'history', pick_id, 'outcome', CAST(actual_hit_hr AS DOUBLE) FROM settled WHERE game_date <> (SELECT d FROM newest)
+  UNION ALL SELECT 'season_leader', player_name || '/' || batter_id, n, CAST(v AS DOUBLE) FROM (UNPIVOT ({ORACLES["season_leaders"]}) ON total, volume, games INTO NAME n VALUE v)
+  UNION ALL SELECT 'alert', home_team || '/' || source, 'dates', CAST(dates AS DOUBLE) FROM ({ORACLES["fill_alerts"]})
+  UNION ALL SELECT 'movement', CAST(m.batter_id AS VARCHAR), CAST(m.game_pk AS VARCHAR), CAST(movement AS DOUBLE) FROM ({ORACLES["rank_movement"]}) m
+    SEMI JOIN (SELECT * FROM board WHERE game_date = (SELECT d FROM newest)) b ON b.game_pk = m.game_pk AND b.batter_id = m.batter_id WHERE movement IS NOT NULL
+  UNION ALL SELECT 'lineup', game_pk || '/' || team, players, CAST(is_home AS DOUBLE) FROM ({ORACLES["lineup_panels"]})
+  UNION ALL SELECT 'policy', coalesce(CAST(elite_top_k AS VARCHAR), 'all') || '/' || coalesce(CAST(CAST(round(100 * elite_probability_floor) AS BIGINT) AS VARCHAR), 'none'), n, CAST(v AS DOUBLE)
+    FROM (UNPIVOT (SELECT elite_top_k, elite_probability_floor, sample_size, hits, selected::BIGINT AS selected FROM ({ORACLES["policy_search"]})) ON sample_size, hits, selected INTO NAME n VALUE v)"""
+
+
+def further_parts(spark: SparkSession, sf: str, *, active_games: DataFrame, part) -> list[DataFrame]:
+    """Season leaders, alerts of filled weather, the morning's movement of active picks, lineups and the searched policies."""
+    leaders = QUERIES["season_leaders"](spark, sf)
+    alerts = QUERIES["fill_alerts"](spark, sf)
+    moved = QUERIES["rank_movement"](spark, sf).where("movement is not null").join(active_games, ["game_pk", "batter_id"], "left_semi")
+    panels = QUERIES["lineup_panels"](spark, sf)
+    policies = QUERIES["policy_search"](spark, sf).withColumn("selected", F.col("selected").cast("int"))
+    floor = F.round(100 * F.col("elite_probability_floor")).cast("bigint").cast("string")
+    policy = F.concat_ws("/", F.coalesce(F.col("elite_top_k").cast("string"), F.lit("all")), F.coalesce(floor, F.lit("none")))
+    shown = lambda df, section, item, name, value: df.select(
+        F.lit(section).alias("section"), item.alias("item"), name.alias("name"), F.col(value).cast("double").alias("value")
+    )
+    text = lambda c: F.col(c).cast("string")
+    return [
+        part(leaders, "season_leader", F.concat_ws("/", "player_name", text("batter_id")), "total", "volume", "games"),
+        part(alerts, "alert", F.concat_ws("/", text("home_team"), "source"), "dates"),
+        shown(moved, "movement", text("batter_id"), text("game_pk"), "movement"),
+        shown(panels, "lineup", F.concat_ws("/", text("game_pk"), text("team")), F.col("players"), "is_home"),
+        part(policies, "policy", policy, "sample_size", "hits", "selected"),
+    ]
+
+
+@query("board_payload", f"WITH {PAYLOAD_SQL}")
+def board_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard's parts as one tall table (section, item, name, value): picks and history stay rows, never one cell."""
+    board = T.board(spark, sf, shared=True)
+    settled, newest = board.where("actual_hit_hr is not null"), T.day_back(board, 0)
+
+    def part(df: DataFrame, section: str, item: Column, *names: str) -> DataFrame:
+        rows = df.select(item.cast("string").alias("item"), *[F.col(n).cast("double").alias(n) for n in names])
+        return rows.unpivot(["item"], list(names), "name", "value").select(F.lit(section).alias("section"), "item", "name", "value")
+
+    overview = B.overview(board, date="game_date", outcome="actual_hit_hr", latest=newest)
+    shown = ("tracked_picks", "settled_picks", "tracked_homers", "tracked_dates", "open_picks", "latest_slate_size")
+    tiers = B.tier_summary(settled, tier="confidence_tier", outcome="actual_hit_hr", probability="predicted_hr_probability")
+    leaders = B.leaderboard(settled, by=["batter_name", "team"], outcome="actual_hit_hr", minimum=2)
+    dates = B.date_options(board, date="game_date", as_of=newest)
+    active = board.where(F.col("game_date") == newest).select("pick_id", F.round("predicted_hr_score", 6).alias("score"))
+    history = settled.where(F.col("game_date") != newest).select("pick_id", F.col("actual_hit_hr").alias("outcome"))
+    parts = [
+        part(overview, "overview", F.lit("board"), *shown),
+        part(tiers, "confidence", F.col("confidence_tier"), "picks", "homers"),
+        part(leaders, "leader", F.concat_ws("/", "batter_name", F.col("team").cast("string")), "picks", "homers"),
+        part(dates.withColumn("is_default", F.col("is_default").cast("int")), "date", F.col("game_date"), "is_default"),
+        part(active, "active", F.col("pick_id"), "score"),
+        part(history, "history", F.col("pick_id"), "outcome"),
+        *further_parts(spark, sf, active_games=board.where(F.col("game_date") == newest).select("game_pk", "batter_id"), part=part),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

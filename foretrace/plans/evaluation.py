@@ -376,7 +376,7 @@ def frame_rate(num: str, den: str) -> str:
     f"""WITH {BG_SQL}, fr AS (SELECT batter_id || ':' || game_pk AS row_id, game_date, {frame_rate("hr_count", "pa_count")} AS f0, {frame_rate("hard_hit_bbe_count", "bbe_count")} AS f1,
       CAST((game_pk * 7 + batter_id) % 101 AS DOUBLE) AS f2, CASE WHEN bat_side <> pitcher_hand THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f3 FROM bg),
     lg AS (SELECT row_id, game_date, 0 AS f, f0 AS v FROM fr UNION ALL SELECT row_id, game_date, 1, f1 FROM fr UNION ALL SELECT row_id, game_date, 2, f2 FROM fr UNION ALL SELECT row_id, game_date, 3, f3 FROM fr),
-    rf AS (SELECT f, v FROM lg WHERE v IS NOT NULL AND game_date < DATE '2024-01-21'), cd AS (SELECT row_id, f, v FROM lg WHERE v IS NOT NULL AND game_date >= DATE '2024-01-21'),
+    rf AS (SELECT f, v FROM lg WHERE v IS NOT NULL AND game_date < (SELECT max(game_date) - 9 FROM fr)), cd AS (SELECT row_id, f, v FROM lg WHERE v IS NOT NULL AND game_date >= (SELECT max(game_date) - 9 FROM fr)),
     qt AS (SELECT f, quantile_cont(v, 0.6) AS q60, quantile_cont(v, 0.75) AS q75, quantile_cont(v, 0.85) AS q85, quantile_cont(v, 0.9) AS q90, count(*) AS n FROM rf GROUP BY f),
     le AS (SELECT c.f, c.v, count(r.v) AS k FROM (SELECT DISTINCT f, v FROM cd) c LEFT JOIN rf r ON r.f = c.f AND r.v <= c.v GROUP BY c.f, c.v),
     j AS (SELECT cd.row_id, cd.f, CASE cd.f WHEN 2 THEN 'pitcher' WHEN 3 THEN 'context' ELSE 'batter' END AS bucket, CASE WHEN cd.f = 3 THEN CAST(1 AS DOUBLE) ELSE CAST(k AS DOUBLE) / n END AS p,
@@ -389,7 +389,7 @@ def frame_rate(num: str, den: str) -> str:
     bb AS (SELECT *, row_number() OVER (PARTITION BY row_id, bucket ORDER BY s DESC, f) AS b FROM pl),
     od AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN b = 1 THEN 0 ELSE 1 END, CASE WHEN b = 1 THEN CASE bucket WHEN 'batter' THEN 0 WHEN 'pitcher' THEN 1 ELSE 2 END END, s DESC, f) AS r FROM bb)
     SELECT c.row_id, coalesce(max(CASE WHEN r = 1 THEN txt END), '{N.FALLBACK}') AS top_reason_1, coalesce(max(CASE WHEN r = 2 THEN txt END), '') AS top_reason_2, coalesce(max(CASE WHEN r = 3 THEN txt END), '') AS top_reason_3
-    FROM (SELECT DISTINCT row_id FROM fr WHERE game_date >= DATE '2024-01-21') c LEFT JOIN od ON od.row_id = c.row_id GROUP BY c.row_id""",
+    FROM (SELECT DISTINCT row_id FROM fr WHERE game_date >= (SELECT max(game_date) - 9 FROM fr)) c LEFT JOIN od ON od.row_id = c.row_id GROUP BY c.row_id""",
 )
 def top_reasons(spark: SparkSession, sf: str) -> DataFrame:
     rows = reason_rows(spark, sf)

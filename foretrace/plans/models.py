@@ -15,44 +15,12 @@ from foretrace.operators import reasons as N
 from foretrace.operators import rollup as R
 from foretrace.plans import tables as T
 from foretrace.plans import windows as W
-from foretrace.plans.evaluation import RULES
 from foretrace.plans.registry import query
 from foretrace.session import cut_lineage
 from foretrace.sources import writers
 
-FEATURES = ("hr_per_pa_last_7d", "hard_hit_rate_last_7d", "barrels_last_7d", "platoon_advantage", "pitcher_load", "is_home")
-PLAIN = M.ModelSpec("logistic", FEATURES, {"C": 1.0, "max_iter": 25})
-
 PROFILE = "live_usable_candidate_v1"
-
-
-def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    bg = T.batter_counts(spark, sf)
-    bg = H.attach_trailing(
-        bg,
-        keys=["batter_id"],
-        date="game_date",
-        days=[7],
-        sums={"hr": "hr_count", "pa": "pa_count", "hard": "hard_hit_bbe_count", "bbe": "bbe_count", "barrels": "barrel_count"},
-    )
-    return bg.select(
-        F.concat_ws(":", "batter_id", "game_pk").alias("row_id"),
-        "batter_id",
-        "game_pk",
-        "game_date",
-        "team",
-        "hit_hr",
-        S.safe_rate("hr_last_7d", "pa_last_7d").alias("hr_per_pa_last_7d"),
-        S.safe_rate("hard_last_7d", "bbe_last_7d").alias("hard_hit_rate_last_7d"),
-        F.col("barrels_last_7d").cast("double").alias("barrels_last_7d"),
-        S.platoon_advantage("bat_side", "pitcher_hand").alias("platoon_advantage"),
-        ((F.col("game_pk") * 7 + F.col("batter_id")) % 101).cast("double").alias("pitcher_load"),
-        "is_home",
-    )
-
-
-def folded_rows(spark: SparkSession, sf: str, splits: int = 5) -> DataFrame:
-    return E.expanding_folds(training_rows(spark, sf), blocks=["game_date", "game_pk"], order=["batter_id"], splits=splits)
+SETTINGS = {"C": 1.0, "max_iter": 25}
 
 
 def opponent_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,25 +75,26 @@ def folded_profile(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple[str,
     return E.expanding_folds(rows, blocks=["game_date", "game_pk"], order=["batter_id"], splits=5), features
 
 
-def split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut_lineage(E.chronological_split(training_rows(spark, sf), date="game_date"))
-    return rows.where("part = 'train'"), rows.where("part = 'test'")
+def split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, M.ModelSpec]:
+    """Training and test rows of the profile, and a plain logistic model of the features that are known in training."""
+    rows, features = profile_rows(spark, sf)
+    rows = cut_lineage(E.chronological_split(rows, date="game_date"))
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+    facts = train.agg(*[F.count(c).alias(c) for c in features]).first()
+    return train, test, M.ModelSpec("logistic", tuple(c for c in features if facts[c] > 0), SETTINGS)
 
 
 @query("fit_logistic")
 def fit_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = split_rows(spark, sf)
-    scored = M.score(M.fit(train, PLAIN, label="hit_hr"), test, PLAIN)
+    train, test, spec = split_rows(spark, sf)
+    scored = M.score(M.fit(train, spec, label="hit_hr"), test, spec)
     return E.probability_metrics(scored, score="probability", label="hit_hr")
 
 
 @query("fit_gbt")
 def fit_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    rows, features = profile_rows(spark, sf)
-    rows = cut_lineage(E.chronological_split(rows, date="game_date"))
-    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-    facts = train.agg(*[F.count(c).alias(c) for c in features]).first()
-    spec = M.ModelSpec("gbt", tuple(c for c in features if facts[c] > 0))
+    train, test, plain = split_rows(spark, sf)
+    spec = M.ModelSpec("gbt", plain.features)
     return E.probability_metrics(M.score(M.fit(train, spec, label="hit_hr"), test, spec), score="probability", label="hit_hr")
 
 
@@ -140,19 +109,19 @@ def param_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("oof_scores")
 def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
-    table = cut_lineage(folded_rows(spark, sf))
-    return M.out_of_fold(table, PLAIN, label="hit_hr", keep=["row_id"])
+    folded, features = folded_profile(spark, sf)
+    return M.out_of_fold(cut_lineage(folded), M.ModelSpec("logistic", features, SETTINGS), label="hit_hr", keep=["row_id"])
 
 
 @query("calibrate")
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     """Both methods, fitted on folds of the training rows and judged on the held-out rows: metrics, and whether to keep each."""
-    train, test = split_rows(spark, sf)
+    train, test, spec = split_rows(spark, sf)
     folded = cut_lineage(E.expanding_folds(train, blocks=["game_date", "game_pk"], order=["batter_id"], splits=5))
-    plain = cut_lineage(M.score(M.fit(train, PLAIN, label="hit_hr"), test, PLAIN).select("hit_hr", "probability"))
+    plain = cut_lineage(M.score(M.fit(train, spec, label="hit_hr"), test, spec).select("hit_hr", "probability"))
     out = E.probability_metrics(plain, score="probability", label="hit_hr").select(F.lit("none").alias("method"), "*", F.lit(True).alias("kept"))
     for method in ("sigmoid", "isotonic"):
-        scored = cut_lineage(M.calibrate(folded, PLAIN, label="hit_hr", method=method).score(test).select("hit_hr", "probability"))
+        scored = cut_lineage(M.calibrate(folded, spec, label="hit_hr", method=method).score(test).select("hit_hr", "probability"))
         kept = F.lit(M.keep_calibration(plain, scored, label="hit_hr")).alias("kept")
         metrics = E.probability_metrics(scored, score="probability", label="hit_hr")
         out = out.unionByName(metrics.select(F.lit(method).alias("method"), "*", kept))
@@ -176,11 +145,11 @@ def rolling_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fast_refit")
 def fast_refit(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = split_rows(spark, sf)
+    train, test, spec = split_rows(spark, sf)
     path = writers.scratch_path(spark, "model")
     facts = train.agg(F.max("game_date").alias("d"), F.avg("hit_hr").alias("r"))
     M.save_model(
-        M.fit(train, PLAIN, label="hit_hr"), PLAIN, path, spark, trained_through=facts.select("d").scalar(), base_rate=facts.select("r").scalar()
+        M.fit(train, spec, label="hit_hr"), spec, path, spark, trained_through=facts.select("d").scalar(), base_rate=facts.select("r").scalar()
     )
     M.fast_refit(train.unionByName(test), path, label="hit_hr", date="game_date")
     model, spec, row = M.load_model(path, spark)
@@ -191,8 +160,9 @@ def fast_refit(spark: SparkSession, sf: str) -> DataFrame:
 @query("score_board")
 def score_board(spark: SparkSession, sf: str) -> DataFrame:
     """Score the test rows, tier them, keep the capped best of each slate, and explain them."""
-    train, test = split_rows(spark, sf)
-    scored = M.score(M.fit(train, PLAIN, label="hit_hr"), test, PLAIN)
+    train, test, spec = split_rows(spark, sf)
+    model = M.fit(train, spec, label="hit_hr")
+    scored = M.score(model, test, spec)
     ranked = K.slate_percentile(scored, slate="game_date", score="probability", tie="row_id")
     tiered = E.apply_policy(ranked, probability="probability")
     chosen = K.greedy_caps(
@@ -206,7 +176,8 @@ def score_board(spark: SparkSession, sf: str) -> DataFrame:
         game_cap=4,
         limit=25,
     )
-    reasons = N.top_reasons(test.join(chosen.select("row_id"), "row_id", "left_semi"), train, key="row_id", rules=RULES)
+    rules = N.rules_for(N.reason_weights(dict(zip(spec.features, model.stages[-1].coefficients.tolist())), spec.features))
+    reasons = N.top_reasons(test.join(chosen.select("row_id"), "row_id", "left_semi"), train, key="row_id", rules=rules)
     return chosen.join(reasons, "row_id").select(
         "row_id", "game_date", "board_rank", "slate_rank", "confidence_tier", "probability", "top_reason_1", "top_reason_2", "top_reason_3"
     )

@@ -689,7 +689,7 @@ def pool_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "season_leaders",
     f"""WITH {RAW_SQL} SELECT batter_id, CAST(sum(CASE WHEN events = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS total, count(*) AS volume, count(DISTINCT game_pk) AS games,
-      max(player_name) AS player_name, CAST(max(team_no) AS INTEGER) AS team_no FROM raw WHERE game_date >= DATE '2024-01-01' AND game_date < DATE '2025-01-01'
+      max(player_name) AS player_name, CAST(max(team_no) AS INTEGER) AS team_no FROM raw WHERE year(game_date) = (SELECT year(max(game_date)) FROM raw)
     GROUP BY batter_id ORDER BY total DESC, volume DESC, games DESC, player_name, batter_id LIMIT 5""",
 )
 def season_leaders(spark: SparkSession, sf: str) -> DataFrame:
