@@ -17,9 +17,17 @@ PRIORITY = {"batter": 3.0, "pitcher": 2.5, "context": 1.0}
 FALLBACK = "No single feature stands out; the overall recent form and matchup profile is favourable."
 
 
+# The word for a percentile from so much on, and who stands for an opponent without a name.
+STRENGTHS = {0.90: "top-decile", 0.75: "top-quartile", 0.0: "above-baseline"}
+UNNAMED = "the opposing pitcher"
+
+
 @dataclass(frozen=True)
 class ReasonRule:
-    """How a feature explains a pick: its bucket, weight, and a template with ``%s`` for the formatted value."""
+    """How a feature explains a pick: its bucket, weight, and a template with ``%s`` for the formatted value.
+
+    ``{strength}`` in a template becomes the word for the value's percentile, ``{opponent}`` the name of the opponent.
+    """
 
     bucket: str
     weight: float
@@ -98,15 +106,16 @@ def feature_quantiles(positions: DataFrame) -> DataFrame:
 
 
 def top_reasons(
-    candidates: DataFrame, reference: DataFrame, *, key: str, rules: Mapping[str, ReasonRule], most: int = 3
+    candidates: DataFrame, reference: DataFrame, *, key: str, rules: Mapping[str, ReasonRule], most: int = 3, opponent: str | None = None
 ) -> DataFrame:
     """Up to ``most`` reasons per candidate: the best of each bucket in order, then the best of the rest.
 
-    Strong, medium and supporting signals follow the quantiles of the reference; a candidate without any signal gets
+    ``opponent`` names the column with the opponent's name. Strong, medium and supporting signals follow the quantiles of the reference; a candidate without any signal gets
     its features by weight and percentile. A row has at most one entry per feature, so its array is short.
     """
     usable = {f: r for f, r in rules.items() if r.weight > 0 and f in candidates.columns and f in reference.columns}
-    positions = cut_lineage(value_positions(unpivoted(reference, [], list(usable)), unpivoted(candidates, [key], list(usable))))
+    named = candidates.withColumn("__opponent", F.coalesce(F.col(opponent).cast("string") if opponent else F.lit(None), F.lit(UNNAMED)))
+    positions = cut_lineage(value_positions(unpivoted(reference, [], list(usable)), unpivoted(named, [key, "__opponent"], list(usable))))
     quantiles = feature_quantiles(positions)
     joined = positions.where("__candidate = 1").join(F.broadcast(quantiles), "feature")  # a row for each feature
 
@@ -121,13 +130,18 @@ def top_reasons(
         F.format_string("%.1f", F.bround("value", 1))
     )
     text = F.replace(per_feature({f: r.template for f, r in usable.items()}), F.lit("%s"), shown)
+    percentile = F.when(binary, 1.0).otherwise(F.col("below") / F.col("total"))
+    word = F.lit("")
+    for floor, said in sorted(STRENGTHS.items()):
+        word = F.when(percentile >= floor, said).otherwise(word)
+    text = F.replace(F.replace(text, F.lit("{strength}"), word), F.lit("{opponent}"), F.col("__opponent"))
     joined = joined.withColumns(
         {
             "__bucket": bucket,
             "__place": place,
             "__text": text,
             "__on": binary & (F.col("value") >= 1),
-            "__p": F.when(binary, 1.0).otherwise(F.col("below") / F.col("total")),
+            "__p": percentile,
             "__w": weight,
         }
     )

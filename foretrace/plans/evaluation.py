@@ -344,9 +344,9 @@ def ranked_output(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- reasons
 
 RULES = {
-    "hr_per_pa_last_7d": N.ReasonRule("batter", 1.0, "Homers in %s of recent appearances."),
+    "hr_per_pa_last_7d": N.ReasonRule("batter", 1.0, "Homers in %s of recent appearances, a {strength} signal."),
     "hard_hit_rate_last_7d": N.ReasonRule("batter", 0.8, "Hits %s of recent balls hard."),
-    "pitcher_load": N.ReasonRule("pitcher", 1.2, "The pitcher's mark is %s.", percent=False),
+    "pitcher_load": N.ReasonRule("pitcher", 1.2, "The mark of {opponent} is %s.", percent=False),
     "platoon_advantage": N.ReasonRule("context", 0.5, "Has the platoon advantage.", binary=True),
 }
 
@@ -360,6 +360,7 @@ def reason_rows(spark: SparkSession, sf: str) -> DataFrame:
     return bg.select(
         F.concat_ws(":", "batter_id", "game_pk").alias("row_id"),
         F.col("game_date"),
+        F.when(F.col("opponent") % 2 == 0, F.concat(F.lit("Team "), F.col("opponent").cast("string"))).alias("opponent_name"),
         F.round(S.safe_rate("hr_last_7d", "pa_last_7d"), 9).alias("hr_per_pa_last_7d"),
         F.round(S.safe_rate("hard_last_7d", "bbe_last_7d"), 9).alias("hard_hit_rate_last_7d"),
         ((F.col("game_pk") * 7 + F.col("batter_id")) % 101).cast("double").alias("pitcher_load"),
@@ -373,15 +374,15 @@ def frame_rate(num: str, den: str) -> str:
 
 @query(
     "top_reasons",
-    f"""WITH {BG_SQL}, fr AS (SELECT batter_id || ':' || game_pk AS row_id, game_date, {frame_rate("hr_count", "pa_count")} AS f0, {frame_rate("hard_hit_bbe_count", "bbe_count")} AS f1,
+    f"""WITH {BG_SQL}, fr AS (SELECT batter_id || ':' || game_pk AS row_id, game_date, CASE WHEN opponent % 2 = 0 THEN 'Team ' || opponent ELSE '{N.UNNAMED}' END AS opp, {frame_rate("hr_count", "pa_count")} AS f0, {frame_rate("hard_hit_bbe_count", "bbe_count")} AS f1,
       CAST((game_pk * 7 + batter_id) % 101 AS DOUBLE) AS f2, CASE WHEN bat_side <> pitcher_hand THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f3 FROM bg),
-    lg AS (SELECT row_id, game_date, 0 AS f, f0 AS v FROM fr UNION ALL SELECT row_id, game_date, 1, f1 FROM fr UNION ALL SELECT row_id, game_date, 2, f2 FROM fr UNION ALL SELECT row_id, game_date, 3, f3 FROM fr),
-    rf AS (SELECT f, v FROM lg WHERE v IS NOT NULL AND game_date < (SELECT max(game_date) - 9 FROM fr)), cd AS (SELECT row_id, f, v FROM lg WHERE v IS NOT NULL AND game_date >= (SELECT max(game_date) - 9 FROM fr)),
+    lg AS (SELECT row_id, game_date, opp, 0 AS f, f0 AS v FROM fr UNION ALL SELECT row_id, game_date, opp, 1, f1 FROM fr UNION ALL SELECT row_id, game_date, opp, 2, f2 FROM fr UNION ALL SELECT row_id, game_date, opp, 3, f3 FROM fr),
+    rf AS (SELECT f, v FROM lg WHERE v IS NOT NULL AND game_date < (SELECT max(game_date) - 9 FROM fr)), cd AS (SELECT row_id, opp, f, v FROM lg WHERE v IS NOT NULL AND game_date >= (SELECT max(game_date) - 9 FROM fr)),
     qt AS (SELECT f, quantile_cont(v, 0.6) AS q60, quantile_cont(v, 0.75) AS q75, quantile_cont(v, 0.85) AS q85, quantile_cont(v, 0.9) AS q90, count(*) AS n FROM rf GROUP BY f),
     le AS (SELECT c.f, c.v, count(r.v) AS k FROM (SELECT DISTINCT f, v FROM cd) c LEFT JOIN rf r ON r.f = c.f AND r.v <= c.v GROUP BY c.f, c.v),
     j AS (SELECT cd.row_id, cd.f, CASE cd.f WHEN 2 THEN 'pitcher' WHEN 3 THEN 'context' ELSE 'batter' END AS bucket, CASE WHEN cd.f = 3 THEN CAST(1 AS DOUBLE) ELSE CAST(k AS DOUBLE) / n END AS p,
       CASE cd.f WHEN 0 THEN CAST(1.0 AS DOUBLE) WHEN 1 THEN CAST(0.8 AS DOUBLE) WHEN 2 THEN CAST(1.2 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS w,
-      CASE cd.f WHEN 0 THEN printf('Homers in %.1f%% of recent appearances.', cd.v * 100) WHEN 1 THEN printf('Hits %.1f%% of recent balls hard.', cd.v * 100) WHEN 2 THEN printf('The pitcher''s mark is %.1f.', cd.v) ELSE 'Has the platoon advantage.' END AS txt,
+      CASE cd.f WHEN 0 THEN printf('Homers in %.1f%% of recent appearances, a %s signal.', cd.v * 100, CASE WHEN CAST(k AS DOUBLE) / n >= 0.9 THEN 'top-decile' WHEN CAST(k AS DOUBLE) / n >= 0.75 THEN 'top-quartile' ELSE 'above-baseline' END) WHEN 1 THEN printf('Hits %.1f%% of recent balls hard.', cd.v * 100) WHEN 2 THEN printf('The mark of %s is %.1f.', opp, cd.v) ELSE 'Has the platoon advantage.' END AS txt,
       CASE WHEN (cd.f = 3 AND cd.v >= 1) OR cd.v >= q90 THEN 2 WHEN cd.v >= CASE WHEN cd.f = 3 THEN q85 ELSE q75 END THEN 1 WHEN cd.f <> 3 AND cd.v >= q60 THEN CAST(0.5 AS DOUBLE) END AS lv
       FROM cd JOIN qt ON qt.f = cd.f JOIN le ON le.f = cd.f AND le.v = cd.v),
     sc AS (SELECT *, coalesce(lv, 0) + w + p + CASE bucket WHEN 'batter' THEN 3.0 WHEN 'pitcher' THEN 2.5 ELSE 1.0 END AS s, max(CASE WHEN lv IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY row_id) AS anysig FROM j),
@@ -394,4 +395,4 @@ def frame_rate(num: str, den: str) -> str:
 def top_reasons(spark: SparkSession, sf: str) -> DataFrame:
     rows = reason_rows(spark, sf)
     cut = T.day_back(rows, 9)
-    return N.top_reasons(rows.where(F.col("game_date") >= cut), rows.where(F.col("game_date") < cut), key="row_id", rules=RULES)
+    return N.top_reasons(rows.where(F.col("game_date") >= cut), rows.where(F.col("game_date") < cut), key="row_id", rules=RULES, opponent="opponent_name")
