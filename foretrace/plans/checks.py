@@ -118,9 +118,3 @@ def snapshot_health(spark: SparkSession, sf: str) -> DataFrame:
     )
     due = raw.withColumn("home_team", moved(5)).select("game_date", "home_team")
     return round_doubles(Q.snapshot_health(cache, due, on=["game_date", "home_team"], features=["temperature_f", "humidity_pct"]))
-
-
-@query("readiness_check", "SELECT 'park_factor_hr' AS feature, 'missing' AS status FROM (SELECT count(*) FROM events) UNION ALL SELECT 'batter_hr_per_pa_vs_rhp', 'all null' FROM (SELECT count(*) FROM events)")
-def readiness_check(spark: SparkSession, sf: str) -> DataFrame:
-    ready = export_table(spark, sf).drop("park_factor_hr")
-    return Q.readiness(ready, ["hr_per_pa_last_30d", "park_factor_hr", "batter_hr_per_pa_vs_rhp", "batter_hr_per_pa_vs_lhp"])

@@ -252,6 +252,19 @@ def catalog_report(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(Q.catalog_report(before, after, FAMILIES))
 
 
+NEWEST = "game_date = (SELECT max(game_date) FROM base)"
+
+
+@query(
+    "readiness_check",
+    f"""WITH {WHOLE_SQL} SELECT feature, 'all null' AS status FROM ({counts_sql(NEWEST)}) WHERE k = 0 UNION ALL {without_source_sql("'{name}', 'missing'")}""",
+)
+def readiness_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Features without any value on the newest day, and those that have no source here."""
+    wide = whole_frame(spark, sf)
+    return Q.readiness(wide.where(F.col("game_date") == T.day_back(wide, 0)), list(FAMILIES))
+
+
 # ---------------------------------------------------------------- the frame of the next day
 
 LIVE_BATTER = [*W.TRAILING, *W.BATTER_SPLITS]
