@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ BLOCK, PERCENT, HEAD = 128, 90, 6
 FILE_IDS = 4_000_000
 END_ID = 2
 #: Remembered segments in each Python worker.
-SEGMENTS = 500_000
+SEGMENTS = 800_000
 MANIFEST = "part int, seq int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 # -- blocks ---------------------------------------------------------------------------------------------------------
@@ -262,12 +263,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them for the whole text, and the end id."""
         end = np.array([END_ID], "<u4").tobytes()
-        if len(self.known) > SEGMENTS:
-            self.known.clear()
         split = [
             None if not t or any(s in t for s in self.special) else _SEGMENT.findall(t) for t in texts
         ]
-        new = set().union(*[s for s in split if s]).difference(self.known)
+        every = [s for s in split if s]
+        if len(self.known) > SEGMENTS:  # what these texts have, which frequent segments are among, stays
+            used = set(chain.from_iterable(every))
+            self.known = {s: self.known[s] for s in used if s in self.known}
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(every)))
         if new:
             self.learn(list(new))
         known = self.known.__getitem__
