@@ -82,7 +82,7 @@ def value_positions(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("__tie", F.monotonically_increasing_id())
     order = [F.asc("value"), F.asc("__candidate"), F.asc("__tie")]
-    return range_prior(rows, keys=["feature"], order=order, name="below", value=1 - F.col("__candidate")).drop("__tie")
+    return range_prior(rows, keys=["feature"], order=order, sums={"below": 1 - F.col("__candidate")}).drop("__tie")
 
 
 def feature_quantiles(positions: DataFrame) -> DataFrame:

@@ -114,14 +114,11 @@ def ordered_values(
 ) -> DataFrame:
     """One row per key and distinct value with its counts, and ``<count>_before`` of all values before it.
 
-    Rows with equal values are combined map-side. The table is read once per block level, so it is written once.
+    Rows with equal values are combined map-side. The table is read more than once, so it is written once.
     """
     distinct = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]))
-    sign = -1 if descending else 1
-    signed = distinct.withColumn("__ordered", sign * F.col(value))
-    blocked, blocks = border_blocks(signed, "__ordered", keys=keys, name="ordered", distinct=False)
-    sums = {f"{n}_before": n for n in counts}
-    return prior_sums(blocked, keys=keys, blocks=blocks, order=["__ordered"], sums=sums).drop("__ordered", *blocks)
+    order = (-1 if descending else 1) * F.col(value)
+    return range_prior(distinct, keys=keys, order=[order.asc()], sums={f"{n}_before": n for n in counts})
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -155,16 +152,18 @@ def range_positions(
     return out.withColumn(name, F.col("__place") + F.col("__shift")).drop("__place", "__range", "__shift")
 
 
-def range_prior(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], name: str, value: Column) -> DataFrame:
-    """Add the sum of ``value`` over the rows of the same ``keys`` that come before in a total ``order``; likewise."""
-    keys = list(keys)
-    placed = _ranged(df.withColumn("__value", value), keys, order)
-    runs = placed.groupBy(*keys, "__range").agg(F.sum("__value").alias("__sum"))
+def range_prior(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str | Column]) -> DataFrame:
+    """Add, per row, each sum over the rows of the same ``keys`` that come before it in a total ``order``; likewise."""
+    keys, names = list(keys), list(sums)
+    ins = [f"__in{i}" for i in range(len(names))]
+    placed = _ranged(df.withColumns({n: F.coalesce(as_col(c), F.lit(0)) for n, c in zip(ins, sums.values())}), keys, order)
+    runs = placed.groupBy(*keys, "__range").agg(*[F.sum(c).alias(c) for c in ins])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    runs = runs.select(*keys, "__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_start") for c in ins])
     inside = Window.partitionBy(*keys, "__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0))).join(runs, [*keys, "__range"], "left")
-    return out.withColumn(name, F.col("__inside") + F.col("__start")).drop("__place", "__range", "__value", "__inside", "__start")
+    out = placed.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ins}).join(runs, [*keys, "__range"], "left")
+    found = {n: F.col(f"{c}_inside") + F.col(f"{c}_start") for n, c in zip(names, ins)}
+    return out.withColumns(found).drop("__place", "__range", *ins, *[f"{c}_{part}" for c in ins for part in ("inside", "start")])
 
 
 def ranks(
