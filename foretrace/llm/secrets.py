@@ -171,4 +171,45 @@ def op3_secret_scan(spark, sf_dir):
     )
 
 
-__all__ = ["LEDGER", "RULES", "Rule", "scan_history"]
+def ledger_counts(ledger: DataFrame, run: int, sign: int = 1) -> DataFrame:
+    """(run, rule, pairs, spans): blobs that each rule version has scanned, and what it found there, times ``sign``."""
+    each = ledger.select(F.explode("rules").alias("rule"), "found")
+    kind = F.split("rule", "@")[0]
+    own = each.select("rule", F.size(F.filter("found", lambda s: s["kind"] == kind)).alias("n"))
+    return own.groupBy("rule").agg((sign * F.count(F.lit(1))).alias("pairs"), (sign * F.sum("n")).alias("spans")).withColumn("run", F.lit(run))
+
+
+#: The second run's rules: secrets that are assigned must be longer.
+RAISED = (Rule("assign", RULES[0].pattern, 2, 10, version=2), *RULES[1:])
+
+
+def _count_sql(rule: Rule) -> str:
+    """Matches of a rule in a text ``t``."""
+    return f"len(list_filter(regexp_extract_all(t, '{_letters(rule.pattern).replace(chr(39), chr(39) * 2)}', {rule.group}), lambda v: length(v) >= {rule.least}))"
+
+
+_RUNS = [(1, "first", r) for r in RULES] + [(2, "every" if r.version > 1 else "fresh", r) for r in RAISED]
+LEDGER_SQL = f"""
+WITH first AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents), every AS (SELECT t FROM first UNION SELECT coalesce(text, '') FROM conversations),
+fresh AS (SELECT t FROM every EXCEPT SELECT t FROM first)
+{" UNION ALL ".join(f"SELECT {run} AS run, '{r.key}' AS rule, count(*) AS pairs, coalesce(sum({_count_sql(r)}), 0)::BIGINT AS spans FROM {source} HAVING count(*) > 0" for run, source, r in _RUNS)}
+"""
+
+
+@query("secret_ledger", LEDGER_SQL)
+def secret_ledger(spark, sf_dir):
+    """What two runs over one ledger scan: all documents, and then documents and conversations with a raised rule.
+
+    The second run meets every document again, but scans only blobs that are new, and all blobs with the new version.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    turns = table(spark, sf_dir, "conversations")
+    turns = turns.select(F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), "text")
+    _, first = scan_history(docs, path="path")
+    _, second = scan_history(docs.union(turns), first, path="path", rules=RAISED)
+    counts = ledger_counts(first, 1).union(ledger_counts(second, 2)).union(ledger_counts(first, 2, -1))
+    summed = counts.groupBy("run", "rule").agg(F.sum("pairs").alias("pairs"), F.sum("spans").alias("spans"))
+    return summed.where("pairs > 0").select("run", "rule", "pairs", "spans")
+
+
+__all__ = ["LEDGER", "RULES", "Rule", "ledger_counts", "scan_history"]
