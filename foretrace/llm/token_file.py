@@ -233,6 +233,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not specials
+        resize = getattr(self.library.model, "_resize_cache", None)
+        if resize:  # every segment comes once, so the library's own memo of words only costs time
+            resize(0)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
