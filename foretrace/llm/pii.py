@@ -186,7 +186,10 @@ STRETCH = "array<struct<start:int,stop:int,kind:string>>"
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every stretch that spans cover replaced by the kind of the first span in it, in angle brackets."""
+    """The text with every stretch that spans cover replaced by the kind of the first span in it, in angle brackets.
+
+    Write the result before a Python function takes it: Spark cannot plan one over nested lambda functions.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     none = F.array().cast(STRETCH)
     stretch = lambda a, b, kind: F.array(F.struct(a.alias("start"), b.alias("stop"), kind.alias("kind"))).cast(STRETCH)
