@@ -72,7 +72,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     found = find_personal_data(renamed, id_col=place["doc_id"], text=place["text"], keep=tuple(c for c in place.values() if c != place["doc_id"]))
-    text = redact(F.col(place["text"]), F.col("spans"))
+    # Spark cannot hand the expression itself to a Python function; one that depends on the row's place stays a column.
+    text = F.when(F.monotonically_increasing_id() >= 0, redact(F.col(place["text"]), F.col("spans")))
     made = {"text": text}
     if "n_chars" in place:
         made["n_chars"] = F.when(F.size("spans") > 0, F.char_length(text).cast("bigint")).otherwise(F.col(place["n_chars"]))
