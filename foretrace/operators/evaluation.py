@@ -29,7 +29,8 @@ def split_cutoff(df: DataFrame, *, date: str, fraction: float = 0.67) -> Column:
 
 
 def chronological_split(df: DataFrame, *, date: str, fraction: float = 0.67, name: str = "part") -> DataFrame:
-    cutoff = split_cutoff(df, date=date, fraction=fraction)
+    # One date, looked up once: rows are not written again for it, and readers can skip files by it.
+    cutoff = F.lit(df.sparkSession.range(1).select(split_cutoff(df, date=date, fraction=fraction)).first()[0]).cast(df.schema[date].dataType)
     return df.withColumn(name, F.when(F.col(date) < cutoff, "train").otherwise("test"))
 
 

@@ -29,18 +29,21 @@ def trailing_days(
     days: Sequence[int],
     sums: Mapping[str, str | Column],
     maxes: Mapping[str, str | Column] | None = None,
+    running: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
     """One row per (keys, day) with ``<name>_last_<n>d`` over the days ``[day - n, day)``; null if none of them has rows.
 
-    All measures and all window lengths come from one aggregate, one exchange and one sort.
+    All measures and all window lengths come from one aggregate, one exchange and one sort. ``running`` sums come under their
+    own names, over all days before, of which an unknown one is the first.
     """
-    maxes = maxes or {}
+    maxes, running = maxes or {}, running or {}
     daily = (
-        df.where(all_present([*keys, date]))
+        df.where(all_present(keys if running else [*keys, date]))
         .groupBy(*keys, date)
         .agg(
             *[F.sum(as_col(c)).alias(n) for n, c in sums.items()],
             *[F.max(as_col(c)).alias(n) for n, c in maxes.items()],
+            *[F.sum(as_col(c)).alias(n) for n, c in running.items()],
         )
         .withColumn("__day", day_number(date))
     )
@@ -52,12 +55,35 @@ def trailing_days(
             features[f"{name}_last_{n_days}d"] = F.sum(name).over(frame)
         for name in maxes:
             features[f"{name}_last_{n_days}d"] = F.max(name).over(frame)
-    return daily.withColumns(features).select(*keys, date, *features)
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    features |= {n: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in running}
+    return daily.withColumns(features).where(F.col(date).isNotNull()).select(*keys, date, *features)
 
 
-def attach_trailing(df: DataFrame, *, keys: Sequence[str], date: str, **spec) -> DataFrame:
-    """Rows of ``df`` with the day-window features of their entity and day."""
-    return df.join(trailing_days(df, keys=keys, date=date, **spec), [*keys, date], "left")
+def attach_trailing(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    date: str,
+    order: Sequence[str] = (),
+    totals: Mapping[str, str | Column] | None = None,
+    **spec,
+) -> DataFrame:
+    """Rows of ``df`` with the day-window features of their entity and day.
+
+    ``totals`` are added as ``to_date`` adds them, in a total ``order`` within the day; both come from one table of days, so the
+    rows are aggregated, dealt and joined once.
+    """
+    if not totals:
+        return df.join(trailing_days(df, keys=keys, date=date, **spec), [*keys, date], "left")
+    sums = {**totals, "__seen": F.lit(1)}
+    ins, starts = [f"__in{i}" for i in range(len(sums))], [f"__start{i}" for i in range(len(sums))]
+    work = df.withColumns({n: F.coalesce(as_col(c), F.lit(0)) for n, c in zip(ins, sums.values())})
+    out = work.join(trailing_days(work, keys=keys, date=date, running=dict(zip(starts, ins)), **spec), [*keys, date], "left")
+    inside = Window.partitionBy(*keys, date).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.coalesce(F.sum(i).over(inside), F.lit(0)) + F.col(s) for n, i, s in zip(sums, ins, starts)}
+    out = out.withColumns(found).drop(*ins, *starts)
+    return out.withColumns({n: F.when(F.col("__seen") > 0, F.col(n)) for n in totals}).drop("__seen")
 
 
 def to_date(
@@ -115,23 +141,23 @@ def lagged_spread(
     blocks: Sequence[str] | None = None,
 ) -> DataFrame:
     """Count and sample deviation, over a day window, of the *previous row's* value (deviation 0 below two values)."""
-    lagged = previous_row(df, keys=keys, date=date, order=order, values={"__lagged": F.col(value).cast("double")}, blocks=blocks)
-    out = attach_trailing(
-        lagged,
-        keys=keys,
-        date=date,
-        days=[days],
-        sums={
-            "__n": F.col("__lagged").isNotNull().cast("double"),
-            "__s": F.coalesce("__lagged", F.lit(0.0)),
-            "__ss": F.coalesce(F.col("__lagged") * F.col("__lagged"), F.lit(0.0)),
-        },
-    )
+    lagged = previous_row(df, keys=keys, date=date, order=order, values={"__lagged": value}, blocks=blocks)
+    out = attach_trailing(lagged, keys=keys, date=date, days=[days], sums=spread_sums("__lagged"))
+    return with_spread(out, days=days, prefix=prefix).drop("__lagged")
+
+
+def spread_sums(value: str) -> dict[str, Column]:
+    """The day-window sums that ``with_spread`` reads."""
+    v = F.col(value).cast("double")
+    return {"__n": v.isNotNull().cast("double"), "__s": F.coalesce(v, F.lit(0.0)), "__ss": F.coalesce(v * v, F.lit(0.0))}
+
+
+def with_spread(df: DataFrame, *, days: int, prefix: str) -> DataFrame:
+    """Count and sample deviation in place of the sums of ``spread_sums`` over a day window."""
     n, s, ss = (F.col(f"{c}_last_{days}d") for c in ("__n", "__s", "__ss"))
     spread = F.when(n >= 2, F.sqrt(F.greatest((n * ss - s * s) / (n * (n - 1)), F.lit(0.0)))).otherwise(F.lit(0.0))
-    return out.withColumns({f"{prefix}_count_{days}d": n, f"{prefix}_std_{days}d": spread}).drop(
-        "__lagged", f"__n_last_{days}d", f"__s_last_{days}d", f"__ss_last_{days}d"
-    )
+    out = df.withColumns({f"{prefix}_count_{days}d": n, f"{prefix}_std_{days}d": spread})
+    return out.drop(f"__n_last_{days}d", f"__s_last_{days}d", f"__ss_last_{days}d")
 
 
 def count_window(
@@ -212,12 +238,16 @@ def count_window(
     return work.drop("__units", *nums, *cums).join(result, [*keys, "__at"], "left").drop("__at")
 
 
-def batter_trailing_block(df: DataFrame, *, entity: str, date: str) -> DataFrame:
-    """The 10- and 30-day block of an entity-game table: counts, rates, weighted mean and maximum of speed."""
+def batter_trailing_block(df: DataFrame, *, entity: str, date: str, **to_date) -> DataFrame:
+    """The 10- and 30-day block of an entity-game table: counts, rates, weighted mean and maximum of speed.
+
+    ``to_date`` takes the ``order`` and ``totals`` of ``attach_trailing``.
+    """
     out = attach_trailing(
         df,
         keys=[entity],
         date=date,
+        **to_date,
         days=[10, 30],
         sums={
             "hr_count": "hr_count",
@@ -243,8 +273,8 @@ def batter_trailing_block(df: DataFrame, *, entity: str, date: str) -> DataFrame
     )
 
 
-def pitcher_trailing_block(df: DataFrame, *, entity: str, date: str, days: int = 30) -> DataFrame:
-    """The 30-day block of an opponent-game table (what the opponent allowed)."""
+def pitcher_trailing_block(df: DataFrame, *, entity: str, date: str, days: int = 30, **to_date) -> DataFrame:
+    """The 30-day block of an opponent-game table (what the opponent allowed); ``to_date`` as for the batter's."""
     sums = {
         "hr_allowed": "hr_allowed",
         "pa_against": "pa_against",
@@ -254,7 +284,7 @@ def pitcher_trailing_block(df: DataFrame, *, entity: str, date: str, days: int =
         "__ev95": "ev_95plus_bbe_allowed",
         "__evsum": F.coalesce("avg_ev_allowed", F.lit(0.0)) * F.coalesce("bbe_allowed", F.lit(0)),
     }
-    out = attach_trailing(df, keys=[entity], date=date, days=[days], sums=sums)
+    out = attach_trailing(df, keys=[entity], date=date, **to_date, days=[days], sums=sums)
     c = {n: F.col(f"{n}_last_{days}d") for n in sums}
     out = out.withColumns(
         {
@@ -283,15 +313,21 @@ def split_to_date(
     rates: Mapping[str, tuple[str, str]],
 ) -> DataFrame:
     """To-date rates per side of a split: ``sides`` maps a split value to a suffix, ``rates`` a prefix to (num, den)."""
-    sums, outputs = {}, {}
-    for value, suffix in sides.items():
-        on_side = F.coalesce(F.col(split) == value, F.lit(False))
-        for measure in {m for pair in rates.values() for m in pair}:
-            sums[f"__{measure}_{suffix}"] = F.when(on_side, F.col(measure)).otherwise(0)
-        for name, (num, den) in rates.items():
-            outputs[f"{name}_{suffix}"] = safe_rate(f"__{num}_{suffix}", f"__{den}_{suffix}")
+    sums = split_sums(split, sides, rates)
     out = to_date(df, keys=keys, date=date, order=order, sums=sums)
-    return out.withColumns(outputs).drop(*sums)
+    return out.withColumns(split_rates(sides, rates)).drop(*sums)
+
+
+def split_sums(split: str, sides: Mapping[str, str], rates: Mapping[str, tuple[str, str]]) -> dict[str, Column]:
+    """The measures of ``rates`` on each side, to be summed to date."""
+    measures = dict.fromkeys(m for pair in rates.values() for m in pair)
+    on_side = lambda value: F.coalesce(F.col(split) == value, F.lit(False))
+    return {f"__{m}_{suffix}": F.when(on_side(value), F.col(m)).otherwise(0) for value, suffix in sides.items() for m in measures}
+
+
+def split_rates(sides: Mapping[str, str], rates: Mapping[str, tuple[str, str]]) -> dict[str, Column]:
+    """The rates from the summed measures of each side."""
+    return {f"{n}_{s}": safe_rate(f"__{num}_{s}", f"__{den}_{s}") for s in sides.values() for n, (num, den) in rates.items()}
 
 
 def latest_non_null(

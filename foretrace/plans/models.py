@@ -27,8 +27,7 @@ def opponent_features(spark: SparkSession, sf: str) -> DataFrame:
     """Per game and batting team the primary opposing pitcher's trailing block and to-date rates by the batter's side."""
     pg = T.pitcher_games(spark, sf)
     measures = [f"{m}_{s}" for m in R.HANDED for s in ("rhb", "lhb")]
-    blocks = H.pitcher_trailing_block(pg, entity="pitcher_id", date="game_date")
-    blocks = H.to_date(blocks, **W.PITCHER, sums={f"__{m}": m for m in measures})
+    blocks = H.pitcher_trailing_block(pg, entity="pitcher_id", date="game_date", order=["game_pk", "team"], totals={f"__{m}": m for m in measures})
     rates = {f"{n}_{s}": S.safe_rate(f"__{a}_{s}", f"__{b}_{s}") for n, (a, b) in W.PITCHER_RATES.items() for s in ("rhb", "lhb")}
     features = blocks.select("game_pk", "team", F.col("pitcher_id").alias("opp_pitcher_id"), *W.OPPONENT, *[c.alias(n) for n, c in rates.items()])
     primary = R.primary_opponent(pg).select("game_pk", "team", "opp_pitcher_id")
@@ -49,9 +48,9 @@ def profile_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple[str, ..
         slot=F.round("batting_order_slot", 9),
         entity="batter_id",
     )
-    bg = H.batter_trailing_block(cut_lineage(bg), entity="batter_id", date="game_date")
-    bg = H.to_date(bg, **W.BATTER, sums={"batter_pa_total_to_date": "pa_count"})
-    bg = H.split_to_date(bg, **W.BATTER, split="pitcher_hand", sides={"R": "rhp", "L": "lhp"}, rates=W.BATTER_RATES)
+    totals = {"batter_pa_total_to_date": "pa_count", **H.split_sums("pitcher_hand", W.PITCHER_HANDS, W.BATTER_RATES)}
+    bg = H.batter_trailing_block(cut_lineage(bg), entity="batter_id", date="game_date", order=["game_pk"], totals=totals)
+    bg = bg.withColumns(H.split_rates(W.PITCHER_HANDS, W.BATTER_RATES))
     bg = bg.join(opponent_features(spark, sf), ["game_pk", "team"], "left")
     bg = bg.withColumns(
         {f"{n}_pitcher_hand": S.by_hand("pitcher_hand", f"{n}_lhp", f"{n}_rhp") for n in W.BATTER_RATES}
@@ -75,13 +74,18 @@ def folded_profile(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple[str,
     return E.expanding_folds(rows, blocks=["game_date", "game_pk"], order=["batter_id"], splits=5), features
 
 
-def split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, M.ModelSpec]:
-    """Training and test rows of the profile, and a plain logistic model of the features that are known in training."""
+def split_table(spark: SparkSession, sf: str) -> tuple[DataFrame, M.ModelSpec]:
+    """Rows of the profile with their part, and a plain logistic model of the features that are known in training."""
     rows, features = profile_rows(spark, sf)
-    rows = cut_lineage(E.chronological_split(rows, date="game_date"))
-    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-    facts = train.agg(*[F.count(c).alias(c) for c in features]).first()
-    return train, test, M.ModelSpec("logistic", tuple(c for c in features if facts[c] > 0), SETTINGS)
+    rows = E.chronological_split(rows, date="game_date")
+    facts = rows.where("part = 'train'").agg(*[F.count(c).alias(c) for c in features]).first()
+    return rows, M.ModelSpec("logistic", tuple(c for c in features if facts[c] > 0), SETTINGS)
+
+
+def split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, M.ModelSpec]:
+    """Training and test rows of the profile, and the model."""
+    rows, spec = split_table(spark, sf)
+    return rows.where("part = 'train'"), rows.where("part = 'test'"), spec
 
 
 @query("fit_logistic")
@@ -145,13 +149,14 @@ def rolling_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fast_refit")
 def fast_refit(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, spec = split_rows(spark, sf)
+    rows, spec = split_table(spark, sf)
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     path = writers.scratch_path(spark, "model")
     facts = train.agg(F.max("game_date").alias("d"), F.avg("hit_hr").alias("r"))
     M.save_model(
         M.fit(train, spec, label="hit_hr"), spec, path, spark, trained_through=facts.select("d").scalar(), base_rate=facts.select("r").scalar()
     )
-    M.fast_refit(train.unionByName(test), path, label="hit_hr", date="game_date")
+    M.fast_refit(rows, path, label="hit_hr", date="game_date")
     model, spec, row = M.load_model(path, spark)
     scored = M.score(model, test, spec)
     return scored.select("row_id", "probability", F.lit(row["trained_through"]).alias("trained_through"))

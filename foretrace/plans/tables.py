@@ -108,8 +108,9 @@ def plate_appearances(spark: SparkSession, sf: str, *, order: bool = True) -> Da
     pa = pa.withColumns(batting_side("inning_topbot", "away_team", "home_team"))
     pa = pa.withColumns(event_flags(**ANALOGUE_RULES))
     if order:
+        # Dealt by game once, for the order in each team and for rollups by game that follow
         pa = R.capped_dense_rank(
-            pa, keys=["game_pk", "batting_team"], value="at_bat_number", cap=9, name="batting_order"
+            pa.repartition("game_pk"), keys=["game_pk", "batting_team"], value="at_bat_number", cap=9, name="batting_order"
         )
     return pa
 

@@ -327,6 +327,7 @@ def day_window_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(out)
 
 
+PITCHER_HANDS = {"R": "rhp", "L": "lhp"}
 BATTER_RATES = {
     "batter_hr_per_pa_vs": ("hr_count", "pa_count"),
     "batter_barrels_per_pa_vs": ("barrel_count", "pa_count"),
@@ -483,11 +484,12 @@ LAG_SQL = f"""lagged AS (SELECT *, lag(batting_order) OVER {BY} AS prior_slot, s
 def opportunity(spark: SparkSession, sf: str) -> DataFrame:
     bg = T.batter_games(spark, sf)
     bg = H.previous_row(bg, **BATTER, values={"prior_slot": "batting_order"})
-    bg = H.attach_trailing(bg, keys=["batter_id"], date="game_date", days=[14], sums={"pa": "pa_count"})
+    sums = {"pa": "pa_count", **H.spread_sums("prior_slot")}
+    bg = H.attach_trailing(bg, keys=["batter_id"], date="game_date", days=[14, 30], sums=sums)
     proxy = F.coalesce(F.col("pa_last_14d").cast("double"), S.slot_to_pa("prior_slot"))
-    bg = bg.withColumn("expected_pa_proxy", proxy).drop("pa_last_14d")
+    bg = bg.withColumn("expected_pa_proxy", proxy).drop("pa_last_14d", "pa_last_30d", *[f"{c}_last_14d" for c in ("__n", "__s", "__ss")])
     slot = F.coalesce(F.col("prior_slot").cast("double"), S.pa_to_slot("expected_pa_proxy"))
-    bg = bg.withColumn("batting_order_slot", slot)
+    bg = H.with_spread(bg, days=30, prefix="slot").withColumn("batting_order_slot", slot)
     return bg.withColumn("expected_pa_today", F.coalesce(S.slot_to_pa("batting_order_slot"), F.col("expected_pa_proxy")))
 
 
@@ -502,8 +504,7 @@ def lag_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def confirmed(spark: SparkSession, sf: str) -> DataFrame:
-    out = H.lagged_spread(opportunity(spark, sf), **BATTER, value="batting_order", days=30, prefix="slot")
-    return out.withColumn("lineup_confirmation_score", S.confirmation_score("slot_count_30d", "slot_std_30d"))
+    return opportunity(spark, sf).withColumn("lineup_confirmation_score", S.confirmation_score("slot_count_30d", "slot_std_30d"))
 
 
 @query(

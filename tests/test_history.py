@@ -174,3 +174,16 @@ def test_previous_row_in_finer_blocks(spark):
     for k, _, i in rows:
         want[i], last[k] = last.get(k), i
     assert got == want
+
+
+def test_totals_come_from_the_table_of_days(spark):
+    day = datetime.date(2024, 5, 1)
+    rows = [(1, day, 1, 2), (1, day, 2, 3), (1, day + datetime.timedelta(3), 3, 5), (1, None, 0, 7), (2, day, 1, None), (2, day, 4, 1), (None, day, 9, 4)]
+    df = spark.createDataFrame(rows, "entity int, day date, game int, n int")
+    spec = {"keys": ["entity"], "date": "day"}
+    apart = H.to_date(H.attach_trailing(df, **spec, days=[2, 5], sums={"n": "n"}), **spec, order=["game"], sums={"t": "n", "rows": F.lit(1)})
+    once = H.attach_trailing(df, **spec, days=[2, 5], sums={"n": "n"}, order=["game"], totals={"t": "n", "rows": F.lit(1)})
+    assert sorted(map(str, once.select(*apart.columns).collect())) == sorted(map(str, apart.collect()))
+    assert {r["game"]: r["t"] for r in once.where("entity = 1").collect()} == {0: None, 1: 7, 2: 9, 3: 12}
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert plan(once) < plan(apart)
