@@ -333,11 +333,24 @@ def split_rates(sides: Mapping[str, str], rates: Mapping[str, tuple[str, str]])
 def latest_non_null(
     df: DataFrame, *, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Per entity the latest known value of each column; one map-side combined aggregate for all columns."""
-    when = F.struct(*order)
-    return df.groupBy(*keys).agg(
-        *[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), when)).alias(c) for c in columns]
-    )
+    """Per entity the latest known value of each column; map-side combined aggregates for all columns together.
+
+    Days and whole numbers are gone through from the finest to the coarsest, one plain column at a time, which Spark
+    aggregates by hashing; an order of other types is one struct, for which rows are sorted. Nulls come first.
+    """
+    kinds, known = dict(df.dtypes), lambda c: F.col(c).isNotNull()
+    latest = lambda when: [F.max_by(c, F.when(known(c), when)).alias(c) for c in columns]
+    if any(kinds[c] not in LOWEST for c in order) or set(order) & {*keys, *columns}:
+        return df.groupBy(*keys).agg(*latest(F.struct(*order)))
+    out = df
+    for i in reversed(range(len(order))):
+        when = F.coalesce(order[i], F.lit(LOWEST[kinds[order[i]]]).cast(kinds[order[i]]))
+        out = out.groupBy(*keys, *order[:i]).agg(*latest(when))
+    return out
+
+
+#: What stands for a null of an order: no value of the type is less.
+LOWEST = {"int": -(2**31), "bigint": -(2**63), "date": "-5877641-06-23"}
 
 
 def as_of_rows(

@@ -616,8 +616,9 @@ def as_of_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def as_of_batters(spark: SparkSession, sf: str) -> DataFrame:
     """Trailing block and handed splits of all batter rows, those of the next day among them."""
-    out = H.batter_trailing_block(as_of_table(spark, sf), entity="batter_id", date="game_date")
-    out = H.split_to_date(out, **BATTER, split="pitcher_hand", sides={"R": "rhp", "L": "lhp"}, rates=BATTER_RATES)
+    out = H.batter_trailing_block(
+        as_of_table(spark, sf), entity="batter_id", date="game_date", order=["game_pk"], totals=H.split_sums("pitcher_hand", PITCHER_HANDS, BATTER_RATES)
+    ).withColumns(H.split_rates(PITCHER_HANDS, BATTER_RATES))
     return round_doubles(out.select("batter_id", "game_date", "game_pk", "is_candidate", *TRAILING, *BATTER_SPLITS))
 
 
@@ -630,8 +631,8 @@ def as_of_pitchers(spark: SparkSession, sf: str) -> DataFrame:
     """The same of all pitcher rows."""
     counts = (*PITCHER_COUNTS, *HANDED)
     history = T.pitcher_games(spark, sf).select("pitcher_id", "game_pk", "game_date", "team", *counts, "avg_ev_allowed")
-    out = H.pitcher_trailing_block(H.as_of_rows(history, candidate_rows(history, "pitcher_id", counts)), entity="pitcher_id", date="game_date")
-    out = H.to_date(out, **PITCHER, sums={f"__{m}": m for m in HANDED})
+    rows = H.as_of_rows(history, candidate_rows(history, "pitcher_id", counts))
+    out = H.pitcher_trailing_block(rows, entity="pitcher_id", date="game_date", order=["game_pk", "team"], totals={f"__{m}": m for m in HANDED})
     rates = {f"{n}_{s}": S.safe_rate(f"__{a}_{s}", f"__{b}_{s}") for n, (a, b) in PITCHER_RATES.items() for s in ("rhb", "lhb")}
     return round_doubles(out.withColumns(rates).select("pitcher_id", "game_date", "game_pk", "is_candidate", *OPPONENT, *PITCHER_SPLITS))
 

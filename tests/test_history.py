@@ -187,3 +187,12 @@ def test_totals_come_from_the_table_of_days(spark):
     assert {r["game"]: r["t"] for r in once.where("entity = 1").collect()} == {0: None, 1: 7, 2: 9, 3: 12}
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert plan(once) < plan(apart)
+
+
+def test_latest_known_values_need_no_sort(spark):
+    day = datetime.date(2024, 5, 1)
+    rows = [(1, day, 1, 1.0, 1), (1, day, 2, None, 2), (1, None, 7, 5.0, 3), (2, None, None, 2.0, None), (2, None, -3, 4.0, None), (3, day, None, 6.0, 8)]
+    df = spark.createDataFrame(rows, "entity int, day date, game bigint, a double, b int")
+    out = H.latest_non_null(df, keys=["entity"], order=["day", "game"], columns=["a", "b"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1.0, 2), (2, 4.0, None), (3, 6.0, 8)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
